@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import simhash
+from corpusmill.llm import packing, simhash, substrings
 from corpusmill.llm.base import table
 
 
@@ -14,5 +14,29 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-QUERIES = {f.__name__: f for f in (op10_simhash,)}
-ORACLES: dict[str, str] = {}
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substrings.without_repeats(docs).select("doc_id", "__kept.n_words", "__kept.n_removed", F.sha2("__kept.kept", 256).alias("kept_sha256"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op4_substrings, op8_packing, op10_simhash)}
+ORACLES: dict[str, str] = {
+    "op4_substrings": r"""
+        WITH words AS (
+            SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        starts AS (SELECT r, unnest(range(1, len(w) - 33)) AS i FROM words WHERE len(w) >= 35),
+        windows AS (SELECT s.r, s.i, md5(array_to_string(w[s.i : s.i + 34], ' ')) AS h FROM starts s JOIN words USING (r)),
+        repeated AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY h) AS n FROM windows) WHERE n > 1),
+        gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS k FROM repeated),
+        lost AS (SELECT r, list(k) AS ks FROM gone GROUP BY r),
+        kept AS (
+            SELECT doc_id, len(w) AS n_words, coalesce(len(ks), 0) AS n_removed,
+                   CASE WHEN ks IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), lambda k: NOT list_contains(ks, k)), lambda k: w[k]) END AS w
+            FROM words LEFT JOIN lost USING (r))
+        SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha256(array_to_string(w, ' ')) AS kept_sha256 FROM kept
+    """,
+}
