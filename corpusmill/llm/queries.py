@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import packing, simhash, substrings
-from corpusmill.llm.base import table
+from corpusmill.llm import langid, packing, simhash, substrings, toxicity
+from corpusmill.llm.base import crc_fold, table
+
+
+def op9_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_fold("doc_id", 3) == 1
+    found = langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "__lang.lang_pred", "__lang.score", "__lang.mixture")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +20,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(crc_fold("doc_id", 5) != 0).select("doc_id", F.col("toxic").cast("int").alias("label"))
+    found = toxicity.detect(docs, labels)
+    return found.select("doc_id", (crc_fold("doc_id", 5) == 0).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substrings.without_repeats(docs).select("doc_id", "__kept.n_words", "__kept.n_removed", F.sha2("__kept.kept", 256).alias("kept_sha256"))
@@ -23,7 +36,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_substrings, op8_packing, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op4_substrings, op8_packing, op9_languages, op10_simhash)}
 ORACLES: dict[str, str] = {
     "op4_substrings": r"""
         WITH words AS (
