@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import langid, packing, simhash, substrings, toxicity
+from corpusmill.llm import langid, packing, simhash, substrings, toxicity, urlfilter, warc
 from corpusmill.llm.base import crc_fold, table
 
 
@@ -32,11 +32,29 @@ def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.without_repeats(docs).select("doc_id", "__kept.n_words", "__kept.n_removed", F.sha2("__kept.kept", 256).alias("kept_sha256"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.records_of(warc.archive(table(spark, sf_dir, "pages")))
+    return found.select(F.col("page").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
+RULES = [
+    urlfilter.Rule("allow", "org", "/"),
+    urlfilter.Rule("block", "example.org", "/es/"),
+    urlfilter.Rule("block", "example.org", "/en/1"),
+    urlfilter.Rule("allow", "com", "/fr/"),
+    urlfilter.Rule("block", "com", "/de/"),
+]
+
+
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), RULES).drop("url")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op4_substrings, op8_packing, op9_languages, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op4_substrings, op6_warc, op7_urls, op8_packing, op9_languages, op10_simhash)}
 ORACLES: dict[str, str] = {
     "op4_substrings": r"""
         WITH words AS (
@@ -52,4 +70,29 @@ ORACLES: dict[str, str] = {
             FROM words LEFT JOIN lost USING (r))
         SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha256(array_to_string(w, ' ')) AS kept_sha256 FROM kept
     """,
+    "op6_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha1(encode(coalesce(html, ''))) AS h FROM pages),
+        r AS (
+            SELECT *, min(page_id) OVER (PARTITION BY h) AS first, row_number() OVER (PARTITION BY h, page_id) AS turn,
+                   list_transform(range(8), lambda k: ('0x' || substr(h, 5 * k + 1, 5))::INT) AS fives
+            FROM p)
+        SELECT page_id, octet_length(b)::BIGINT AS payload_bytes,
+               array_to_string(list_transform(range(32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (fives[j // 4 + 1] >> (15 - 5 * (j % 4)) & 31)::INT + 1, 1)), '') AS payload_digest,
+               CASE WHEN page_id = first AND turn = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id = first AND turn = 1 THEN NULL ELSE first END AS refers_to
+        FROM r
+    """,
+    "op7_urls": """
+        WITH a AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        b AS (
+            SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
+        r(verdict, rhost, rpath) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+        u AS (SELECT DISTINCT host, path FROM b),
+        m AS (
+            SELECT host, path, rhost || rpath AS rule, verdict, row_number() OVER (PARTITION BY host, path ORDER BY length(rhost || rpath) DESC) AS k
+            FROM u JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath))
+        SELECT page_id, b.host, b.path, rule, coalesce(verdict, 'allow') AS verdict
+        FROM b LEFT JOIN m ON b.host = m.host AND b.path = m.path AND k = 1
+    """,
 }
