@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import langid, packing, simhash, substrings, topk, toxicity, urlfilter, warc
+from corpusmill.llm import imatch, langid, packing, simhash, substrings, topk, toxicity, urlfilter, warc
 from corpusmill.llm.base import crc_fold, table
 
 
@@ -36,6 +36,10 @@ def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.without_repeats(docs).select("doc_id", "__kept.n_words", "__kept.n_removed", F.sha2("__kept.kept", 256).alias("kept_sha256"))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.records_of(warc.archive(table(spark, sf_dir, "pages")))
     return found.select(F.col("page").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
@@ -58,7 +62,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_topk, op4_substrings, op6_warc, op7_urls, op8_packing, op9_languages, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_topk, op4_substrings, op5_fingerprints, op6_warc, op7_urls, op8_packing, op9_languages, op10_simhash)}
 ORACLES: dict[str, str] = {
     "op3_topk": """
         WITH v AS (
