@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import imatch, langid, packing, simhash, substrings, topk, toxicity, urlfilter, warc
+from corpusmill.llm import imatch, langid, mixing, packing, simhash, substrings, topk, toxicity, urlfilter, warc
 from corpusmill.llm.base import crc_fold, table
 
 
@@ -27,6 +27,17 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_fold("doc_id", 5) == 0).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
 
 
+#: Shares of the training tokens.
+TARGETS = {"high": 0.92, "low": 0.07, "toxic": 0.01}
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = mixing.mix(docs, mixing.domain_labels(table(spark, sf_dir, "labels")), TARGETS, keep_text=False)
+    shares = [F.col("__posterior")[x].alias(f"p_{x}") for x in sorted(TARGETS)]
+    return found.select("doc_id", F.col("__tokens").alias("tokens"), *shares, F.col("__rate").alias("rate"), mixing.copies(F.col("__rate"), F.col("doc_id")).alias("copies"))
+
+
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -62,7 +73,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_topk, op4_substrings, op5_fingerprints, op6_warc, op7_urls, op8_packing, op9_languages, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_topk, op4_substrings, op5_fingerprints, op6_warc, op7_urls, op8_packing, op9_languages, op10_simhash)}
 ORACLES: dict[str, str] = {
     "op3_topk": """
         WITH v AS (

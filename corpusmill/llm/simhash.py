@@ -87,6 +87,17 @@ def links(prints: DataFrame) -> DataFrame:
     return centres.join(hubs, "centre").where((F.col("fp") != F.col("hub")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("hub"))) <= 2)).select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct()
 
 
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+    """(id, content, fp, root, component) for each row: content is a hash of the text, rows of one group share root."""
+    content = F.xxhash64(F.coalesce(text_col, F.lit("")))
+    rows = stored(docs.select(F.col(id_col).alias("id"), content.alias("content"), fingerprint_column(F.col(text_col), shingle).alias("fp")), "fingerprints")
+    prints = stored(rows.groupBy("fp").agg(F.min("id").alias("first")), "prints")
+    roots = connected_components(links(prints.select("fp")))
+    placed = prints.join(roots, prints.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    named = placed.groupBy("root").agg(F.min("first").alias("component"))
+    return rows.join(placed.join(named, "root").select("fp", "root", "component"), "fp")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """(id, fp long, component): component is the smallest id reachable over links of 2 or fewer differing bits, the
     row's own included.
@@ -95,13 +106,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component unless all ids of the component are null (then null); repeated rows stay; other columns are ignored; an
     empty table gives an empty result.
     """
-    rows = stored(docs.select(F.col(id_col).alias("id"), fingerprint_column(F.col(text_col), shingle).alias("fp")), "fingerprints")
-    prints = stored(rows.groupBy("fp").agg(F.min("id").alias("first")), "prints")
-    roots = connected_components(links(prints.select("fp")))
-    placed = prints.join(roots, prints.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = placed.groupBy("root").agg(F.min("first").alias("component"))
-    by_print = placed.join(named, "root").select("fp", "component")
-    return rows.join(by_print, "fp").select(F.col("id").alias(id_col), "fp", "component")
+    return grouped(docs, id_col, text_col, shingle).select(F.col("id").alias(id_col), "fp", "component")
 
 
 def fingerprint_hex(fp: Column) -> Column:
@@ -109,15 +114,10 @@ def fingerprint_hex(fp: Column) -> Column:
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """The rows of docs that stay when one of each group of near-duplicates is kept: the one with the smallest id, and of
-    repeated ids the least text. Rows with a null id are one another's duplicates only through their text. A text
-    without words is no document and is its own copy: all but one go."""
-    columns = docs.columns
-    found = near_duplicates(docs, id_col, text_col, shingle)
-    keep = found.where(F.col(id_col).eqNullSafe(F.col("component"))).select(id_col).distinct()
-    kept = docs.join(keep.withColumnRenamed(id_col, "_kept"), docs[id_col].eqNullSafe(F.col("_kept")), "left_semi")
-    # repeated ids: the group of one id is as large as its repeats
-    content = F.xxhash64(F.coalesce(text_col, F.lit("")))
-    first = kept.select(F.col(id_col).alias("_id"), content.alias("_h")).groupBy("_id").agg(F.min("_h").alias("_h"))
-    same = kept.withColumn("_h", content).join(first.withColumnRenamed("_h", "_first"), F.col(id_col).eqNullSafe(F.col("_id"))).where("_h = _first")
-    return same.dropDuplicates([id_col, "_h"]).select(*columns)
+    """The rows of docs that stay when one of each group of near-duplicates is kept: the one with the smallest id (null behind all
+    others), of rows that share it one with the least hash of its text. Texts without words are one group."""
+    best = grouped(docs, id_col, text_col, shingle).groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "content")).alias("best"))
+    best = best.select(F.col("best.id").alias("__id"), F.col("best.content").alias("__of")).distinct()
+    keyed = docs.withColumn("__content", F.xxhash64(F.coalesce(text_col, F.lit(""))))
+    kept = keyed.join(best, (F.col("__content") == F.col("__of")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+    return kept.dropDuplicates([id_col, "__content"]).select(*docs.columns)
