@@ -107,15 +107,15 @@ def read(source) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def decisions(pages: DataFrame, id_col: str, payload: str, least_bytes: int) -> DataFrame:
-    """pages with __response: the smallest id of an equal payload of least_bytes or more, and __turn: 1 for the first of rows
-    that share id and payload."""
-    keyed = pages.withColumn("__sha", F.sha1(payload))
-    each = keyed.select(F.col(id_col).alias("__id"), F.col("__sha").alias("__of")).distinct()
+    """pages with __response: the smallest id of an equal payload, and __revisit: whether the row repeats a payload of least_bytes
+    or more. Rows meet their decision by id and SHA-1 as one text: the first of rows that share it needs no other shuffle."""
+    who = F.concat_ws(":", F.sha1(payload), F.col(id_col).cast("string"))
+    each = pages.select(F.col(id_col).alias("__id"), F.sha1(payload).alias("__of"), who.alias("__whose")).distinct()
     least = each.groupBy("__of").agg(F.min("__id").alias("__response")).withColumnRenamed("__of", "__least_of")
-    each = each.join(least, F.col("__of") == F.col("__least_of")).select("__id", "__of", "__response")
-    joined = keyed.join(each, (F.col("__sha") == F.col("__of")) & F.col(id_col).eqNullSafe(F.col("__id")))
-    turn = F.row_number().over(Window.partitionBy("__sha", id_col).orderBy(F.lit(0)))
-    revisit = (F.octet_length(payload) >= least_bytes) & ((turn > 1) | ~F.col(id_col).eqNullSafe(F.col("__response")))
+    each = each.join(least, F.col("__of") == F.col("__least_of")).select("__id", "__whose", "__response")
+    joined = pages.withColumn("__who", who).join(each, F.col("__who") == F.col("__whose"))
+    turn = F.row_number().over(Window.partitionBy("__who").orderBy(F.lit(0)))
+    revisit = (F.octet_length(payload) >= least_bytes) & ((turn > 1) | ~F.col("__id").eqNullSafe(F.col("__response")))
     return joined.withColumn("__revisit", revisit)
 
 
