@@ -11,9 +11,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.llm.base import released
+
 #: Labelled rows that a classifier is fitted on and features that it keeps, at most.
 FIT_ROWS, FEATURES = 12_000, 4096
-WORDS_KEPT = 300_000
+WORDS_KEPT = 150_000
 
 words_of = re.compile(r"[^\W\d_]+").findall
 
@@ -79,6 +81,7 @@ def select_features(rows: DataFrame, classes: int, shape: bool, limit: int = FEA
                 total.update((x, label) for x in made.names(text))
                 total["", label] += 1
             yield pd.DataFrame([(x, label, n) for (x, label), n in total.items()], columns=["feature", "label", "n"])
+        released()
 
     each = [F.sum(F.when(F.col("label") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(classes)]
     counted = rows.mapInPandas(count, "feature string, label int, n long").groupBy("feature").agg(F.sum("n").alias("n"), *each).persist()

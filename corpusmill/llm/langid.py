@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.llm.base import long_texts, released
+
 #: Hashed byte trigrams; labelled rows per language that a model is fitted on, at most on average; smoothing.
 BUCKETS, ROWS_EACH, SMOOTH = 1 << 16, 3000, 0.2
 #: A language joins the set if it raises the log-likelihood by PENALTY times the logarithm of the text's trigrams.
@@ -51,6 +53,7 @@ def fit(docs: DataFrame, text_col: str, lang_col: str, id_col: str, rows_each: i
         for lang, n in total.items():
             at = np.flatnonzero(n)
             yield pd.DataFrame({"lang": lang, "bucket": at, "n": n[at]})
+        released()
 
     part = rows.where(F.pmod(F.xxhash64(F.lit("fit"), "id"), F.lit(1 << 20)) < chosen * (1 << 20))
     got = part.select("text", "lang").mapInPandas(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
@@ -110,6 +113,7 @@ def predict(text: Column, names: list[str], model: np.ndarray, penalty: float =
                 order = [k for k in np.argsort(-share, kind="stable").tolist() if share[k] > 0]
                 rows.append((names[order[0]], min(1.0, float(share[order[0]])), [{"lang": names[k], "share": float(share[k])} for k in order]))
             yield pd.DataFrame(rows, columns=["lang_pred", "score", "mixture"])
+        released()
 
     return of(text)
 
@@ -118,5 +122,6 @@ def identify(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
     """docs with a column __lang: struct(lang_pred, score, mixture). Learns from rows that aren't held out; id, lang and other
     columns never enter a prediction. Repeated rows get equal predictions; without labelled rows, and for null or letterless
     texts, und with score 0; an empty table gives an empty result. Whole texts are read, one at a time."""
+    long_texts(docs.sparkSession)
     names, model = fit(docs.where(~held_out), text_col, lang_col, id_col)
     return docs.withColumn("__lang", predict(F.col(text_col), names, model, penalty))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm import classify
-from corpusmill.llm.base import stored
+from corpusmill.llm.base import long_texts, released, stored
 
 #: Steps of the projected gradient at most, and the distance from the targets, as a share of all tokens, that ends it.
 STEPS, SETTLED = 40, 5e-4
@@ -28,6 +28,7 @@ def memberships(text: Column, names: list[str], weights: np.ndarray, domains: li
             out = pd.DataFrame(classify.softmax(scores), columns=columns)
             out.insert(0, "tokens", [len(x.encode("utf-8", "surrogatepass").split()) if x else 0 for x in batch])
             yield out
+        released()
 
     return of(text)
 
@@ -100,6 +101,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: s
     domain by it. Without labels all posteriors are equal. Null and empty texts have no tokens; repeated rows have equal
     rates; other columns stay; an empty table gives an empty result.
     """
+    long_texts(docs.sparkSession)
     domains = sorted(targets)
     aim = np.array([targets[x] for x in domains], float)
     number = F.create_map(*(F.lit(x) for pair in zip(domains, range(len(domains))) for x in pair))
@@ -108,6 +110,8 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: s
     table = classify.numbered(rows, names, shape=True)
     rows.unpersist()
     weights = classify.fit_softmax(table["found"], table["label"].to_numpy(int), len(names), len(domains))
+    del table
+    released()
     columns = [f"p{k}" for k in range(len(domains))]
     found = docs.withColumn("__m", memberships(F.col(text_col), names, weights, domains))
     found = stored(found if keep_text else found.drop(text_col), "memberships")

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.base import stored
+from corpusmill.llm.base import long_texts, released, stored
 
 SEQUENCE = 2048
 END_ID = 0
@@ -22,7 +22,7 @@ OPEN_BINS = 8192
 #: Pieces a packer gets on average: more packers for more pieces, never more pieces for a packer.
 PIECES_EACH = 20_000
 #: Words whose ids a worker remembers.
-WORDS_KEPT = 300_000
+WORDS_KEPT = 150_000
 
 _unsafe = re.compile(r" (?=\s|\Z)").search
 
@@ -70,7 +70,15 @@ class _Words(dict):
         return found
 
 
-_words = cache(_Words)
+@cache
+def _words(path: str) -> _Words:
+    return _Words(path)
+
+
+def forget(path: str) -> None:
+    """Empties the memory of words at the end of a task."""
+    _words(path).clear()
+    released()
 
 
 def _chunks(text: str) -> list[str]:
@@ -103,6 +111,7 @@ def encode_all(texts: list[str], path: str) -> list[bytes]:
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, size: int = SEQUENCE) -> DataFrame:
     """(id, piece, start, length, ids_crc32): a document's ids and the closing id 0. Only documents over size are cut; then the
     first piece takes the remainder and the others are full. A null text is empty: one piece of the closing id."""
+    long_texts(docs.sparkSession)
     path, kind = tokenizer or default_tokenizer(), dict(docs.dtypes)[id_col]
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -118,6 +127,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
             made = pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32"])
             made["id"] = made["id"].astype(batch["id"].dtype)
             yield made
+        forget(path)
 
     made = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).mapInPandas(cut, "id string, piece int, start long, length long, ids_crc32 long")
     return made.withColumn("id", F.col("id").cast(kind))
@@ -168,6 +178,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     packers = max(1, -(-made.count() // PIECES_EACH))
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
+        released()
         group = group.sort_values(["length", "row"], ascending=[False, True])
         where, offset = best_fit(group["length"].tolist(), size, open_bins)
         return group.assign(sequence_id=[(int(group["packer"].iloc[0]) << 32) + x for x in where], offset=offset).drop(columns=["packer", "row"])

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.base import stored
+from corpusmill.llm.base import long_texts, released, stored
 from corpusmill.llm.graph import connected_components
 
 SEED = 42
@@ -45,6 +45,7 @@ def fingerprint_column(text: Column, shingle: int = 3) -> Column:
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series(np.array([fingerprint(x, shingle) for x in batch], np.uint64).view(np.int64))
+        released()
 
     return of(text)
 
@@ -89,6 +90,7 @@ def links(prints: DataFrame) -> DataFrame:
 
 def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """(id, content, fp, root, component) for each row: content is a hash of the text, rows of one group share root."""
+    long_texts(docs.sparkSession)
     content = F.xxhash64(F.coalesce(text_col, F.lit("")))
     rows = stored(docs.select(F.col(id_col).alias("id"), content.alias("content"), fingerprint_column(F.col(text_col), shingle).alias("fp")), "fingerprints")
     prints = stored(rows.groupBy("fp").agg(F.min("id").alias("first")), "prints")

@@ -13,6 +13,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.llm.base import long_texts, released
+
 #: Words of a window, words of a minimiser.
 WINDOW, MINIMISER = 35, 3
 #: Text bytes that meet in a bucket on average, that a map task holds before it sends, and that are hashed at once.
@@ -159,6 +161,7 @@ def _sender(window: int, minimiser: int, buckets: int):
                 add(rows)
                 held += size
         yield from flush()
+        released()
 
     return send
 
@@ -209,6 +212,8 @@ def _counter(window: int):
                 found["key"], found["crc"], found["start"], found["end"] = meta["key"][line], meta["crc"][line], first + shift, last + window + shift
                 out.append(found)
         got = np.concatenate(out) if out else np.zeros(0, _RANGE)
+        del parts, metas, out
+        released()
         return pa.table({"key": got["key"], "crc": got["crc"].astype(np.int64), "span": got["start"].astype(np.int64) << 32 | got["end"]})
 
     return count
@@ -229,6 +234,7 @@ def _kept(text: Column, spans: Column) -> Column:
                     words = [words[k] for k in np.flatnonzero(stay[:n]).tolist()]
                 rows.append((b" ".join(words).decode("utf-8", "surrogatepass"), n, n - len(words)))
             yield pd.DataFrame(rows, columns=["kept", "n_words", "n_removed"])
+        released()
 
     return of(text, spans)
 
@@ -245,6 +251,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids like any other. Null, empty and shorter texts lose nothing (null: kept is the empty text); other columns stay as they
     are; an empty table gives an empty result.
     """
+    long_texts(docs.sparkSession)
     whole = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.withColumns({"__key": F.xxhash64(F.col(id_col), whole), "__crc": F.crc32(whole.cast("binary"))})
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm import classify
+from corpusmill.llm.base import long_texts, released
 
 #: Groups of identity terms: within a group any may stand for any other.
 IDENTITIES = (
@@ -96,6 +97,7 @@ def score(text: Column, names: list[str], weights: np.ndarray) -> Column:
         for batch in batches:
             sums = np.array([weights[made.numbers(x)].sum() if x else 0.0 for x in batch]) + weights[-1]
             yield pd.Series(1 / (1 + np.exp(-np.clip(sums, -30, 30))))
+        released()
 
     return of(text)
 
@@ -104,5 +106,6 @@ def detect(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """docs with a column __score (0 to 1, higher: likelier toxic). The score of null and empty texts is that of a text without
     features; repeated rows score alike; null labels and ids teach nothing; without labels every score is 0.5; an empty
     table gives an empty result. Whole texts are read; ids and other columns never enter a score."""
+    long_texts(docs.sparkSession)
     names, weights = fit(docs, labels, id_col, text_col, identities, penalty)
     return docs.withColumn("__score", score(F.col(text_col), names, weights))
