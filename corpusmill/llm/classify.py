@@ -65,8 +65,9 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, limit
     """(text, label) of at most limit labelled rows, chosen by a hash of the id; labels: (id_col, label). Null texts and labels
     take no part. The chosen labels are few enough by their limit to be sent to every executor."""
     some = labels.where(F.col("label").isNotNull() & F.col(id_col).isNotNull()).orderBy(F.xxhash64(F.lit("fit"), id_col), id_col, "label").limit(limit)
-    some = some.withColumnRenamed(id_col, "__label_of")
-    return docs.where(F.col(text_col).isNotNull()).join(F.broadcast(some), F.col(id_col) == F.col("__label_of")).select(F.col(text_col).alias("text"), "label")
+    some = some.select(F.col(id_col).alias("__label_of"), F.col("label").cast("int").alias("__label"))
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"))
+    return texts.join(F.broadcast(some), F.col("__id") == F.col("__label_of")).select("text", F.col("__label").alias("label"))
 
 
 def select_features(rows: DataFrame, classes: int, shape: bool, limit: int = FEATURES, least: int = 4) -> tuple[list[str], np.ndarray]:
