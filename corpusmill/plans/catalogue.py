@@ -324,9 +324,9 @@ def citations(spark, folder):
     return _answers(spark, folder).select("doc_id", F.array_join(answers.citations(F.col("cited")), "|").alias("sources"))
 
 
-@query("SELECT event_id, round((event_id % 5000) / 1e6 * 2.50 + (user_id * 7) / 1e6 * 10.00, 6) AS cost_usd FROM events")
+@query("SELECT event_id, round((event_id % 5000 * 4) / 1e6 * 2.50 + (user_id * 7) / 1e6 * 10.00, 6) AS cost_usd FROM events")
 def cost_estimate(spark, folder):
-    return read(spark, folder, "events").select("event_id", answers.cost_usd(F.col("event_id") % 5000, F.col("user_id") * 7).alias("cost_usd"))
+    return read(spark, folder, "events").select("event_id", answers.cost_usd(F.col("event_id") % 5000 * 4, F.col("user_id") * 7).alias("cost_usd"))
 
 
 @query("SELECT doc_id, regexp_extract(source, '([^/]*)$', 1) AS source, round(n_chars / 7000.0, 3) AS score, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS preview FROM documents")
@@ -453,7 +453,7 @@ def eval_overall(spark, folder):
 # ---- test cases
 
 CASES_SQL = f"""
-    lines AS (SELECT l_orderkey, list({{'step_number': l_linenumber, 'action': 'ship part ' || l_partkey, 'expected': l_returnflag}} ORDER BY l_linenumber, l_partkey, l_returnflag) AS steps FROM lineitem GROUP BY 1),
+    lines AS (SELECT l_orderkey, list({{'step_number': l_linenumber, 'action': 'ship part ' || l_partkey, 'expected': l_returnflag}} ORDER BY l_linenumber, 'ship part ' || l_partkey, l_returnflag) AS steps FROM lineitem GROUP BY 1),
     cases AS (
         SELECT 'TC-' || lpad(o_orderkey::VARCHAR, 8, '0') AS id, 'order of ' || o_custkey AS title, {_quoted(rules.TEST_TYPES)}[o_orderkey % 8 + 1] AS test_type, {_quoted(rules.PRIORITIES)}[o_orderkey % 4 + 1] AS priority,
                ['customer ' || o_custkey, 'stock'] AS preconditions, steps, o_orderstatus AS expected_result, o_orderpriority AS linked_requirement, ['order', lower(o_orderstatus)] AS tags,
