@@ -15,13 +15,14 @@ from corpusmill.llm.base import released
 
 #: Labelled rows that a classifier is fitted on and features that it keeps, at most.
 FIT_ROWS, FEATURES = 12_000, 4096
-WORDS_KEPT = 150_000
+#: Characters that a word's beginning may have.
+BEGINNINGS = (4, 5, 6)
 
 words_of = re.compile(r"[^\W\d_]+").findall
 
 
 def word_features(word: str) -> tuple[str, ...]:
-    return (f"={word}", *(f"^{word[:n]}" for n in (4, 5, 6) if len(word) > n))
+    return (f"={word}", *(f"^{word[:n]}" for n in BEGINNINGS if len(word) > n))
 
 
 def shape_features(text: str, words: list[str], distinct: int) -> list[str]:
@@ -36,10 +37,14 @@ def shape_features(text: str, words: list[str], distinct: int) -> list[str]:
 
 
 class Features:
-    """text -> the numbers of the features it has. Words seen before are looked up in a bounded memory."""
+    """text -> the numbers of the features it has: whole sets of words and of their beginnings meet those that count, so the cost
+    of a word that has never been seen before is that of any other."""
 
     def __init__(self, names: list[str] | None, shape: bool) -> None:
-        self.number, self.shape, self.memory = names and {x: k for k, x in enumerate(names)}, shape, {}
+        self.number, self.shape = {x: k for k, x in enumerate(names or ())}, shape
+        self.whole = {x[1:]: k for x, k in self.number.items() if x[0] == "="}
+        self.begin = {n: {x[1:]: k for x, k in self.number.items() if x[0] == "^" and len(x) == n + 1} for n in BEGINNINGS}
+        self.sets = [(None, frozenset(self.whole), self.whole), *((n, frozenset(x), x) for n, x in self.begin.items() if x)]
 
     def names(self, text: str) -> set[str]:
         words = words_of(text)
@@ -48,16 +53,14 @@ class Features:
         return found.union(shape_features(text, words, len(lower))) if self.shape else found
 
     def numbers(self, text: str) -> list[int]:
-        number, memory = self.number, self.memory
         words = words_of(text)
         lower = set(map(str.lower, words))
-        for word in lower.difference(memory):
-            memory[word] = tuple(number[x] for x in word_features(word) if x in number)
-        found = {x for word in lower if (got := memory[word]) for x in got}
+        found = []
+        for n, known, number in self.sets:
+            has = known & (lower if n is None else {x[:n] for x in lower if len(x) > n})
+            found += [number[x] for x in has]
         if self.shape:
-            found.update(number[x] for x in shape_features(text, words, len(lower)) if x in number)
-        if len(memory) > WORDS_KEPT:
-            memory.clear()
+            found += {self.number[x] for x in shape_features(text, words, len(lower)) if x in self.number}
         return sorted(found)
 
 
