@@ -75,9 +75,10 @@ def _words(path: str) -> _Words:
     return _Words(path)
 
 
-def forget(path: str) -> None:
-    """Empties the memory of words at the end of a task."""
-    _words(path).clear()
+def forget() -> None:
+    """Drops the encoder and its memory of words at the end of a task: the worker lives on and others need the room."""
+    _words.cache_clear()
+    _encoder.cache_clear()
     released()
 
 
@@ -127,7 +128,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
             made = pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32"])
             made["id"] = made["id"].astype(batch["id"].dtype)
             yield made
-        forget(path)
+        forget()
 
     made = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).mapInPandas(cut, "id string, piece int, start long, length long, ids_crc32 long")
     return made.withColumn("id", F.col("id").cast(kind))

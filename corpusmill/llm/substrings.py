@@ -18,7 +18,7 @@ from corpusmill.llm.base import long_texts, released
 #: Words of a window, words of a minimiser.
 WINDOW, MINIMISER = 35, 3
 #: Text bytes that meet in a bucket on average, that a map task holds before it sends, and that are hashed at once.
-BUCKET_BYTES, FLUSH_BYTES, GROUP_BYTES = 4 << 20, 12 << 20, 1 << 19
+BUCKET_BYTES, FLUSH_BYTES, GROUP_BYTES = 4 << 20, 8 << 20, 1 << 19
 
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _META = np.dtype([("key", "<i8"), ("crc", "<u4"), ("start", "<u4"), ("known", "u1")])
@@ -56,10 +56,10 @@ class Lines:
 
     def __init__(self, data: bytes, window: int) -> None:
         raw = np.frombuffer(data, np.uint8)
-        breaks = np.flatnonzero(raw == 10)
-        gaps = np.flatnonzero((raw == 32) | (raw == 10))
-        self.starts, self.ends = np.concatenate(([0], gaps + 1)), np.append(gaps, len(raw))
-        self.line = np.searchsorted(breaks, self.starts, side="right").astype(np.int32)
+        kind = np.int32 if len(raw) < 1 << 31 else np.int64
+        gaps = np.flatnonzero((raw == 32) | (raw == 10)).astype(kind)
+        self.starts, self.ends = np.concatenate((np.zeros(1, kind), gaps + kind(1))), np.append(gaps, kind(len(raw)))
+        self.line = np.concatenate((np.zeros(1, np.int32), np.cumsum(raw[gaps] == 10, dtype=np.int32)))
         hashes, at = np.empty(len(self.starts), np.uint64), 0
         while at < len(self.starts):
             to = max(at + 1, int(np.searchsorted(self.ends, self.starts[at] + GROUP_BYTES)))
@@ -69,10 +69,15 @@ class Lines:
         self.hashes = _mixed(hashes + (self.ends - self.starts).astype(np.uint64))
         n = max(0, len(self.starts) - window + 1)
         #: The words that a window starts at: its last word stands on the same line.
-        self.windows = np.flatnonzero(self.line[:n] == self.line[window - 1 :])
+        self.windows = np.flatnonzero(self.line[:n] == self.line[window - 1 :]).astype(kind)
 
     def window_hashes(self, window: int) -> np.ndarray:
-        return _mixed(_sums(self.hashes, self.windows, self.windows + window))
+        out, step = np.empty(len(self.windows), np.uint64), 1 << 18
+        for k in range(0, len(out), step):
+            at = self.windows[k : k + step]
+            low = int(at[0])
+            out[k : k + step] = _sums(self.hashes[low : int(at[-1]) + window], at - low, at - low + window)
+        return _mixed(out)
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
