@@ -135,3 +135,48 @@ def evaluate(samples: DataFrame, responses: DataFrame, by: list[str]) -> DataFra
         F.round(F.count_if(has & expected & mentions_any(F.col("regulatory_citations"), F.col("answer"))) / F.greatest(F.count_if(expected), F.lit(1)), 6).alias("regulatory_accuracy"),
         F.count("*").alias("n_samples"),
     )
+
+
+QUESTION_CHARS, COMMENT_CHARS, HISTORY = (5, 1000), 500, 6
+
+
+def sound_question(question: Column, history: Column | None = None) -> Column:
+    """Length before stripping within bounds, and no more history than allowed."""
+    out = F.length(question).between(*QUESTION_CHARS)
+    return out if history is None else out & (F.coalesce(F.size(history), F.lit(0)) <= HISTORY)
+
+
+def cleaned_question(question: Column) -> Column:
+    return F.replace(strip(question), F.lit("\0"), F.lit(""))
+
+
+def sound_feedback(rating: Column, comment: Column) -> Column:
+    return rating.between(1, 5) & (F.coalesce(F.length(comment), F.lit(0)) <= COMMENT_CHARS)
+
+
+def user_message(question: Column, context: Column) -> Column:
+    """The message that asks a model to answer from the context only, with sources."""
+    rest = "\n\nAnswer from the documentation above only, name the source of each statement as [Source: file], and say so where it holds no answer."
+    return F.concat(F.lit("DOCUMENTATION:\n"), context, F.lit("\n\nQUESTION: "), question, F.lit(rest))
+
+
+def messages(history: Column, question: Column, context: Column) -> Column:
+    """The last turns of history, array<struct(role, text)>, then the user's message."""
+    asked = F.struct(F.lit("user").alias("role"), user_message(question, context).alias("text"))
+    turns = F.coalesce(history, F.array().cast("array<struct<role:string,text:string>>"))
+    return F.array_append(F.slice(turns, F.greatest(F.size(turns) - HISTORY + 1, F.lit(1)), HISTORY), asked)
+
+
+def found_or_first(found: Column, chunks: Column, n: int = 20) -> Column:
+    """What retrieval found; where that is nothing, the document's first chunks."""
+    return F.when(F.coalesce(F.size(found), F.lit(0)) > 0, F.slice(found, 1, n)).otherwise(F.slice(chunks, 1, n))
+
+
+def report(metric: dict[str, Column]) -> Column:
+    """A line for each figure with its bar, then the verdict."""
+    lines = []
+    for name, bar in rules.QUALITY_BAR.items():
+        low = name.endswith(("leak_rate", "hallucination_rate"))
+        good = metric[name] <= bar if low else metric[name] >= bar
+        lines.append(F.concat(F.lit(f"{name}: "), F.format_string("%.4f", metric[name].cast("double")), F.lit(f" ({'at most' if low else 'at least'} {bar}) "), F.when(good, "ok").otherwise("missed")))
+    return F.concat_ws("\n", *lines, F.when(passes_bar(metric), "PASS").otherwise("FAIL"))

@@ -38,3 +38,17 @@ def signed(events: DataFrame, key: bytes) -> DataFrame:
 def alerts(events: DataFrame) -> DataFrame:
     """Security events of high or critical severity and failed logins."""
     return events.where(F.col("severity").isin("high", "critical") | (F.col("event_type") == "LOGIN_FAILURE"))
+
+
+def query_events(rows: DataFrame) -> DataFrame:
+    """Audit rows of answered and blocked questions. rows: query_id, user_id, question, answer, block_reason."""
+    blocked = F.col("block_reason").isNotNull()
+    return rows.select(
+        F.concat(F.lit("evt-"), F.col("query_id").cast("string")).alias("event_id"), F.when(blocked, "QUERY_BLOCKED").otherwise("QUERY_PROCESSED").alias("event_type"), "user_id", "query_id",
+        preview(F.col("question")).alias("query_preview"), preview(F.col("answer")).alias("response_preview"), blocked.alias("was_blocked"), "block_reason",
+    )
+
+
+def as_json(events: DataFrame) -> DataFrame:
+    """Each event as one line without its null fields."""
+    return events.select(F.to_json(F.struct("*"), {"ignoreNullFields": "true"}).alias("value"))

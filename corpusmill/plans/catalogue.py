@@ -552,7 +552,13 @@ def audit_preview(spark, folder):
     return read(spark, folder, "documents").select("doc_id", metrics.preview(F.col("text")).alias("query_preview"))
 
 
-@query()
+_PADS = [bytes(x ^ pad for x in b"audit-key".ljust(64, b"\0")).hex() for pad in (0x36, 0x5C)]
+
+
+@query(f"""
+    WITH e AS (SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, user_id, event_type FROM events)
+    SELECT *, sha256(unhex('{_PADS[1]}') || unhex(sha256(unhex('{_PADS[0]}') || encode(event_id || '|' || ts || '|' || user_id || '|' || event_type)))) AS hmac_signature FROM e
+""")
 def audit_hmac(spark, folder):
     events = read(spark, folder, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "user_id", "event_type")
     return metrics.signed(events, b"audit-key")
@@ -629,6 +635,64 @@ def rel_revenue(spark, folder):
     return rows.groupBy("n_name").agg(F.count("*").alias("n_lines"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
 
 
+# ---- questions, prompts, reports, audit rows
+
+_ROLE_LIMITS = "roles(role, levels, per_minute, chunks) AS (VALUES " + ", ".join(f"('{r}', '{','.join(levels)}', {limit}, {n})" for r, levels, limit, n in rules.ROLES) + ")"
+
+
+@query(f"WITH {_ROLE_LIMITS}, asks AS (SELECT user_id, ['customer', 'loan_officer', 'underwriter', 'compliance_officer', 'admin', 'guest'][user_id % 6 + 1] AS user_role FROM events GROUP BY user_id) SELECT user_id, user_role, coalesce(levels, 'public') AS levels, coalesce(per_minute, 10)::INT AS rate_limit, least(coalesce(chunks, 3), 5)::INT AS max_chunks FROM asks LEFT JOIN roles ON role = user_role")
+def role_limits(spark, folder):
+    names = F.array(*map(F.lit, ["customer", "loan_officer", "underwriter", "compliance_officer", "admin", "guest"]))
+    users = read(spark, folder, "events").select("user_id").distinct().withColumn("user_role", F.element_at(names, (F.col("user_id") % 6 + 1).cast("int")))
+    return retrieval.with_role(users).select("user_id", "user_role", F.array_join("access_levels", ",").alias("levels"), "rate_limit", "max_chunks")
+
+
+@query(r"SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS question FROM documents WHERE length(text) BETWEEN 5 AND 1000")
+def question_constraints(spark, folder):
+    return read(spark, folder, "documents").where(answers.sound_question(F.col("text"))).select("doc_id", answers.cleaned_question(F.col("text")).alias("question"))
+
+
+@query("SELECT event_id, user_id % 7 AS rating FROM events WHERE user_id % 7 BETWEEN 1 AND 5 AND length(props) <= 500")
+def feedback_constraints(spark, folder):
+    return read(spark, folder, "events").withColumn("rating", F.col("user_id") % 7).where(answers.sound_feedback(F.col("rating"), F.col("props"))).select("event_id", "rating")
+
+
+@query("""
+    WITH h AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn) AS turns, max(text) AS question FROM conversations GROUP BY conv_id),
+    m AS (SELECT conv_id, list_append(turns[greatest(len(turns) - 5, 1):], {'role': 'user', 'text': 'DOCUMENTATION:' || chr(10) || 'none' || chr(10) || chr(10) || 'QUESTION: ' || question || chr(10) || chr(10) || 'Answer from the documentation above only, name the source of each statement as [Source: file], and say so where it holds no answer.'}) AS messages FROM h)
+    SELECT conv_id, len(messages)::INT AS n_messages, md5(array_to_string(list_transform(messages, lambda x: x.role || '=' || x.text), '|')) AS messages_md5 FROM m
+""")
+def prompt_messages(spark, folder):
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+    rows = read(spark, folder, "conversations").groupBy("conv_id").agg(turns.alias("history"), F.max("text").alias("question"))
+    made = rows.select("conv_id", answers.messages(F.col("history"), F.col("question"), F.lit("none")).alias("m"))
+    return made.select("conv_id", F.size("m").alias("n_messages"), F.md5(F.array_join(F.transform("m", lambda x: F.concat(x["role"], F.lit("="), x["text"])), "|")).alias("messages_md5"))
+
+
+@query("SELECT conv_id, array_to_string(CASE WHEN conv_id % 3 = 0 THEN list(role ORDER BY turn)[1:2] ELSE list(text ORDER BY turn)[1:2] END, '|') AS chosen FROM conversations GROUP BY conv_id")
+def found_or_first(spark, folder):
+    listed = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("turn", c))), lambda t: t[c])
+    rows = read(spark, folder, "conversations").groupBy("conv_id").agg(listed("role").alias("found"), listed("text").alias("chunks"))
+    return rows.select("conv_id", F.array_join(answers.found_or_first(F.when(F.col("conv_id") % 3 == 0, F.col("found")), F.col("chunks"), 2), "|").alias("chosen"))
+
+
+@query()
+def chunk_stats(spark, folder):
+    return chunking.chunk_stats(chunking.recursive_chunks(documents(spark, folder), "doc_id", "content", keep=["access_level"]), ["access_level"])
+
+
+@query()
+def eval_report(spark, folder):
+    rows = _evaluated(spark, folder)
+    return rows.select("run", answers.report({name: F.col(name) for name in rules.QUALITY_BAR}).alias("report"))
+
+
+@query("SELECT 'evt-' || doc_id AS event_id, CASE WHEN doc_id % 4 = 0 THEN 'QUERY_BLOCKED' ELSE 'QUERY_PROCESSED' END AS event_type, nullif(left(text, 100), '') AS query_preview, doc_id % 4 = 0 AS was_blocked FROM documents")
+def audit_query_events(spark, folder):
+    rows = read(spark, folder, "documents").select(F.col("doc_id").alias("query_id"), F.col("source").alias("user_id"), F.col("text").alias("question"), F.col("lang").alias("answer"), F.when(F.col("doc_id") % 4 == 0, "pii").alias("block_reason"))
+    return metrics.query_events(rows).select("event_id", "event_type", "query_preview", "was_blocked")
+
+
 # ---- the whole pipeline
 
 
