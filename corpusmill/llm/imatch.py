@@ -61,8 +61,11 @@ def with_fingerprint(docs: DataFrame, text: Column, table: Column, prefix: str)
     seen, band = f"{prefix}seen", f"{prefix}band"
     out = docs.withColumn(seen, terms(text)).withColumn(band, F.filter(seen, listed))
     out = out.withColumn(band, F.sort_array(F.transform(F.when(F.size(band) >= FEW, F.col(band)).otherwise(F.col(seen)), lambda h: F.xxhash64(h, F.lit("lexicon")))))
-    masks = F.array(*(F.struct(F.lit(9 * s).alias("shift"), F.lit((1 << n) - 1).cast("long").alias("mask")) for n in SHARES for s in range(SERIES)))
-    slots = F.transform(masks, lambda m: F.xxhash64(F.filter(band, lambda y: F.call_function("shiftrightunsigned", y, m["shift"]).bitwiseAND(m["mask"]) == 0)))
+    bits = lambda y, shift, mask: F.call_function("shiftrightunsigned", y, shift).bitwiseAND(mask) == 0
+    masks = [F.lit((1 << n) - 1).cast("long") for n in SHARES]
+    # a series' smaller lexicons lie within its largest: only the terms that it holds are looked at again
+    series = F.transform(F.array(*(F.lit(9 * s) for s in range(SERIES))), lambda s: F.struct(s.alias("shift"), F.filter(band, lambda y: bits(y, s, masks[0])).alias("held")))
+    slots = F.flatten(F.transform(series, lambda s: F.transform(F.array(*masks), lambda m: F.xxhash64(F.filter(s["held"], lambda y: bits(y, s["shift"], m))))))
     return out.withColumn(f"{prefix}slots", slots).withColumn(f"{prefix}whole", F.xxhash64(band)).drop(seen, band)
 
 
