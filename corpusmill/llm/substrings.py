@@ -18,7 +18,7 @@ from corpusmill.llm.base import long_texts, released
 #: Words of a window, words of a minimiser.
 WINDOW, MINIMISER = 35, 3
 #: Text bytes that meet in a bucket on average, that a map task holds before it sends, and that are hashed at once.
-BUCKET_BYTES, FLUSH_BYTES, GROUP_BYTES = 4 << 20, 8 << 20, 1 << 19
+BUCKET_BYTES, FLUSH_BYTES, GROUP_BYTES = 2 << 20, 8 << 20, 1 << 19
 
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _META = np.dtype([("key", "<i8"), ("crc", "<u4"), ("start", "<u4"), ("known", "u1")])
@@ -176,7 +176,7 @@ def _repeats(lines: Lines, data: bytes, window: int, known: np.ndarray) -> np.nd
     at = lines.windows
     repeated = known[lines.line[at]].astype(bool)
     hashes = lines.window_hashes(window)
-    order = np.argsort(hashes, kind="stable")
+    order = np.argsort(hashes, kind="stable").astype(at.dtype)
     hashes = hashes[order]
     same = hashes[1:] == hashes[:-1]
     twice = np.concatenate((same, [False])) | np.concatenate(([False], same))
@@ -205,8 +205,10 @@ def _counter(window: int):
             else:
                 parts.append(unpack.decompress(words))
                 metas.append(np.frombuffer(meta, _META))
-        if parts:
-            lines, meta = Lines(data := b"\n".join(parts), window), np.concatenate(metas)
+        if metas:
+            data, meta = b"\n".join(parts), np.concatenate(metas)
+            parts.clear()
+            lines = Lines(data, window)
             at = lines.windows[_repeats(lines, data, window, meta["known"])]
             if len(at):
                 fresh = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1] + 1) | (lines.line[at[1:]] != lines.line[at[:-1]]))))
