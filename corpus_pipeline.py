@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import langid, mixing, packing, simhash, substrings
+from corpusmill.llm import jaccard, langid, mixing, packing, substrings
 from corpusmill.llm.base import crc_fold, stored, table
 from corpusmill.llm.queries import TARGETS
 
@@ -21,8 +21,8 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates."""
-    return simhash.one_of_each(docs)
+    """Keeps one document of each group of near-duplicates: texts whose five-word shingles are alike at 0.8 or more, and what they link."""
+    return jaccard.one_of_each(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

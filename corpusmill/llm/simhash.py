@@ -115,11 +115,17 @@ def fingerprint_hex(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """The rows of docs that stay when one of each group of near-duplicates is kept: the one with the smallest id (null behind all
-    others), of rows that share it one with the least hash of its text. Texts without words are one group."""
-    best = grouped(docs, id_col, text_col, shingle).groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "content")).alias("best"))
+def least_of_each(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs for each root of groups (id, content, root): the one with the smallest id (null behind all others), of rows
+    that share it one with the least hash of its text."""
+    best = groups.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "content")).alias("best"))
     best = best.select(F.col("best.id").alias("__id"), F.col("best.content").alias("__of")).distinct()
     keyed = docs.withColumn("__content", F.xxhash64(F.coalesce(text_col, F.lit(""))))
     kept = keyed.join(best, (F.col("__content") == F.col("__of")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
     return kept.dropDuplicates([id_col, "__content"]).select(*docs.columns)
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+    """The rows of docs that stay when one of each group of near-duplicates is kept: the one with the smallest id (null behind all
+    others), of rows that share it one with the least hash of its text. Texts without words are one group."""
+    return least_of_each(docs, grouped(docs, id_col, text_col, shingle), id_col, text_col)
