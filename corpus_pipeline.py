@@ -41,8 +41,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents' tokens."""
-    return packing.pack(docs)
+    """Packs the documents' tokens, with the tokenizer's added tokens where a text has their strings."""
+    return packing.pack(docs, added=True)
 
 
 STAGES = [("languages", languages), ("near_duplicates", near_duplicates), ("repeats", repeats), ("mixture", mixture), ("sequences", sequences)]

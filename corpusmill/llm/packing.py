@@ -36,8 +36,8 @@ def default_tokenizer() -> str:
 @cache
 def _encoder(path: str):
     """text -> ids, with the vocabulary of a tokenizers file. Byte-level merges rank as their ids do, so a rank encoder gives the
-    ids that tokenizers gives (the tests compare them), several times faster on words not seen before. Strings of special
-    tokens are ordinary text."""
+    ids that tokenizers gives (the tests compare them), several times faster on words not seen before. Strings of added
+    tokens are ordinary text here; encode_all takes them out first where they count."""
     import public_tokenizers
     import tiktoken
 
@@ -50,6 +50,17 @@ def _encoder(path: str):
     return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@cache
+def _added(path: str) -> tuple[re.Pattern | None, dict[str, bytes]]:
+    """What finds the strings of a tokenizers file's added tokens, and the id of each: the leftmost one counts, of several the longest."""
+    with open(path, encoding="utf-8") as file:
+        made = json.load(file)["added_tokens"]
+    if any(x["single_word"] or x["lstrip"] or x["rstrip"] for x in made):
+        raise ValueError("added tokens that look at the text around them")
+    strings = sorted((x["content"] for x in made), key=len, reverse=True)
+    return re.compile("(" + "|".join(map(re.escape, strings)) + ")") if strings else None, {x["content"]: array("I", [x["id"]]).tobytes() for x in made}
+
+
 class _Words(dict):
     """The ids, as little-endian unsigned 32-bit numbers, of a space and what follows it. A word of letters is one piece of the
     pre-tokenizer; so is the mark after it, unless that could begin a contraction."""
@@ -79,6 +90,7 @@ def forget() -> None:
     """Drops the encoder and its memory of words at the end of a task: the worker lives on and others need the room."""
     _words.cache_clear()
     _encoder.cache_clear()
+    _added.cache_clear()
     released()
 
 
@@ -97,28 +109,37 @@ def _chunks(text: str) -> list[str]:
     return parts
 
 
-def encode_all(texts: list[str], path: str) -> list[bytes]:
+def encode_all(texts: list[str], path: str, added: bool = False) -> list[bytes]:
     """The ids of each text as little-endian unsigned 32-bit numbers. Equal to encoding each text at once; words seen before
-    are looked up."""
+    are looked up. added: strings of the file's added tokens are these tokens, as tokenizers reads them unless
+    encode_special_tokens is set, and what stands between them is encoded apart."""
     known, out = _words(path), []
+    find, ids = _added(path) if added else (None, {})
     for text in texts:
-        head, *rest = _chunks(text)
-        out.append(array("I", known.whole(head)).tobytes() + b"".join(map(known.__getitem__, rest)))
+        made = []
+        for k, part in enumerate(find.split(text) if find else [text]):
+            if k % 2:
+                made.append(ids[part])
+                continue
+            head, *rest = _chunks(part)
+            made.append(array("I", known.whole(head)).tobytes() + b"".join(map(known.__getitem__, rest)))
+        out.append(b"".join(made))
         if len(known) > WORDS_KEPT:
             known.clear()
     return out
 
 
-def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, size: int = SEQUENCE) -> DataFrame:
+def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, size: int = SEQUENCE, added: bool = False) -> DataFrame:
     """(id, piece, start, length, ids_crc32): a document's ids and the closing id 0. Only documents over size are cut; then the
-    first piece takes the remainder and the others are full. A null text is empty: one piece of the closing id."""
+    first piece takes the remainder and the others are full. A null text is empty: one piece of the closing id.
+    added: see encode_all."""
     long_texts(docs.sparkSession)
     path, kind = tokenizer or default_tokenizer(), dict(docs.dtypes)[id_col]
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for key, data in zip(batch["id"], encode_all([x or "" for x in batch["text"]], path)):
+            for key, data in zip(batch["id"], encode_all([x or "" for x in batch["text"]], path, added)):
                 data += array("I", [END_ID]).tobytes()
                 total, start, k = len(data) // 4, 0, 0
                 while start < total:
@@ -166,16 +187,16 @@ def best_fit(lengths: list[int], size: int = SEQUENCE, open_bins: int = OPEN_BIN
     return where, offset
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, size: int = SEQUENCE, open_bins: int = OPEN_BINS) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, size: int = SEQUENCE, open_bins: int = OPEN_BINS, added: bool = False) -> DataFrame:
     """(id, piece, start, length, ids_crc32, sequence_id, offset): every piece of every document in a sequence of at most size
     ids, without gaps.
 
     Pieces are dealt to packers at random, long ones first in each, so every packer sees the whole mix of lengths and only the
     last bins of each stay part empty. A packer holds a bounded number of pieces at any input size. Null ids and repeated
     rows keep their pieces; other columns are ignored; an empty table gives an empty result. Pieces are stored in the shared
-    folder first: a lost packer reads the same ones again.
+    folder first: a lost packer reads the same ones again. added: see encode_all.
     """
-    made = stored(pieces(docs, id_col, text_col, tokenizer, size), "pieces")
+    made = stored(pieces(docs, id_col, text_col, tokenizer, size, added), "pieces")
     packers = max(1, -(-made.count() // PIECES_EACH))
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:

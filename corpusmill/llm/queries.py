@@ -70,7 +70,7 @@ def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(table(spark, sf_dir, "documents"), added=True)
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_topk, op4_substrings, op5_fingerprints, op6_warc, op7_urls, op8_packing, op9_languages, op10_simhash)}
