@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -11,6 +15,8 @@ from corpusmill.functions.text import words
 
 #: Rows of a query or role table that may be sent to every executor.
 BROADCAST_ROWS = 50_000
+#: Vectors and query vectors of a block, on average; scores are rounded to six places, so what is nearer than SLACK can tie.
+VECTORS, QUERIES, SLACK = 4096, 512, 2e-6
 
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -43,12 +49,86 @@ def matches(levels: Column | None = None, access: Column | None = None, categori
     return out
 
 
+def _blocks(df: DataFrame, id_col: str, vector_col: str, name: str, most: int) -> tuple[DataFrame, int]:
+    """(name_block, name): the rows dealt by a hash of theirs to blocks of about most, each a list ordered by id."""
+    parts = max(1, -(-df.count() // most))
+    row = F.struct(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    return df.groupBy(F.pmod(F.xxhash64(id_col, vector_col), F.lit(parts)).alias(f"{name}_block")).agg(F.array_sort(F.collect_list(row)).alias(name)), parts
+
+
+def _opened(rows: pa.StructArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """ids, vectors and whether each is sound; the dimension is the longest vector's."""
+    ids, lists = rows.field("id"), rows.field("v")
+    sizes = np.array([0 if x is None else x for x in lists.value_lengths().to_pylist()], np.int64)
+    out, flat = np.full((len(ids), sizes.max(initial=0)), np.nan), lists.flatten().to_numpy(zero_copy_only=False)
+    for size in np.unique(sizes[sizes > 0]):
+        at = np.flatnonzero(sizes == size)
+        out[at, :size] = flat[(np.cumsum(sizes) - sizes)[at, None] + np.arange(size)]
+    return ids, out, sizes
+
+
+def _lengths(x: np.ndarray) -> np.ndarray:
+    total = np.zeros(len(x))
+    for k in range(x.shape[1]):
+        total = total + np.where(np.isnan(x[:, k]), 0.0, x[:, k] ** 2)
+    return total
+
+
+def _cosines(q: np.ndarray, q_sizes: np.ndarray, v: np.ndarray, v_sizes: np.ndarray) -> np.ndarray:
+    """cosine() of every pair, summed in the same order; NaN where it is null."""
+    total = np.zeros((len(q), len(v)))
+    for k in range(min(q.shape[1], v.shape[1])):
+        total += q[:, k, None] * v[None, :, k]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        total /= np.sqrt(_lengths(q)[:, None] * _lengths(v)[None, :])
+    total[(q_sizes[:, None] != v_sizes[None, :]) | ~np.isfinite(total)] = np.nan
+    return total
+
+
+def _near(scores: np.ndarray, k: int, least: float | None) -> np.ndarray:
+    """Places, in the order of ids, of all that can be among the k best once scores are rounded; of equal scores the first k."""
+    known = np.where(np.isnan(scores), -np.inf, scores)
+    floor = np.partition(known, -k)[-k] - SLACK if len(known) > k else -np.inf
+    able = np.flatnonzero(known >= (floor if least is None else max(floor, least - SLACK)))
+    if len(able) <= k:
+        return able
+    order = np.argsort(known[able], kind="stable")
+    first = np.searchsorted(known[able][order], known[able][order])
+    return able[order[np.arange(len(able)) - first < k]]
+
+
+def _knn_blocks(rows: DataFrame, queries: DataFrame, k: int, least: float | None, id_col: str, vector_col: str, query_id: str, query_vector: str) -> DataFrame:
+    """(query_id, id, score): every block of vectors beside every block of queries; a pair of blocks gives each query's k best, with ties."""
+    blocks, _ = _blocks(rows, id_col, vector_col, "has", VECTORS)
+    asked, parts = _blocks(queries, query_id, query_vector, "asks", QUERIES)
+    beside = blocks.withColumn("asks_block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<long>")))
+    asked = asked.withColumn("asks_block", F.col("asks_block").cast("long"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for has, asks in zip(batch.column("has"), batch.column("asks")):
+                ids, v, v_sizes = _opened(has.values)
+                q_ids, q, q_sizes = _opened(asks.values)
+                scores = _cosines(q, q_sizes, v, v_sizes)
+                near = [_near(x, k, least) for x in scores]
+                whose, place = np.repeat(np.arange(len(near)), list(map(len, near))), np.concatenate(near)
+                yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(whose)), ids.take(pa.array(place)), pa.array(scores[whose, place], from_pandas=True)], [query_id, id_col, "score"])
+
+    met = beside.join(asked, "asks_block").select("has", "asks").repartition(max(1, min(4096, -(-rows.count() // VECTORS) * parts)))
+    kinds = dict(queries.dtypes)[query_id], dict(rows.dtypes)[id_col]
+    return met.mapInArrow(run, f"`{query_id}` {kinds[0]}, `{id_col}` {kinds[1]}, score double")
+
+
 def knn(vectors: DataFrame, queries: DataFrame, k: int, where: Column | None = None, least: float | None = None, id_col: str = "vec_id", vector_col: str = "embedding", query_id: str = "query_id", query_vector: str = "query_vector", allowed: Column | None = None) -> DataFrame:
-    """(query_id, id, score, rank): the k most similar rows of each query, among those that where and, of both sides, allowed admit. queries is the small side: each executor scans its own
-    vectors against all queries and keeps k for each before anything is shuffled."""
+    """(query_id, id, score, rank): the k most similar rows of each query, among those that where and, of both sides, allowed admit.
+    Vectors and queries meet in blocks of bounded size and k for each query and block are kept before anything is shuffled; with allowed, queries
+    are the small side and each executor scans its own vectors against all of them."""
     rows = vectors if where is None else vectors.where(where)
-    pairs = rows.join(small(queries), F.lit(True) if allowed is None else allowed)
-    scored = pairs.select(query_id, id_col, F.round(cosine(F.col(query_vector), F.col(vector_col)), 6).alias("score"))
+    if allowed is None:
+        scored = _knn_blocks(rows.select(id_col, vector_col), queries.select(query_id, query_vector), k, least, id_col, vector_col, query_id, query_vector)
+        scored = scored.withColumn("score", F.round("score", 6))
+    else:
+        scored = rows.join(small(queries), allowed).select(query_id, id_col, F.round(cosine(F.col(query_vector), F.col(vector_col)), 6).alias("score"))
     if least is not None:
         scored = scored.where(F.col("score") >= least)
     return top(scored, [query_id], k, [F.desc("score"), F.col(id_col)])
