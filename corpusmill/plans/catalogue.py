@@ -241,9 +241,19 @@ _ROLE_SQL = "roles(role, levels, chunks) AS (VALUES " + ", ".join(f"('{r}', {_qu
     SELECT * FROM cut WHERE rank <= max_chunks
 """)
 def hybrid_rbac(spark, folder):
-    asked = retrieval.with_role(bindings.questions(spark, folder)).select("query_id", "user_role", "access_levels", "max_chunks")
-    fused = retrieval.fuse(*_lists(spark, folder), "doc_id").where("dense_rank IS NOT NULL")
-    seen = fused.join(retrieval.small(asked), "query_id").join(documents(spark, folder).select("doc_id", "access_level"), "doc_id").where(retrieval.matches(levels=F.col("access_levels"), access=F.col("access_level")))
+    """Both lists are cut after the role's filter, as the reference does; BM25 statistics are the whole corpus's."""
+    asked = retrieval.with_role(bindings.questions(spark, folder))
+    visible = documents(spark, folder).select("doc_id", "access_level")
+    allowed = retrieval.matches(levels=F.col("access_levels"), access=F.col("access_level"))
+    shown = read(spark, folder, "embeddings").select("vec_id", "embedding").join(visible, F.col("vec_id") == F.col("doc_id"))
+    dense = retrieval.knn(shown, asked.select("query_id", "query_vector", "access_levels"), 20, allowed=allowed).withColumnRenamed("vec_id", "doc_id")
+    # the level travels in the key, so that scores needn't be shuffled again to meet it
+    keyed = documents(spark, folder).select(F.struct("doc_id", "access_level").alias("key"), F.col("content").alias("text"))
+    scored = retrieval.bm25(keyed, _questions(spark, folder), None, id_col="key").select("query_id", "key.doc_id", "key.access_level", "score")
+    scored = scored.join(retrieval.small(asked.select("query_id", "access_levels")), "query_id").where(allowed).select("query_id", "doc_id", "score")
+    sparse = retrieval.top(scored, ["query_id"], 20, [F.desc("score"), F.col("doc_id")])
+    fused = retrieval.fuse(dense, sparse, "doc_id").where("dense_rank IS NOT NULL")
+    seen = fused.join(retrieval.small(asked.select("query_id", "user_role", "max_chunks")), "query_id")
     cut = retrieval.top(seen, ["query_id"], rules.MOST_CHUNKS, [F.desc("rrf"), F.col("dense_rank"), F.col("doc_id")])
     return cut.where("rank <= max_chunks").select("query_id", "user_role", "doc_id", "rrf", "rank", "max_chunks")
 
