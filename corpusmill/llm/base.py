@@ -16,10 +16,13 @@ _OWN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); a temporary one where the setting is absent, as in tests."""
+    """The folder that the cluster shares (spark.checkpoint.dir). Where the setting is absent and everything runs on this machine, as
+    in tests, a temporary one; executors on other machines would not see that, so on a cluster its absence is an error."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="corpusmill-"))
         atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
@@ -41,8 +44,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores more as df's columns (in any case of letters) and the names before it ask for."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def long_texts(spark: SparkSession) -> None:

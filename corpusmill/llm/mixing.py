@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -10,10 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm import classify
-from corpusmill.llm.base import long_texts, released, stored
+from corpusmill.llm.base import free, long_texts, released, stored
 
-#: Steps of the projected gradient at most, and the distance from the targets, as a share of all tokens, that ends it.
-STEPS, SETTLED = 40, 5e-4
+#: Steps of the projected gradient at most. It ends where every domain's total is within NEAR of its own target (of a target under
+#: LEAST of all tokens: within NEAR of that), or where for PATIENCE steps nothing has come nearer by a thousandth.
+STEPS, NEAR, LEAST, PATIENCE = 60, 0.005, 0.002, 8
+#: The columns that mix() adds.
+ADDED = ("__tokens", "__posterior", "__rate")
 
 
 def memberships(text: Column, names: list[str], weights: np.ndarray, domains: list[str]) -> Column:
@@ -51,15 +56,32 @@ def _rates_column(posteriors: Column, steps: list[tuple[np.ndarray, float]]) ->
     return of(posteriors)
 
 
-def fit_rates(scored: DataFrame, columns: list[str], targets: np.ndarray) -> list[tuple[np.ndarray, float]]:
-    """The steps of the projected gradient for 1/2 |A r - T|^2 over nonnegative rates r, where A r are the expected token totals of
-    the domains and T the targets' shares of a total. scored: (tokens, posteriors). The total is the largest at which no
-    domain must grow beyond what it has, among domains with a target of a tenth or more of the greatest one: such documents
-    keep a rate of about 1 or lose some. Each step is one pass that returns a few numbers a task; a rate is a function of the
-    steps and the document's own posteriors, so nothing else is kept between passes."""
+@dataclass
+class Fit:
+    """The steps; the token totals of the domains that were wanted and that the last step's rates reach; whether they agree."""
+
+    steps: list[tuple[np.ndarray, float]] = field(default_factory=list)
+    want: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    have: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    settled: bool = True
+
+    @property
+    def reached(self) -> np.ndarray:
+        return self.have / max(self.have.sum(), 1e-300)
+
+
+def fit_rates(scored: DataFrame, columns: list[str], targets: np.ndarray, total: float | None = None) -> Fit:
+    """The projected gradient for least squares between the domains' expected token totals A r and T, the targets' shares of total
+    (default: all tokens there are), over nonnegative rates r. scored: (tokens, posteriors).
+
+    Misses are weighed by the inverse of the domains' Gram matrix, summed in the first pass: while no rate is held at 0, one
+    step is then the solution, and a rare or poorly parted domain converges as fast as the others. Directions in which the
+    posteriors hardly differ (under a 1e-9th of the largest) are left alone. Each step is one pass that returns a few
+    numbers a task; a rate is a function of the few steps and the document's own posteriors, so nothing else is kept between
+    passes. Momentum starts anew where a step has made the miss larger."""
     d = len(columns)
 
-    def totals(steps: list[tuple[np.ndarray, float]], gram: bool) -> pd.DataFrame:
+    def totals(steps: list[tuple[np.ndarray, float]], gram: bool) -> np.ndarray:
         def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             have, seen, square = np.zeros(d), np.zeros(d), np.zeros((d, d))
             for batch in batches:
@@ -73,52 +95,66 @@ def fit_rates(scored: DataFrame, columns: list[str], targets: np.ndarray) -> lis
 
         sums = [F.sum(f"c{j}").alias(f"c{j}") for j in range(d)]
         found = scored.mapInPandas(add, "k int, " + ", ".join(f"c{j} double" for j in range(d))).groupBy("k").agg(*sums)
-        return found.orderBy("k").toPandas()[[f"c{j}" for j in range(d)]].to_numpy(float)
+        return found.toPandas().sort_values("k")[[f"c{j}" for j in range(d)]].to_numpy(float)
 
     table = totals([], True)
     if not len(table) or table[0].sum() <= 0:
-        return []
-    everything, square = table[0].sum(), table[2:] / table[0].sum()
-    chief = targets >= targets.max() / 10
-    want = targets * max(table[0][chief] / targets[chief])
-    pace, steps, speed, seen = 1.0 / max(np.linalg.eigvalsh(square).max(), 1e-12), [], 1.0, table[1]
-    for _ in range(STEPS):
+        return Fit()
+    everything = table[0].sum()
+    values, vectors = np.linalg.eigh(table[2:] / everything)
+    weigh = (vectors * np.where(values > 1e-9 * values.max(), 1 / np.maximum(values, 1e-300), 0.0)) @ vectors.T
+    want = targets * (everything if total is None else total)
+    allowed = NEAR * np.maximum(want, LEAST * everything)
+    miss = lambda x: float((x - want) @ weigh @ (x - want)) + float(((x - want) / everything) @ (x - want))
+    have, seen, steps, speed, least, best = table[0], table[1], [], 1.0, np.inf, 0
+    while np.any(np.abs(have - want) > allowed) and len(steps) < STEPS and len(steps) - best < PATIENCE:
         faster = (1 + np.sqrt(1 + 4 * speed * speed)) / 2
-        steps.append((pace * (seen - want) / everything, (speed - 1) / faster))
+        steps.append((weigh @ (seen - want) / everything, (speed - 1) / faster))
+        before, (have, seen) = miss(have), totals(steps, False)[:2]
+        if (now := miss(have)) > before:
+            faster, seen = 1.0, have
+            steps[-1] = (steps[-1][0], 0.0)
+        if now < least * (1 - 1e-3):
+            least, best = now, len(steps)
         speed = faster
-        have, seen = totals(steps, False)[:2]
-        if np.abs(have - want).max() <= SETTLED * everything:
-            break
-    return steps
+    return Fit(steps, want, have, not np.any(np.abs(have - want) > allowed))
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True, total: float | None = None, names: dict[str, str] | None = None) -> DataFrame:
     """docs with __tokens, __posterior (map from domain to probability) and __rate: the expected number of times that the document
-    should be read so that the domains' expected shares of tokens are the targets'.
+    should be read so that the domains' expected shares of tokens are the targets', of as many tokens as total (default: as
+    docs have). names: other names for these three; columns that have them are replaced, all others stay.
 
     labels: (id_col, label string), a domain each; domains are the targets' keys, other and null labels teach nothing. A
     classifier fitted on a bounded sample of labelled rows gives each document's posterior; a document counts towards every
-    domain by it. Without labels all posteriors are equal. Null and empty texts have no tokens; repeated rows have equal
-    rates; other columns stay; an empty table gives an empty result.
+    domain by it. Without labels all posteriors are equal. Where no nonnegative rates reach the targets, the nearest totals
+    are taken and a warning names the shares reached. Null and empty texts have no tokens; repeated rows have equal rates; an
+    empty table gives an empty result.
     """
     long_texts(docs.sparkSession)
     domains = sorted(targets)
     aim = np.array([targets[x] for x in domains], float)
     number = F.create_map(*(F.lit(x) for pair in zip(domains, range(len(domains))) for x in pair))
     rows = classify.sample(docs, labels.select(id_col, number[F.col("label")].alias("label")), id_col, text_col).persist()
-    names, _ = classify.select_features(rows, len(domains), shape=True)
-    table = classify.numbered(rows, names, shape=True)
+    counts, size = classify.counted(rows, len(domains), shape=True)
+    features = classify.best_features(counts, size)
+    counts.unpersist()
+    table = classify.numbered(rows, features, shape=True)
     rows.unpersist()
-    weights = classify.fit_softmax(table["found"], table["label"].to_numpy(int), len(names), len(domains))
+    weights = classify.fit_softmax(table["found"], table["label"].to_numpy(int), len(features), len(domains))
     del table
     released()
     columns = [f"p{k}" for k in range(len(domains))]
-    found = docs.withColumn("__m", memberships(F.col(text_col), names, weights, domains))
+    (made,) = free(docs, "__m")
+    found = docs.withColumn(made, memberships(F.col(text_col), features, weights, domains))
     found = stored(found if keep_text else found.drop(text_col), "memberships")
-    steps = fit_rates(found.select("__m.tokens", *(f"__m.{c}" for c in columns)), columns, aim / aim.sum())
-    posterior = F.create_map(*(x for name, c in zip(domains, columns) for x in (F.lit(name), F.col(f"__m.{c}"))))
-    rate = _rates_column(F.struct(*(f"__m.{c}" for c in columns)), steps)
-    return found.withColumns({"__tokens": F.col("__m.tokens"), "__posterior": posterior, "__rate": rate}).drop("__m")
+    fit = fit_rates(found.select(f"{made}.tokens", *(f"{made}.{c}" for c in columns)), columns, aim / aim.sum(), total)
+    if not fit.settled:
+        warnings.warn("targets out of reach; shares reached: " + ", ".join(f"{x} {share:.4f}" for x, share in zip(domains, fit.reached)), stacklevel=2)
+    posterior = F.create_map(*(x for name, c in zip(domains, columns) for x in (F.lit(name), F.col(f"{made}.{c}"))))
+    rate = _rates_column(F.struct(*(f"{made}.{c}" for c in columns)), fit.steps)
+    made_of = dict(zip(ADDED, (F.col(f"{made}.tokens"), posterior, rate)))
+    return found.withColumns({(names or {}).get(x, x): c for x, c in made_of.items()}).drop(made)
 
 
 def copies(rate: Column, *key: Column) -> Column:

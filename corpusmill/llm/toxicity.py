@@ -74,7 +74,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Feature names and weights. labels: (id_col, label int 0 or 1), those to learn from only. Fitted on at most limit labelled
     rows; features of swapped identity terms are among the features, so that the penalty can level them."""
     rows = classify.sample(docs, labels, id_col, text_col, limit).persist()
-    names, _ = classify.select_features(rows, 2, shape=False)
+    counts, size = classify.counted(rows, 2, shape=False)
+    names = classify.best_features(counts, size)
+    counts.unpersist()
     names += [x for group in identities for word in group for x in classify.word_features(word) if x not in set(names)]
     names = list(dict.fromkeys(names))
 
