@@ -9,6 +9,7 @@ from array import array
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,9 +19,11 @@ from corpusmill.llm.base import long_texts, released, stored
 SEQUENCE = 2048
 END_ID = 0
 #: Open bins of a packer; the fullest closes when one more is needed.
-OPEN_BINS = 8192
+OPEN_BINS = 64
+#: Pieces that a packer holds before it places them, longest first; 1 is strictly online.
+LOOK_AHEAD = 256
 #: Pieces a packer gets on average: more packers for more pieces, never more pieces for a packer.
-PIECES_EACH = 20_000
+PIECES_EACH = 50_000
 #: Words whose ids a worker remembers.
 WORDS_KEPT = 150_000
 
@@ -37,7 +40,7 @@ def default_tokenizer() -> str:
 def _encoder(path: str):
     """text -> ids, with the vocabulary of a tokenizers file. Byte-level merges rank as their ids do, so a rank encoder gives the
     ids that tokenizers gives (the tests compare them), several times faster on words not seen before. Strings of added
-    tokens are ordinary text here; encode_all takes them out first where they count."""
+    tokens are ordinary text here; encode_all takes them out first."""
     import public_tokenizers
     import tiktoken
 
@@ -109,15 +112,13 @@ def _chunks(text: str) -> list[str]:
     return parts
 
 
-def encode_all(texts: list[str], path: str, added: bool = False) -> list[bytes]:
-    """The ids of each text as little-endian unsigned 32-bit numbers. Equal to encoding each text at once; words seen before
-    are looked up. added: strings of the file's added tokens are these tokens, as tokenizers reads them unless
-    encode_special_tokens is set, and what stands between them is encoded apart."""
-    known, out = _words(path), []
-    find, ids = _added(path) if added else (None, {})
+def encode_all(texts: list[str], path: str) -> list[bytes]:
+    """The ids of each text as little-endian unsigned 32-bit numbers, those that tokenizers gives by default: strings of the file's
+    added tokens are these tokens and what stands between them is encoded apart. Words seen before are looked up."""
+    known, (find, ids), out = _words(path), _added(path), []
     for text in texts:
         made = []
-        for k, part in enumerate(find.split(text) if find else [text]):
+        for k, part in enumerate(find.split(text) if any(map(text.__contains__, ids)) else [text]):
             if k % 2:
                 made.append(ids[part])
                 continue
@@ -129,17 +130,16 @@ def encode_all(texts: list[str], path: str, added: bool = False) -> list[bytes]:
     return out
 
 
-def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, size: int = SEQUENCE, added: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, size: int = SEQUENCE) -> DataFrame:
     """(id, piece, start, length, ids_crc32): a document's ids and the closing id 0. Only documents over size are cut; then the
-    first piece takes the remainder and the others are full. A null text is empty: one piece of the closing id.
-    added: see encode_all."""
+    first piece takes the remainder and the others are full. A null text is empty: one piece of the closing id."""
     long_texts(docs.sparkSession)
     path, kind = tokenizer or default_tokenizer(), dict(docs.dtypes)[id_col]
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for key, data in zip(batch["id"], encode_all([x or "" for x in batch["text"]], path, added)):
+            for key, data in zip(batch["id"], encode_all([x or "" for x in batch["text"]], path)):
                 data += array("I", [END_ID]).tobytes()
                 total, start, k = len(data) // 4, 0, 0
                 while start < total:
@@ -187,21 +187,24 @@ def best_fit(lengths: list[int], size: int = SEQUENCE, open_bins: int = OPEN_BIN
     return where, offset
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, size: int = SEQUENCE, open_bins: int = OPEN_BINS, added: bool = False) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, size: int = SEQUENCE, open_bins: int = OPEN_BINS, look_ahead: int = LOOK_AHEAD) -> DataFrame:
     """(id, piece, start, length, ids_crc32, sequence_id, offset): every piece of every document in a sequence of at most size
     ids, without gaps.
 
-    Pieces are dealt to packers at random, long ones first in each, so every packer sees the whole mix of lengths and only the
-    last bins of each stay part empty. A packer holds a bounded number of pieces at any input size. Null ids and repeated
-    rows keep their pieces; other columns are ignored; an empty table gives an empty result. Pieces are stored in the shared
-    folder first: a lost packer reads the same ones again. added: see encode_all.
+    Pieces are dealt to packers at random and each packer takes its own in the order in which they came, look_ahead of them at a
+    time, the longest of these first. So every packer sees the whole mix of lengths, places a piece once and for good and
+    holds open_bins bins open at most: the fullest closes for the next, and only the last open ones stay part empty. A packer gets a bounded number of pieces at any input size. Null ids and repeated rows keep their pieces; null
+    texts are empty, very long ones become many pieces; other columns are ignored; an empty table gives an empty result.
+    Pieces are stored in the shared folder first: a lost packer reads the same ones again.
     """
-    made = stored(pieces(docs, id_col, text_col, tokenizer, size, added), "pieces")
+    made = stored(pieces(docs, id_col, text_col, tokenizer, size), "pieces")
     packers = max(1, -(-made.count() // PIECES_EACH))
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         released()
-        group = group.sort_values(["length", "row"], ascending=[False, True])
+        group = group.sort_values("row")
+        turn = np.arange(len(group)) // look_ahead
+        group = group.iloc[np.lexsort((-group["length"].to_numpy(), turn))]
         where, offset = best_fit(group["length"].tolist(), size, open_bins)
         return group.assign(sequence_id=[(int(group["packer"].iloc[0]) << 32) + x for x in where], offset=offset).drop(columns=["packer", "row"])
 
