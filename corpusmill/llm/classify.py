@@ -109,12 +109,6 @@ def best_features(found: DataFrame, size: np.ndarray, limit: int = FEATURES, lea
     return [r["feature"] for r in best]
 
 
-def rows_of(table: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The row and the number of each feature in a column of lists."""
-    size = [len(x) for x in table]
-    return np.repeat(np.arange(len(size)), size), np.concatenate([np.asarray(x, np.int64) for x in table]) if sum(size) else np.zeros(0, np.int64)
-
-
 def numbered(rows: DataFrame, names: list[str], shape: bool) -> pd.DataFrame:
     """(label, found) of the bounded sample, on the driver."""
 
