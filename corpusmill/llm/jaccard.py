@@ -140,8 +140,9 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
 
     asked = rows.join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "content")).alias("one"))
     asked = _few(stored(asked.select("node", F.col("one.id").alias("__id"), F.col("one.content").alias("__of")), "asked"))
-    texts = docs.select(id_col, text_col).join(asked, (content == F.col("__of")) & F.col(id_col).eqNullSafe(F.col("__id")))
-    sets = stored(texts.select("node", _set_column(F.col(text_col), shingle).alias("x")).groupBy("node").agg(F.first("x").alias("x")), "sets")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), content.alias("content"))
+    texts = texts.join(asked, (F.col("content") == F.col("__of")) & F.col("id").eqNullSafe(F.col("__id")))
+    sets = stored(texts.select("node", _set_column(F.col("text"), shingle).alias("x")).groupBy("node").agg(F.first("x").alias("x")), "sets")
 
     pairs = shared.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     both = pairs.join(sets.select(F.col("node").alias("a"), "x"), "a").join(sets.select(F.col("node").alias("b"), F.col("x").alias("y")), "b")

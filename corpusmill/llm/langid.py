@@ -29,7 +29,7 @@ def trigrams(text: str) -> np.ndarray:
 
 def _counts(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     codes = np.sort(codes, kind="stable")
-    at = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
+    at = np.flatnonzero(np.concatenate((np.ones(min(1, len(codes)), bool), codes[1:] != codes[:-1])))
     return codes[at], np.diff(np.append(at, len(codes)))
 
 
@@ -118,10 +118,11 @@ def predict(text: Column, names: list[str], model: np.ndarray, penalty: float =
     return of(text)
 
 
-def identify(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", penalty: float = PENALTY) -> DataFrame:
-    """docs with a column __lang: struct(lang_pred, score, mixture). Learns from rows that aren't held out; id, lang and other
-    columns never enter a prediction. Repeated rows get equal predictions; without labelled rows, and for null or letterless
-    texts, und with score 0; an empty table gives an empty result. Whole texts are read, one at a time."""
+def identify(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", penalty: float = PENALTY, into: str = "__lang") -> DataFrame:
+    """docs with a column `into`: struct(lang_pred, score, mixture), which replaces one of that name; all others stay. Learns from
+    rows that aren't held out (a null held_out holds out); id, lang and other columns never enter a prediction. Repeated rows
+    get equal predictions; without labelled rows, and for null or letterless texts, und with score 0; an empty table gives an
+    empty result. Whole texts are read, one at a time."""
     long_texts(docs.sparkSession)
     names, model = fit(docs.where(~held_out), text_col, lang_col, id_col)
-    return docs.withColumn("__lang", predict(F.col(text_col), names, model, penalty))
+    return docs.withColumn(into, predict(F.col(text_col), names, model, penalty))

@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from corpusmill.llm import classify
 from corpusmill.llm.base import free, long_texts, released, stored
 
-#: Steps of the projected gradient at most. It ends where every domain's total is within NEAR of its own target (of a target under
-#: LEAST of all tokens: within NEAR of that), or where for PATIENCE steps nothing has come nearer by a thousandth.
-STEPS, NEAR, LEAST, PATIENCE = 60, 0.005, 0.002, 8
+#: Passes of the projected gradient at most. It ends where every domain's total is within NEAR of its own target (of a target under
+#: LEAST of all tokens: within NEAR of that), or where for PATIENCE passes nothing has come nearer by a thousandth. Weight of the
+#: Gram matrix of all documents beside that of those with a rate over 0; the least part of a step that is tried.
+PASSES, NEAR, LEAST, PATIENCE, ALL, SHORTEST = 100, 0.005, 0.002, 8, 0.02, 1 / 64
 #: The columns that mix() adds.
 ADDED = ("__tokens", "__posterior", "__rate")
 
@@ -74,49 +75,54 @@ def fit_rates(scored: DataFrame, columns: list[str], targets: np.ndarray, total:
     """The projected gradient for least squares between the domains' expected token totals A r and T, the targets' shares of total
     (default: all tokens there are), over nonnegative rates r. scored: (tokens, posteriors).
 
-    Misses are weighed by the inverse of the domains' Gram matrix, summed in the first pass: while no rate is held at 0, one
-    step is then the solution, and a rare or poorly parted domain converges as fast as the others. Directions in which the
-    posteriors hardly differ (under a 1e-9th of the largest) are left alone. Each step is one pass that returns a few
-    numbers a task; a rate is a function of the few steps and the document's own posteriors, so nothing else is kept between
-    passes. Momentum starts anew where a step has made the miss larger."""
+    A step weighs the misses by the inverse of the domains' Gram matrix over the documents whose rates aren't held at 0, with a
+    little of that over all: as long as none is held, one step is the solution, and a rare or poorly parted domain converges
+    as fast as the others. Directions in which the posteriors hardly differ (under a 1e-9th of the largest) are left alone. A
+    step that would make the miss larger is taken back, momentum starts anew and the next is half as long. Each is one pass
+    that returns a few numbers a task; a rate is a function of the few steps and the document's own posteriors, so nothing
+    else is kept between passes."""
     d = len(columns)
 
-    def totals(steps: list[tuple[np.ndarray, float]], gram: bool) -> np.ndarray:
+    def totals(steps: list[tuple[np.ndarray, float]]) -> np.ndarray:
         def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            have, seen, square = np.zeros(d), np.zeros(d), np.zeros((d, d))
+            sums = np.zeros((d + 2, d))
             for batch in batches:
                 p, n = batch[columns].to_numpy(float), batch["tokens"].to_numpy(float)
                 now, ahead = rates(p, steps)
-                have += (n * now) @ p
-                seen += (n * ahead) @ p
-                if gram:
-                    square += (p * n[:, None]).T @ p
-            yield pd.DataFrame({"k": np.arange(d + 2), **{f"c{j}": [have[j], seen[j], *square[:, j]] for j in range(d)}})
+                free = n * (now > 0)
+                sums += np.vstack(((n * now) @ p, (n * ahead) @ p, (p * free[:, None]).T @ p))
+            yield pd.DataFrame({"k": np.arange(d + 2), **{f"c{j}": sums[:, j] for j in range(d)}})
 
         sums = [F.sum(f"c{j}").alias(f"c{j}") for j in range(d)]
         found = scored.mapInPandas(add, "k int, " + ", ".join(f"c{j} double" for j in range(d))).groupBy("k").agg(*sums)
         return found.toPandas().sort_values("k")[[f"c{j}" for j in range(d)]].to_numpy(float)
 
-    table = totals([], True)
-    if not len(table) or table[0].sum() <= 0:
+    def inverse(square: np.ndarray) -> np.ndarray:
+        values, vectors = np.linalg.eigh(square)
+        return (vectors * np.where(values > 1e-9 * values.max(), 1 / np.maximum(values, 1e-300), 0.0)) @ vectors.T
+
+    sums = totals([])
+    if not len(sums) or sums[0].sum() <= 0:
         return Fit()
-    everything = table[0].sum()
-    values, vectors = np.linalg.eigh(table[2:] / everything)
-    weigh = (vectors * np.where(values > 1e-9 * values.max(), 1 / np.maximum(values, 1e-300), 0.0)) @ vectors.T
+    everything, whole = sums[0].sum(), sums[2:]
     want = targets * (everything if total is None else total)
     allowed = NEAR * np.maximum(want, LEAST * everything)
-    miss = lambda x: float((x - want) @ weigh @ (x - want)) + float(((x - want) / everything) @ (x - want))
-    have, seen, steps, speed, least, best = table[0], table[1], [], 1.0, np.inf, 0
-    while np.any(np.abs(have - want) > allowed) and len(steps) < STEPS and len(steps) - best < PATIENCE:
-        faster = (1 + np.sqrt(1 + 4 * speed * speed)) / 2
-        steps.append((weigh @ (seen - want) / everything, (speed - 1) / faster))
-        before, (have, seen) = miss(have), totals(steps, False)[:2]
-        if (now := miss(have)) > before:
-            faster, seen = 1.0, have
-            steps[-1] = (steps[-1][0], 0.0)
-        if now < least * (1 - 1e-3):
-            least, best = now, len(steps)
-        speed = faster
+    metric = inverse(whole) + np.eye(d) / everything
+    miss = lambda x: float((x - want) @ metric @ (x - want))
+    (have, seen), square, steps, speed, part = sums[:2], whole, [], 1.0, 1.0
+    least, best, passes = miss(have), 0, 0
+    while np.any(np.abs(have - want) > allowed) and passes < PASSES and passes - best < PATIENCE:
+        faster, passes = (1 + np.sqrt(1 + 4 * speed * speed)) / 2, passes + 1
+        trial = [*steps, (part * inverse(square + ALL * whole) @ (seen - want), (speed - 1) / faster)]
+        sums = totals(trial)
+        if miss(sums[0]) > miss(have):
+            if steps:
+                steps[-1] = (steps[-1][0], 0.0)
+            seen, speed, part = have, 1.0, max(part / 2, SHORTEST)
+            continue
+        (have, seen), square, steps, speed, part = sums[:2], sums[2:], trial, faster, min(1.0, 1.5 * part)
+        if miss(have) < least * (1 - 1e-3):
+            least, best = miss(have), passes
     return Fit(steps, want, have, not np.any(np.abs(have - want) > allowed))
 
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.base import long_texts, released, stored
+from corpusmill.llm.base import free, long_texts, released, stored
 from corpusmill.llm.graph import connected_components
 
 SEED = 42
@@ -117,12 +117,13 @@ def fingerprint_hex(fp: Column) -> Column:
 
 def least_of_each(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of docs for each root of groups (id, content, root): the one with the smallest id (null behind all others), of rows
-    that share it one with the least hash of its text."""
+    that share it one with the least hash of its text. docs keep all their columns, whatever their names."""
+    who, of, own = free(docs, "__id", "__of", "__content")
     best = groups.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "content")).alias("best"))
-    best = best.select(F.col("best.id").alias("__id"), F.col("best.content").alias("__of")).distinct()
-    keyed = docs.withColumn("__content", F.xxhash64(F.coalesce(text_col, F.lit(""))))
-    kept = keyed.join(best, (F.col("__content") == F.col("__of")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
-    return kept.dropDuplicates([id_col, "__content"]).select(*docs.columns)
+    best = best.select(F.col("best.id").alias(who), F.col("best.content").alias(of)).distinct()
+    keyed = docs.withColumn(own, F.xxhash64(F.coalesce(text_col, F.lit(""))))
+    kept = keyed.join(best, (F.col(own) == F.col(of)) & F.col(id_col).eqNullSafe(F.col(who)), "left_semi")
+    return kept.dropDuplicates([id_col, own]).select(*docs.columns)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:

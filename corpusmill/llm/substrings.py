@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.base import long_texts, released
+from corpusmill.llm.base import free, long_texts, released
 
 #: Words of a window, words of a minimiser.
 WINDOW, MINIMISER = 35, 3
@@ -246,25 +246,27 @@ def _kept(text: Column, spans: Column) -> Column:
     return of(text, spans)
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, minimiser: int = MINIMISER) -> DataFrame:
-    """docs with a column __kept: struct(kept, n_words, n_removed). Words are runs outside ASCII white space. A word goes if a
-    window of `window` consecutive words covers it whose words, in order, also start elsewhere, in any text or the same one;
-    every copy goes. kept joins the other words by one space.
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, minimiser: int = MINIMISER, into: str = "__kept") -> DataFrame:
+    """docs with a column `into`: struct(kept, n_words, n_removed), which replaces one of that name; all others stay. Words are runs
+    outside ASCII white space. A word goes if a window of `window` consecutive words covers it whose words, in order, also
+    start elsewhere, in any text or the same one; every copy goes. kept joins the other words by one space.
 
     Windows that share a minimiser with their neighbours travel together as one string to the minimiser's bucket, so a window
     meets all its copies; there they are sorted and compared word for word. Buckets hold a fixed number of text bytes at any
-    input size; copies within a map task are settled before the shuffle, so that a passage in a third of all rows reaches its
-    bucket once per task. Ranges return to rows by a 96-bit key of id and text: repeated rows share theirs, and null ids are
-    ids like any other. Null, empty and shorter texts lose nothing (null: kept is the empty text); other columns stay as they
-    are; an empty table gives an empty result.
+    input size, on average; copies within a map task are settled before the shuffle, so that a passage in a third of all rows
+    reaches its bucket once per task. Ranges return to rows by a 96-bit key of id and text: repeated rows share theirs, and
+    null ids are ids like any other. Null, empty and shorter texts lose nothing (null: kept is the empty text); an empty table
+    gives an empty result.
     """
     long_texts(docs.sparkSession)
+    own = docs.drop(into)
+    key, crc, of, of_crc, spans_of = free(own, "__key", "__crc", "__of", "__of_crc", "__spans")
     whole = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.withColumns({"__key": F.xxhash64(F.col(id_col), whole), "__crc": F.crc32(whole.cast("binary"))})
+    keyed = own.withColumns({key: F.xxhash64(F.col(id_col), whole), crc: F.crc32(whole.cast("binary"))})
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = max(32, -(-size // BUCKET_BYTES))
-    sent = keyed.select("__key", "__crc", whole.alias("text")).mapInArrow(_sender(window, minimiser, buckets), "bucket int, words binary, meta binary")
+    sent = keyed.select(key, crc, whole.alias("text")).mapInArrow(_sender(window, minimiser, buckets), "bucket int, words binary, meta binary")
     spans = sent.groupBy("bucket").applyInArrow(_counter(window), "key long, crc long, span long")
-    spans = spans.groupBy("key", "crc").agg(F.collect_set("span").alias("__spans")).withColumnsRenamed({"key": "__of", "crc": "__of_crc"})
-    joined = keyed.join(spans, (F.col("__key") == F.col("__of")) & (F.col("__crc") == F.col("__of_crc")), "left")
-    return joined.withColumn("__kept", _kept(F.col(text_col), F.col("__spans"))).drop("__key", "__crc", "__of", "__of_crc", "__spans")
+    spans = spans.groupBy("key", "crc").agg(F.collect_set("span").alias(spans_of)).withColumnsRenamed({"key": of, "crc": of_crc})
+    joined = keyed.join(spans, (F.col(key) == F.col(of)) & (F.col(crc) == F.col(of_crc)), "left")
+    return joined.withColumn(into, _kept(F.col(text_col), F.col(spans_of))).drop(key, crc, of, of_crc, spans_of)

@@ -12,6 +12,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.llm.base import free
+
+#: Bytes of all rules' keys at most: they are sent to every executor.
+RULE_BYTES = 64 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -119,15 +123,19 @@ def judge(pages: DataFrame, rules: list[Rule], url_col: str = "url", default: st
     rule is null and the verdict is that of a key on no list: default. Rules must not contradict one another.
 
     The rules are driver-side data, sent to executors only as cascades (and, while these are built, as the list); urls are
-    read twice, never shuffled. Null urls have an empty host and path; repeated rows are judged alike; columns named like the
-    four are replaced; an empty table gives an empty result.
+    read twice, never shuffled. Rules of more than RULE_BYTES in all are an error: a broadcast must have a bound. Null urls have an empty host and path; repeated rows are judged alike; columns named like the
+    four are replaced, the one of the urls included; an empty table gives an empty result.
     """
     verdict_of: dict[str, str] = {}
     for r in rules:
         if verdict_of.setdefault(r.key, r.verdict) != r.verdict:
             raise ValueError(f"both verdicts for {r.key}")
+    if sum(len(key.encode()) for key in verdict_of) > RULE_BYTES:
+        raise ValueError(f"rules of more than {RULE_BYTES} bytes")
     host, path = host_and_path(F.col(url_col))
-    cascades = build(pages.select(host.alias("host"), path.alias("path")), rules)
+    parted, found = free(pages, "__url", "__rule")
+    rows = pages.withColumn(parted, F.struct(host.alias("host"), path.alias("path")))
+    cascades = build(rows.select(f"{parted}.host", f"{parted}.path"), rules)
     lengths = sorted({len(r.path) for r in rules}, reverse=True)
 
     @F.pandas_udf("rule string, verdict string")
@@ -138,5 +146,5 @@ def judge(pages: DataFrame, rules: list[Rule], url_col: str = "url", default: st
                 known[both] = next(((key, v) for key in candidates(*both, lengths) for v, cascade in cascades.items() if key in cascade), (None, default))
         return pd.DataFrame([known[both] for both in zip(hosts, paths)], columns=["rule", "verdict"])
 
-    out = pages.withColumns({"host": host, "path": path}) if url_col not in ("host", "path") else pages
-    return out.withColumn("__rule", decide("host", "path")).withColumns({"rule": F.col("__rule.rule"), "verdict": F.col("__rule.verdict")}).drop("__rule")
+    rows = rows.withColumn(found, decide(f"{parted}.host", f"{parted}.path"))
+    return rows.withColumns({"host": F.col(f"{parted}.host"), "path": F.col(f"{parted}.path"), "rule": F.col(f"{found}.rule"), "verdict": F.col(f"{found}.verdict")}).drop(parted, found)
