@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,15 +14,22 @@ from pyspark.sql.functions import pandas_udf
 from corpusmill.functions import rules
 from corpusmill.functions.text import words
 
-#: Rows of a query or role table that may be sent to every executor.
-BROADCAST_ROWS = 50_000
-#: Vectors and query vectors of a block, on average; scores are rounded to six places, so what is nearer than SLACK can tie.
-VECTORS, QUERIES, SLACK = 4096, 512, 2e-6
+#: Bytes of a table, as the engine estimates them from its files, that may be sent to every executor.
+BROADCAST_BYTES = 64 << 20
+#: Vectors and query vectors of a block, on average.
+VECTORS, QUERIES = 4096, 512
+#: Places that scores are rounded to before they are ranked, so that equal scores tie however their sums were ordered, and shown.
+RANKED, SHOWN = 10, 6
 
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it is counted to be small; else as it is, for the engine to shuffle."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def small(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
+    """df with a broadcast hint if the engine's estimate of source (df itself where not given; else one that bounds df) is small;
+    else as it is, for the engine to shuffle. No job runs."""
+    try:
+        size = int((df if source is None else source)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except AttributeError:  # a remote session has no plan to ask
+        return df
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -49,119 +57,152 @@ def matches(levels: Column | None = None, access: Column | None = None, categori
     return out
 
 
-def _blocks(df: DataFrame, id_col: str, vector_col: str, name: str, most: int) -> tuple[DataFrame, int]:
-    """(name_block, name): the rows dealt by a hash of theirs to blocks of about most, each a list ordered by id."""
-    parts = max(1, -(-df.count() // most))
-    row = F.struct(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    return df.groupBy(F.pmod(F.xxhash64(id_col, vector_col), F.lit(parts)).alias(f"{name}_block")).agg(F.array_sort(F.collect_list(row)).alias(name)), parts
+def _blocks(df: DataFrame, id_col: str, vector_col: str, tag: Column | None, name: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """(name_block, name): the rows dealt by a hash of theirs to blocks of about most, each a list ordered by id; and one row with
+    the number of blocks, counted when the plan runs."""
+    row = F.struct(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), (F.lit(None).cast("string") if tag is None else tag).alias("tag"))
+    parts = df.agg(F.greatest(F.ceil(F.count("*") / most), F.lit(1)).alias(f"{name}_parts"))
+    place = F.pmod(F.xxhash64(id_col, vector_col), F.col(f"{name}_parts")).alias(f"{name}_block")
+    return df.join(F.broadcast(parts), F.lit(True)).groupBy(place).agg(F.array_sort(F.collect_list(row)).alias(name)), parts
 
 
-def _opened(rows: pa.StructArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """ids, vectors and whether each is sound; the dimension is the longest vector's."""
+def _opened(rows: pa.StructArray) -> tuple[pa.Array, np.ndarray, np.ndarray, list]:
+    """ids, vectors, the dimension of each (-1: null, or a null component) and the tags; vectors stand in the longest one's width."""
     ids, lists = rows.field("id"), rows.field("v")
-    sizes = np.array([0 if x is None else x for x in lists.value_lengths().to_pylist()], np.int64)
-    out, flat = np.full((len(ids), sizes.max(initial=0)), np.nan), lists.flatten().to_numpy(zero_copy_only=False)
+    sizes = np.array([-1 if x is None else x for x in lists.value_lengths().to_pylist()], np.int64)
+    out, flat, at = np.zeros((len(ids), max(0, sizes.max(initial=0)))), lists.flatten().to_numpy(zero_copy_only=False), 0
+    starts = np.cumsum(np.maximum(sizes, 0)) - np.maximum(sizes, 0)
     for size in np.unique(sizes[sizes > 0]):
         at = np.flatnonzero(sizes == size)
-        out[at, :size] = flat[(np.cumsum(sizes) - sizes)[at, None] + np.arange(size)]
-    return ids, out, sizes
+        out[at, :size] = flat[starts[at, None] + np.arange(size)]
+    sizes[np.isnan(out).any(axis=1)] = -1
+    return ids, out, sizes, rows.field("tag").to_pylist()
 
 
-def _lengths(x: np.ndarray) -> np.ndarray:
-    total = np.zeros(len(x))
-    for k in range(x.shape[1]):
-        total = total + np.where(np.isnan(x[:, k]), 0.0, x[:, k] ** 2)
-    return total
+def _cosines(q: np.ndarray, q_sizes: np.ndarray, v: np.ndarray, v_sizes: np.ndarray) -> np.ndarray:
+    """The cosine of every pair; NaN where a vector is missing or of length 0, or where dimensions differ."""
+    width = min(q.shape[1], v.shape[1])
+    with np.errstate(all="ignore"):
+        total = (q[:, :width] @ v[:, :width].T) / np.sqrt((q**2).sum(axis=1)[:, None] * (v**2).sum(axis=1)[None, :])
+    total[(q_sizes[:, None] != v_sizes[None, :]) | (q_sizes[:, None] < 0) | ~np.isfinite(total)] = np.nan
+    return np.round(total, RANKED)
 
 
-def _cosines(q: np.ndarray, q_sizes: np.ndarray, v: np.ndarray, v_sizes: np.ndarray) -> np.ndarray:
-    """cosine() of every pair, summed in the same order; NaN where it is null."""
-    total = np.zeros((len(q), len(v)))
-    for k in range(min(q.shape[1], v.shape[1])):
-        total += q[:, k, None] * v[None, :, k]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        total /= np.sqrt(_lengths(q)[:, None] * _lengths(v)[None, :])
-    total[(q_sizes[:, None] != v_sizes[None, :]) | ~np.isfinite(total)] = np.nan
-    return total
+def _seen(levels: list[str | None], access: list[str | None]) -> np.ndarray:
+    """Whether each query's levels (joined by commas; empty: public only) hold each vector's."""
+    names = sorted({x for x in access if x is not None})
+    number = {x: k for k, x in enumerate(names)}
+    sees = np.array([[name in (x or "public").split(",") for name in [*names, None]] for x in levels], bool).reshape(len(levels), -1)
+    return sees[:, [number.get(x, len(names)) for x in access]]
 
 
 def _near(scores: np.ndarray, k: int, least: float | None) -> np.ndarray:
-    """Places, in the order of ids, of all that can be among the k best once scores are rounded; of equal scores the first k."""
+    """Places, in the order of ids, of the k best; of equal scores the first."""
     known = np.where(np.isnan(scores), -np.inf, scores)
-    floor = np.partition(known, -k)[-k] - SLACK if len(known) > k else -np.inf
-    able = np.flatnonzero(known >= (floor if least is None else max(floor, least - SLACK)))
-    if len(able) <= k:
-        return able
-    order = np.argsort(known[able], kind="stable")
-    first = np.searchsorted(known[able][order], known[able][order])
-    return able[order[np.arange(len(able)) - first < k]]
-
-
-def _knn_blocks(rows: DataFrame, queries: DataFrame, k: int, least: float | None, id_col: str, vector_col: str, query_id: str, query_vector: str) -> DataFrame:
-    """(query_id, id, score): every block of vectors beside every block of queries; a pair of blocks gives each query's k best, with ties."""
-    blocks, _ = _blocks(rows, id_col, vector_col, "has", VECTORS)
-    asked, parts = _blocks(queries, query_id, query_vector, "asks", QUERIES)
-    beside = blocks.withColumn("asks_block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<long>")))
-    asked = asked.withColumn("asks_block", F.col("asks_block").cast("long"))
+    able = np.flatnonzero(known > -np.inf if least is None else known >= least)
+    if len(able) > k:
+        able = able[known[able] >= np.partition(known[able], -k)[-k]]
+        able = np.sort(able[np.argsort(-known[able], kind="stable")[:k]])
+    return able
+
+
+def knn(vectors: DataFrame, queries: DataFrame, k: int, where: Column | None = None, least: float | None = None, id_col: str = "vec_id", vector_col: str = "embedding", query_id: str = "query_id", query_vector: str = "query_vector", access: str | None = None, levels: str | None = None) -> DataFrame:
+    """(query_id, id, score, rank): the k most similar rows of each query, among those that where admits and, with access (a column of
+    vectors) and levels (a list column of queries), those whose access level the query may see: an empty list sees public
+    ones. Ties go to smaller ids. Vectors that are null or of length 0, hold a null or differ in dimension have no score.
+
+    Blocks of vectors meet blocks of queries, both of bounded size at any input size; each pair of blocks keeps k rows for a
+    query before anything is shuffled."""
+    rows = vectors if where is None else vectors.where(where)
+    guarded = levels is not None
+    blocks, _ = _blocks(rows, id_col, vector_col, F.col(access) if guarded else None, "has", VECTORS)
+    asked, parts = _blocks(queries, query_id, query_vector, F.nullif(F.array_join(levels, ","), F.lit("")) if guarded else None, "asks", QUERIES)
+    beside = blocks.join(F.broadcast(parts), F.lit(True)).withColumn("asks_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("asks_parts") - 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for has, asks in zip(batch.column("has"), batch.column("asks")):
-                ids, v, v_sizes = _opened(has.values)
-                q_ids, q, q_sizes = _opened(asks.values)
+                ids, v, v_sizes, v_tags = _opened(has.values)
+                q_ids, q, q_sizes, q_tags = _opened(asks.values)
                 scores = _cosines(q, q_sizes, v, v_sizes)
+                if guarded:
+                    scores[~_seen(q_tags, v_tags)] = np.nan
                 near = [_near(x, k, least) for x in scores]
-                whose, place = np.repeat(np.arange(len(near)), list(map(len, near))), np.concatenate(near)
-                yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(whose)), ids.take(pa.array(place)), pa.array(scores[whose, place], from_pandas=True)], [query_id, id_col, "score"])
+                whose, place = np.repeat(np.arange(len(near)), list(map(len, near))), np.concatenate(near).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(whose)), ids.take(pa.array(place)), pa.array(scores[whose, place])], [query_id, id_col, "score"])
 
-    met = beside.join(asked, "asks_block").select("has", "asks").repartition(max(1, min(4096, -(-rows.count() // VECTORS) * parts)))
     kinds = dict(queries.dtypes)[query_id], dict(rows.dtypes)[id_col]
-    return met.mapInArrow(run, f"`{query_id}` {kinds[0]}, `{id_col}` {kinds[1]}, score double")
+    met = beside.join(asked, "asks_block").repartition("has_block", "asks_block").select("has", "asks")
+    scored = met.mapInArrow(run, f"`{query_id}` {kinds[0]}, `{id_col}` {kinds[1]}, score double")
+    return top(scored, [query_id], k, [F.desc("score"), F.col(id_col)]).withColumn("score", F.round("score", SHOWN))
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int, where: Column | None = None, least: float | None = None, id_col: str = "vec_id", vector_col: str = "embedding", query_id: str = "query_id", query_vector: str = "query_vector", allowed: Column | None = None) -> DataFrame:
-    """(query_id, id, score, rank): the k most similar rows of each query, among those that where and, of both sides, allowed admit.
-    Vectors and queries meet in blocks of bounded size and k for each query and block are kept before anything is shuffled; with allowed, queries
-    are the small side and each executor scans its own vectors against all of them."""
-    rows = vectors if where is None else vectors.where(where)
-    if allowed is None:
-        scored = _knn_blocks(rows.select(id_col, vector_col), queries.select(query_id, query_vector), k, least, id_col, vector_col, query_id, query_vector)
-        scored = scored.withColumn("score", F.round("score", 6))
-    else:
-        scored = rows.join(small(queries), allowed).select(query_id, id_col, F.round(cosine(F.col(query_vector), F.col(vector_col)), 6).alias("score"))
-    if least is not None:
-        scored = scored.where(F.col("score") >= least)
-    return top(scored, [query_id], k, [F.desc("score"), F.col(id_col)])
+def within_document(chunks: DataFrame, asked: DataFrame, k: int, key: str = "document_id", id_col: str = "chunk_id", vector_col: str = "vector", query_vector: str = "query_vector") -> DataFrame:
+    """(key, id, distance, rank): the k chunks of the document that each row of asked (key, query_vector) names, nearest first by
+    Euclidean distance; ties go to smaller ids. A join on the document's key, cut to k rows before the shuffle."""
+    square = F.aggregate(F.zip_with(vector_col, query_vector, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
+    rows = chunks.join(asked.select(key, query_vector), key).select(key, id_col, F.round(F.sqrt(square), RANKED).alias("distance"))
+    return top(rows.where("distance IS NOT NULL"), [key], k, [F.col("distance"), F.col(id_col)]).withColumn("distance", F.round("distance", SHOWN))
 
 
-def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, term, tf, dl): lower-cased runs outside white space. A text is parted once, before its terms become rows."""
-    parted = docs.select(F.col(id_col), words(F.lower(F.col(text_col))).alias("terms")).withColumn("dl", F.size("terms"))
-    return parted.select(id_col, "dl", F.explode("terms").alias("term")).groupBy(id_col, "term", "dl").agg(F.count("*").alias("tf"))
+def found_or_first(chunks: DataFrame, asked: DataFrame, k: int = 20, key: str = "document_id", id_col: str = "chunk_id") -> DataFrame:
+    """(key, id, rank, found): what within_document finds; for a document where that is nothing, its first k chunks by id."""
+    hits = within_document(chunks, asked, k, key, id_col).select(key, id_col, "rank", F.lit(True).alias("found"))
+    rest = chunks.select(key, id_col).join(hits.select(key).distinct(), key, "left_anti")
+    return hits.union(top(rest, [key], k, [F.col(id_col)]).select(key, id_col, "rank", F.lit(False).alias("found")))
 
 
-def bm25_stats(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _parted(text: Column) -> Column:
+    """A text's terms: lower-cased runs outside white space; none for null."""
+    return words(F.lower(F.coalesce(text, F.lit(""))))
+
+
+def bm25_stats(docs: DataFrame, text_col: str) -> DataFrame:
     """(term, df, idf, n_docs, avgdl): Okapi weights. A negative idf becomes EPSILON times the mean of all terms' raw idf, the
-    formula of the public rank_bm25 package."""
-    found = postings(docs, id_col, text_col)
-    size = docs.agg(F.count("*").alias("n_docs"), F.avg(F.size(words(F.lower(F.coalesce(text_col, F.lit("")))))).alias("avgdl"))
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.join(F.broadcast(size), F.lit(True)).withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    formula of the public rank_bm25 package. One pass: a document gives each of its terms once, and one row without a term
+    that holds its length; all are summed before the shuffle."""
+    terms = docs.select(_parted(F.col(text_col)).alias("terms"))
+    rows = terms.select(F.explode(F.array_append(F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("dl"))), F.struct(F.lit(None).cast("string").alias("term"), F.size("terms").alias("dl")))).alias("x"))
+    df = rows.groupBy("x.term").agg(F.count("*").alias("df"), F.sum("x.dl").alias("dl"))
+    size = df.where("term IS NULL").select(F.col("df").alias("n_docs"), (F.col("dl") / F.col("df")).alias("avgdl"))
+    raw = df.where("term IS NOT NULL").join(F.broadcast(size), F.lit(True)).withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))
     idf = F.when(F.col("raw") < 0, rules.BM25_EPSILON * F.col("mean")).otherwise(F.col("raw"))
     return raw.join(F.broadcast(mean), F.lit(True)).select("term", "df", idf.alias("idf"), "n_docs", "avgdl")
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int | None, id_col: str = "doc_id", text_col: str = "text", query_id: str = "query_id", query_text: str = "question") -> DataFrame:
-    """(query_id, id, score, rank): scores over 0 only, summed over the query's terms with repeats; all of them, unranked, where k is None. Statistics are the whole
-    corpus's, so access filters belong after this. Only postings of asked terms are scored."""
-    asked = queries.select(query_id, F.explode(words(F.lower(F.col(query_text)))).alias("term")).groupBy(query_id, "term").agg(F.count("*").alias("times"))
-    asked = small(asked.join(bm25_stats(docs, id_col, text_col), "term"), 200_000)
+def bm25(docs: DataFrame, queries: DataFrame, k: int | None, id_col: str = "doc_id", text_col: str = "text", query_id: str = "query_id", query_text: str = "question", keep: list[str] | None = None, stats: DataFrame | None = None, bound: DataFrame | None = None) -> DataFrame:
+    """(query_id, id, keep, score, rank): scores over 0 only, summed over the query's terms with repeats; all of them, unrounded and
+    unranked, where k is None. Statistics are the whole corpus's, so access filters belong after this; keep names columns of
+    docs that travel along for them. stats: a stored bm25_stats table, else it is computed. bound: a table whose size bounds the
+    queries', where the engine can't tell by them. Texts are dealt by id once; what is
+    asked for is then found, counted and summed up where a document is, and only ranked rows are shuffled again."""
+    bound = queries if bound is None else bound
+    words_asked = queries.select(query_id, F.explode(_parted(F.col(query_text))).alias("term")).groupBy(query_id, "term").agg(F.count("*").alias("times"))
+    terms_asked = small(words_asked.select("term").distinct(), bound)
+    known = (bm25_stats(docs, text_col) if stats is None else stats).join(terms_asked, "term", "left_semi")
+    asked = small(small(words_asked, bound).join(known, "term"), bound)
+    dealt = docs.select(id_col, *(keep or []), text_col).repartition(id_col)
+    terms = dealt.select(id_col, *(keep or []), _parted(F.col(text_col)).alias("terms")).withColumn("dl", F.size("terms"))
+    terms = terms.select(id_col, *(keep or []), "dl", F.explode("terms").alias("term")).join(terms_asked, "term", "left_semi")
+    found = terms.groupBy(id_col, *(keep or []), "dl", "term").agg(F.count("*").alias("tf"))
     length = rules.BM25_K1 * (1 - rules.BM25_B + rules.BM25_B * F.col("dl") / F.col("avgdl"))
     part = F.col("times") * F.col("idf") * F.col("tf") * (rules.BM25_K1 + 1) / (F.col("tf") + length)
-    scored = postings(docs, id_col, text_col).join(asked, "term").groupBy(query_id, id_col).agg(F.round(F.sum(part), 6).alias("score"))
+    scored = found.join(asked, "term").groupBy(query_id, id_col, *(keep or [])).agg(F.round(F.sum(part), RANKED).alias("score"))
     scored = scored.where("score > 0")
-    return scored if k is None else top(scored, [query_id], k, [F.desc("score"), F.col(id_col)])
+    return scored if k is None else top(scored, [query_id], k, [F.desc("score"), F.col(id_col)]).withColumn("score", F.round("score", SHOWN))
+
+
+def visible_lists(asked: DataFrame, docs: DataFrame, vectors: DataFrame, k: int, bound: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The k nearest and the k best by BM25 of what a question's role may see: (query_id, doc_id, score, rank) each. asked: query_id,
+    question, query_vector, access_levels; docs: doc_id, content, access_level; vectors: vec_id (= doc_id), embedding. Both
+    lists are cut after the filter; BM25 statistics are the whole corpus's."""
+    shown = vectors.join(docs.select("doc_id", "access_level"), F.col("vec_id") == F.col("doc_id"))
+    dense = knn(shown, asked.select("query_id", "query_vector", "access_levels"), k, access="access_level", levels="access_levels")
+    scored = bm25(docs, asked.select("query_id", "question"), None, text_col="content", keep=["access_level"], bound=bound)
+    allowed = matches(levels=F.col("access_levels"), access=F.col("access_level"))
+    scored = scored.join(small(asked.select("query_id", "access_levels"), bound), "query_id").where(allowed).select("query_id", "doc_id", "score")
+    return dense.withColumnRenamed("vec_id", "doc_id"), top(scored, ["query_id"], k, [F.desc("score"), F.col("doc_id")])
 
 
 def fuse(dense: DataFrame, sparse: DataFrame, id_col: str, query_id: str = "query_id", k: int = rules.RRF_K) -> DataFrame:
@@ -188,7 +229,7 @@ def roles(spark) -> DataFrame:
 
 def with_role(queries: DataFrame, role_col: str = "user_role") -> DataFrame:
     """queries with access_levels, rate_limit and max_chunks; unknown roles get the least of each."""
-    known = roles(queries.sparkSession)
+    known = roles(queries.sparkSession)  # five rows
     out = queries.join(F.broadcast(known), F.col(role_col) == F.col("role"), "left").drop("role")
     return out.withColumns({
         "access_levels": F.coalesce("access_levels", F.array(*map(F.lit, rules.DEFAULT_LEVELS))),
@@ -209,16 +250,33 @@ def rerank(found: DataFrame, n: int, id_col: str, query_id: str = "query_id", sc
     return top(scored, [query_id], n, [F.desc_nulls_last("rerank_score"), F.col(rank_col), F.col(id_col)], "rerank_rank")
 
 
-def embedder(model, dimension: int):
-    """A column function from text to array<float>: model maps a list of texts to a list of vectors. Loaded once a worker."""
+def retried(call, tries: int = 3, pause: float = 1.0):
+    """call, tried again after a failure, each time after twice the pause; the last failure is raised."""
 
-    @pandas_udf("array<float>")
-    def embed(batches):
-        import pandas as pd
+    def run(*args):
+        import time
 
-        run = model()
-        for batch in batches:
-            yield pd.Series([list(map(float, x))[:dimension] for x in run(batch.fillna("").tolist())])
+        for k in range(tries):
+            try:
+                return call(*args)
+            except Exception:  # noqa: BLE001  models fail in ways of their own
+                if k == tries - 1:
+                    raise
+                time.sleep(pause * 2**k)
+
+    return run
+
+
+def embedder(model, dimension: int, batch: int = 50, tries: int = 3, pause: float = 1.0):
+    """A column function from text to array<float>: model() gives a function from a list of texts to a list of vectors; it is loaded
+    once a worker, asked for batch texts at a time and tried again where it fails. Null is the empty text."""
+
+    @pandas_udf("array<float>")
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        run = retried(model(), tries, pause)
+        for texts in batches:
+            said = texts.fillna("").tolist()
+            yield pd.Series([list(map(float, x))[:dimension] for a in range(0, len(said), batch) for x in run(said[a : a + batch])], dtype=object)
 
     return embed
 
@@ -245,7 +303,32 @@ def hashed_terms(dimension: int = 64):
     return load
 
 
+def cache_key(model: str, text: Column) -> Column:
+    return F.md5(F.concat(F.lit(f"{model}:"), text))
+
+
 def cache_misses(texts: DataFrame, cached: DataFrame, model: str, text_col: str = "text") -> DataFrame:
     """Texts whose key, md5 of model:text, isn't in cached (key)."""
-    keyed = texts.withColumn("key", F.md5(F.concat(F.lit(f"{model}:"), F.col(text_col))))
-    return keyed.join(cached.select("key"), "key", "left_anti")
+    return texts.withColumn("key", cache_key(model, F.col(text_col))).join(cached.select("key"), "key", "left_anti")
+
+
+def cache_hits(texts: DataFrame, cached: DataFrame, model: str, text_col: str = "text") -> DataFrame:
+    """Texts whose key is in cached (key, vector), with the vector; a key that is cached twice counts once."""
+    once = cached.groupBy("key").agg(F.min("vector").alias("vector"))
+    return texts.withColumn("key", cache_key(model, F.col(text_col))).join(once, "key")
+
+
+def tokens_of(text: Column) -> Column:
+    """Tokens that a text is billed for: four characters each."""
+    return F.ceil(F.length(F.coalesce(text, F.lit(""))) / 4).cast("int")
+
+
+def embedded(texts: DataFrame, cached: DataFrame, name: str, model, dimension: int, text_col: str = "text", batch: int = 50) -> DataFrame:
+    """texts with key, vector, tokens and cached: vectors of known keys come from cached (key, vector), the others from the model,
+    each distinct text once, in batches of a fixed number. The model is asked again, with growing pauses, where it fails."""
+    keyed = texts.withColumn("key", cache_key(name, F.col(text_col)))
+    known = cached.groupBy("key").agg(F.min("vector").alias("vector"))
+    fresh = keyed.join(known, "key", "left_anti").groupBy("key").agg(F.min(text_col).alias("said"))
+    made = fresh.select("key", embedder(model, dimension, batch)("said").alias("vector"), F.lit(False).alias("cached"))
+    both = known.select("key", "vector", F.lit(True).alias("cached")).unionByName(made)
+    return keyed.join(both, "key").withColumn("tokens", F.when(F.col("cached"), 0).otherwise(tokens_of(F.col(text_col))))

@@ -17,7 +17,7 @@ def extractive(question: Column, context: Column) -> Column:
     )
 
 
-def answer(queries: DataFrame, docs: DataFrame, vectors: DataFrame, k: int = 10, generate: Callable[[Column, Column], Column] = extractive) -> DataFrame:
+def answer(queries: DataFrame, docs: DataFrame, vectors: DataFrame, k: int = 10, generate: Callable[[Column, Column], Column] = extractive, bound: DataFrame | None = None) -> DataFrame:
     """One row a question. queries: query_id, question, user_role, query_vector; docs: doc_id, content, source_file, document_category,
     regulatory_tags, access_level; vectors: vec_id (= doc_id), embedding. Blocked questions keep their row, with block_reason,
     and cost no retrieval. Access levels filter both lists; BM25 statistics are the whole corpus's."""
@@ -26,16 +26,9 @@ def answer(queries: DataFrame, docs: DataFrame, vectors: DataFrame, k: int = 10,
     asked = asked.withColumn("block_reason", F.when(entities, "pii").when(guardrails.blocks(found), "compliance"))
     open_ = asked.where(F.col("block_reason").isNull())
     levels = open_.select("query_id", "access_levels", "max_chunks", "question")
-    allowed = F.array_contains("access_levels", F.col("access_level"))
-
-    visible = docs.select("doc_id", "access_level")
-    shown = vectors.join(visible, F.col("vec_id") == F.col("doc_id"))
-    dense = retrieval.knn(shown, open_.select("query_id", "query_vector", "access_levels"), 2 * k, allowed=allowed).withColumnRenamed("vec_id", "doc_id")
-    scored = retrieval.bm25(docs, open_.select("query_id", "question"), None, text_col="content").join(visible, "doc_id")
-    scored = scored.join(retrieval.small(levels.select("query_id", "access_levels")), "query_id").where(allowed).select("query_id", "doc_id", "score")
-    sparse = retrieval.top(scored, ["query_id"], 2 * k, [F.desc("score"), F.col("doc_id")])
+    dense, sparse = retrieval.visible_lists(open_, docs, vectors, 2 * k, bound)
     fused = retrieval.hybrid(dense, sparse, k, "doc_id")
-    rows = fused.join(docs, "doc_id").join(retrieval.small(levels), "query_id")
+    rows = fused.join(docs, "doc_id").join(retrieval.small(levels, bound), "query_id")
     best = retrieval.rerank(rows, k, "doc_id").where(F.col("rerank_rank") <= F.col("max_chunks"))
     block = answers.source_block(F.col("rerank_rank"), F.col("source_file"), F.col("document_category"), F.col("regulatory_tags"), F.col("rerank_score"), F.lit(None).cast("string"), F.col("content"))
     context = answers.contexts(answers.within_budget(best.withColumn("block", block), "block", rank_col="rerank_rank"), "block", rank_col="rerank_rank")
