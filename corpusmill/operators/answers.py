@@ -10,10 +10,12 @@ from corpusmill.functions.text import any_in, basename, strings, strip, words
 
 #: Characters of a context: 6000 tokens of 4.
 CONTEXT_CHARS = 24_000
+# fixed value: the context of a question that nothing was found for
 NOTHING_FOUND = "No relevant documentation found."
 
 
 def source_block(ordinal: Column, source: Column, category: Column, tags: Column, score: Column, section: Column, content: Column) -> Column:
+    # fixed value: the header's form
     head = F.format_string("[SOURCE %d] %s | Category: %s | Regulatory: %s | Relevance: %.2f\n", ordinal, F.coalesce(F.nullif(basename(source), F.lit("")), F.lit("Unknown")), category, F.coalesce(F.nullif(F.array_join(tags, ", "), F.lit("")), F.lit("General")), score)
     return F.concat(head, F.coalesce(F.concat(F.lit("Section: "), section, F.lit("\n")), F.lit("")), F.lit("---\n"), content, F.lit("\n"))
 
@@ -94,11 +96,28 @@ def mentions_any(expected: Column, answer: Column) -> Column:
     return F.exists(expected, lambda c: F.contains(F.lower(answer), F.lower(F.left(c, F.lit(10)))))
 
 
-def p95(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """The value at place floor(0.95 n) from 0 in sorted order."""
-    w = Window.partitionBy(*by)
-    placed = rows.withColumns({"place": F.row_number().over(w.orderBy(value)), "n": F.count("*").over(w)})
-    return placed.where(F.col("place") == F.least(F.floor(F.col("n") * 0.95) + 1, F.col("n"))).select(*by, F.col(value).alias("p95"))
+def p95(rows: DataFrame, value: str, by: list[str], accuracy: int = 10_000) -> DataFrame:
+    """The value at place floor(0.95 n) from 0 in sorted order; nulls don't count. Approximate percentiles, which err by n / accuracy
+    places at most, bracket it ten times as wide. What lies below is counted, what lies within is counted by value, both
+    before the shuffle: no group, however large, is sorted."""
+    known, wide = rows.where(F.col(value).isNotNull()), 10 / accuracy
+    marks = known.groupBy(*by).agg(F.count("*").alias("n"), F.percentile_approx(value, [0.95 - wide, 0.95 + wide], accuracy).alias("marks"))
+    near = known.join(marks, by).where(F.col(value) <= F.col("marks")[1])
+    counted = near.groupBy(*by, "n", F.when(F.col(value) >= F.col("marks")[0], F.col(value)).alias("v")).agg(F.count("*").alias("times"))
+    upto = F.sum("times").over(Window.partitionBy(*by).orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    place = F.least(F.floor(F.col("n") * 0.95) + 1, F.col("n"))
+    return counted.withColumn("upto", upto).where(F.col("upto") >= place).groupBy(*by).agg(F.min("v").alias("p95"))
+
+
+def with_previous(rows: DataFrame, by: str, id_col: str, span: int = 4096) -> DataFrame:
+    """rows with previous: the next smaller id in the same group of by, null for a group's least. Ids are whole numbers. Ranges of
+    span ids are ordered apart, and only their last ids meet their group's, so a group of any size is spread over many tasks."""
+    at = rows.withColumn("range", F.floor(F.col(id_col) / span))
+    ends = at.groupBy(F.col(by).alias("of"), F.col("range").alias("of_range")).agg(F.max(id_col).alias("last"))
+    ends = ends.withColumn("before", F.lag("last").over(Window.partitionBy("of").orderBy("of_range"))).drop("last")
+    found = at.withColumn("previous", F.lag(id_col).over(Window.partitionBy(by, "range").orderBy(id_col)))
+    found = found.join(ends, F.col(by).eqNullSafe(F.col("of")) & (F.col("range") == F.col("of_range")))
+    return found.withColumn("previous", F.coalesce("previous", "before")).select(*rows.columns, "previous")
 
 
 def overall(f: Column, r: Column, p: Column, rc: Column, c: Column) -> Column:
@@ -167,6 +186,14 @@ def messages(history: Column, question: Column, context: Column) -> Column:
     return F.array_append(F.slice(turns, F.greatest(F.size(turns) - HISTORY + 1, F.lit(1)), HISTORY), asked)
 
 
+def system_prompt(role: Column) -> Column:
+    """What a model is told first, by the reader's role; unknown roles are customers."""
+    out = F.lit(f"{rules.SYSTEM} {rules.TONE['customer']}")
+    for name, tone in rules.TONE.items():
+        out = F.when(role == name, F.lit(f"{rules.SYSTEM} {tone}")).otherwise(out)
+    return out
+
+
 def found_or_first(found: Column, chunks: Column, n: int = 20) -> Column:
     """What retrieval found; where that is nothing, the document's first chunks."""
     return F.when(F.coalesce(F.size(found), F.lit(0)) > 0, F.slice(found, 1, n)).otherwise(F.slice(chunks, 1, n))
@@ -180,3 +207,17 @@ def report(metric: dict[str, Column]) -> Column:
         good = metric[name] <= bar if low else metric[name] >= bar
         lines.append(F.concat(F.lit(f"{name}: "), F.format_string("%.4f", metric[name].cast("double")), F.lit(f" ({'at most' if low else 'at least'} {bar}) "), F.when(good, "ok").otherwise("missed")))
     return F.concat_ws("\n", *lines, F.when(passes_bar(metric), "PASS").otherwise("FAIL"))
+
+
+def eval_samples(spark, n: int | None = None) -> DataFrame:
+    """The built-in evaluation set, or its first n by id."""
+    rows = spark.createDataFrame(rules.EVAL_SAMPLES, "sample_id string, question string, regulatory_citations array<string>, category string, relevant_doc_ids array<string>")
+    return rows if n is None else rows.orderBy("sample_id").limit(n)
+
+
+def write_report(evaluated: DataFrame, folder: str) -> bool:
+    """Writes the figures as JSON and the reports as text below folder; returns whether every row meets the bar (the gate of a run)."""
+    metric = {name: F.col(name) for name in rules.QUALITY_BAR}
+    evaluated.write.mode("overwrite").json(f"{folder}/figures")
+    evaluated.select(report(metric).alias("value")).write.mode("overwrite").text(f"{folder}/reports")
+    return evaluated.where(~passes_bar(metric)).limit(1).count() == 0

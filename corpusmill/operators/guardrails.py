@@ -19,6 +19,11 @@ def pii_counts(text: Column, min_confidence: float = rules.MIN_CONFIDENCE, thres
     return {kind: F.regexp_count(text, F.lit(pattern)) for kind, risk, sure, pattern, _ in rules.PII_RULES if sure >= min_confidence and rules.RISKS.index(risk) >= least}
 
 
+def pii_count_struct(text: Column, min_confidence: float = rules.MIN_CONFIDENCE, threshold: str = rules.RISK_THRESHOLD) -> Column:
+    """The counts as one struct, so that several figures can be drawn from one scan of the text."""
+    return F.struct(*(n.alias(kind) for kind, n in pii_counts(text, min_confidence, threshold).items()))
+
+
 def high_risk_count(text: Column) -> Column:
     risk_of = {kind: risk for kind, risk, *_ in rules.PII_RULES}
     return sum((n for kind, n in pii_counts(text).items() if risk_of[kind] == "high"), F.lit(0))
@@ -78,10 +83,11 @@ def without_overlaps(spans: DataFrame, fixed: DataFrame, key: str) -> DataFrame:
     return a.join(b, meet, "left_anti")
 
 
-def violations(text: Column) -> Column:
-    """array<struct(violation_type, severity, regulation, matched_text)>: the first match of each pattern, in rule order."""
+def violations(text: Column, table: list = rules.COMPLIANCE_RULES) -> Column:
+    """array<struct(violation_type, severity, regulation, matched_text)>: the first match of each pattern of a rule table (type,
+    severity, regulation, patterns), in its order."""
     found = []
-    for kind, severity, regulation, patterns in rules.COMPLIANCE_RULES:
+    for kind, severity, regulation, patterns in table:
         for pattern in patterns:
             match = F.regexp_extract(text, f"(?i){pattern}", 0)
             found.append(F.when(match != "", F.struct(F.lit(kind).alias("violation_type"), F.lit(severity).alias("severity"), F.lit(regulation).alias("regulation"), match.alias("matched_text"))))
@@ -93,6 +99,11 @@ def blocks(found: Column, at: str = "high") -> Column:
     return F.exists(found, lambda v: v["severity"].isin(strong))
 
 
+def of_severity(found: Column, severity: str) -> Column:
+    """The violations of one severity."""
+    return F.filter(found, lambda v: v["severity"] == severity)
+
+
 def disclaimer(text: Column) -> Column:
     """The first disclaimer whose pattern occurs and that text doesn't hold yet."""
     return F.coalesce(*(F.when((F.regexp_extract(text, pattern, 0) != "") & ~F.contains(text, F.lit(note)), F.lit(note)) for pattern, note in rules.DISCLAIMERS))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.functions import rules
 from corpusmill.functions.text import hmac_sha256
 
 
@@ -16,6 +17,75 @@ def histogram(rows: DataFrame, value: str, buckets: list[float], by: list[str])
     return sums.select(*by, F.inline(pairs))
 
 
+def histogram_totals(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """What a histogram shows beside its buckets: the sum and the number of observations."""
+    return rows.groupBy(*by).agg(F.round(F.sum(value), 6).alias("sum"), F.count(value).alias("count"))
+
+
+def performance(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Means of latency_ms, tokens and cost_usd, where a missing figure counts as 0; the latency at place floor(0.95 n); the sum of tokens."""
+    from corpusmill.operators.answers import p95
+
+    filled = rows.select(*by, *(F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("latency_ms", "tokens", "cost_usd")))
+    means = filled.groupBy(*by).agg(F.round(F.avg("latency_ms"), 6).alias("avg_latency_ms"), F.round(F.avg("tokens"), 6).alias("avg_tokens"), F.round(F.avg("cost_usd"), 8).alias("avg_cost_usd"), F.sum("tokens").alias("total_tokens"))
+    return means.join(p95(filled, "latency_ms", by).withColumnRenamed("p95", "p95_latency_ms"), by)
+
+
+def labelled(name: str, **labels: Column) -> Column:
+    """struct(metric, labels) of a counter or a histogram, labels in the order of its definition."""
+    order = rules.COUNTERS.get(name) or list(labels)
+    if set(order) != set(labels):
+        raise ValueError(f"{name} has the labels {', '.join(order)}")
+    pairs = [F.concat(F.lit(f'{x}="'), labels[x].cast("string"), F.lit('"')) for x in order]
+    return F.struct(F.lit(name).alias("metric"), (F.concat_ws(",", *pairs) if pairs else F.lit("")).alias("labels"))
+
+
+def _observed(what: Column, value: Column) -> Column:
+    return F.struct(what["metric"].alias("metric"), what["labels"].alias("labels"), value.cast("double").alias("value"))
+
+
+def observations(rows: DataFrame) -> DataFrame:
+    """(metric, labels, value): what a finished question adds: itself, its tokens by type, its cost, whether the cache had it, and one
+    observation for each retrieval score. rows: user_role, document_category, success, tokens_input, tokens_output, model,
+    cost_usd, retrieval_scores (array), cache_hit."""
+    c = F.col
+    kept = F.array(
+        _observed(labelled("queries_total", user_role=c("user_role"), document_category=c("document_category"), success=c("success")), F.lit(1)),
+        _observed(labelled("token_usage_total", model=c("model"), token_type=F.lit("input")), c("tokens_input")),
+        _observed(labelled("token_usage_total", model=c("model"), token_type=F.lit("output")), c("tokens_output")),
+        _observed(labelled("cost_usd_total", model=c("model"), operation=F.lit("generation")), c("cost_usd")),
+        _observed(labelled("cache_hits_total", cache_type=F.lit("query"), result=F.when(c("cache_hit"), "hit").otherwise("miss")), F.lit(1)),
+    )
+    scores = F.transform("retrieval_scores", lambda x: _observed(labelled("retrieval_score", user_role=c("user_role")), x))
+    return rows.select(F.inline(F.concat(kept, scores)))
+
+
+def security_observations(rows: DataFrame) -> DataFrame:
+    """(metric, labels, value) of guarded questions: each kind of personal data, each violation (severity high, regulation mixed) and
+    the block. rows: pii_types, violation_types (arrays), block_reason."""
+    one = F.lit(1)
+    data = F.transform("pii_types", lambda x: _observed(labelled("pii_detections_total", pii_type=x, location=F.lit("query")), one))
+    broken = F.transform("violation_types", lambda x: _observed(labelled("compliance_violations_total", violation_type=x, severity=F.lit("high"), regulation=F.lit("mixed")), one))
+    block = F.array_compact(F.array(F.when(F.col("block_reason").isNotNull(), _observed(labelled("blocked_queries_total", block_reason=F.col("block_reason")), one))))
+    return rows.select(F.inline(F.concat(data, broken, block)))
+
+
+def exposition(observed: DataFrame) -> DataFrame:
+    """(line): the text form of (metric, labels, value) rows that scrapers read: counters as sums; histograms as cumulative buckets, sum
+    and count. One pass, summed before the shuffle."""
+    sums = observed.where(F.col("metric").isin(list(rules.COUNTERS))).groupBy("metric", "labels").agg(F.sum("value").alias("value"))
+    lines = [sums.select(F.format_string("%s{%s} %.6f", "metric", "labels", "value").alias("line"))]
+    for name, edges in rules.BUCKETS.items():
+        rows = observed.where(F.col("metric") == name)
+        joined = F.when(F.col("labels") == "", F.lit("")).otherwise(F.concat("labels", F.lit(",")))
+        lines.append(histogram(rows, "value", edges, ["metric", "labels"]).select(F.format_string('%s_bucket{%sle="%s"} %d', "metric", joined, "le", "count")))
+        lines.append(histogram_totals(rows, "value", ["metric", "labels"]).select(F.explode(F.array(F.format_string("%s_sum{%s} %.6f", "metric", "labels", "sum"), F.format_string("%s_count{%s} %d", "metric", "labels", "count")))))
+    out = lines[0]
+    for x in lines[1:]:
+        out = out.union(x)
+    return out
+
+
 def counters(rows: DataFrame, by: list[str], amounts: dict[str, Column]) -> DataFrame:
     return rows.groupBy(*by).agg(F.count("*").alias("total"), *(F.round(F.sum(x), 6).alias(name) for name, x in amounts.items()))
 
@@ -49,6 +119,28 @@ def query_events(rows: DataFrame) -> DataFrame:
     )
 
 
+def security_events(rows: DataFrame) -> DataFrame:
+    """Audit rows of security events. rows: event_id, event_type, user_id, description, severity (high where missing), was_blocked."""
+    return rows.select("event_id", "event_type", "user_id", F.coalesce("severity", F.lit("high")).alias("severity"), F.coalesce("was_blocked", F.lit(False)).alias("was_blocked"), F.col("description").alias("block_reason"))
+
+
+def auth_events(rows: DataFrame) -> DataFrame:
+    """Audit rows of sign-ins: blocked where they failed, with the reason. rows: event_id, event_type, user_id, success, failure_reason."""
+    return rows.select("event_id", "event_type", "user_id", (~F.col("success")).alias("was_blocked"), F.col("failure_reason").alias("block_reason"))
+
+
+def stamped(events: DataFrame, at: str | None = None, id_of: list[str] | None = None) -> DataFrame:
+    """events with event_id and ts: at as it is given (else now, in UTC) and a random id, or one made of the columns id_of, which a
+    task that runs again makes again."""
+    if id_of:
+        h = F.md5(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in id_of)))
+        name = F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
+    else:
+        name = F.uuid()
+    now = F.lit(at) if at else F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+    return events.withColumns({"event_id": name, "ts": now})
+
+
 def as_json(events: DataFrame) -> DataFrame:
     """Each event as one line without its null fields."""
     return events.select(F.to_json(F.struct("*"), {"ignoreNullFields": "true"}).alias("value"))

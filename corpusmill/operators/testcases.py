@@ -10,6 +10,7 @@ from corpusmill.functions.text import strip
 
 STEP = "struct<step_number:int,action:string,expected:string>"
 CASE = f"struct<title:string,test_type:string,priority:string,preconditions:array<string>,steps:array<{STEP}>,expected_result:string,linked_requirement:string,tags:array<string>>"
+# fixed value: the gap that stands for output which can't be read
 UNPARSED = "LLM returned unparseable output"
 
 
@@ -39,6 +40,33 @@ def parsed(outputs: DataFrame, raw: str = "raw") -> DataFrame:
     return outputs.withColumns({"cases": F.coalesce(kept, F.array().cast(f"array<{CASE}>")), "coverage_gaps": F.when(items.isNull(), F.array(F.lit(UNPARSED))).otherwise(F.coalesce(gaps, nothing))})
 
 
+def prompts(requests: DataFrame, most: int = rules.PROMPT_CASES) -> DataFrame:
+    """requests (chunks array, test_types array) with prompt: the first chunks, the types wanted, an example for each type that has one,
+    and how many cases are wished for, which nothing enforces."""
+    table = F.create_map(*(F.lit(x) for pair in rules.EXAMPLES.items() for x in pair))
+    shown = F.transform(F.filter("test_types", lambda t: t.isin(list(rules.EXAMPLES))), lambda t: F.element_at(table, t))
+    text = F.concat(
+        F.lit("REQUIREMENTS:\n"), F.array_join(F.slice("chunks", 1, rules.PROMPT_CHUNKS), "\n\n---\n\n"),
+        F.lit(f"\n\nWrite up to {most} test cases of these types: "), F.array_join("test_types", ", "),
+        F.lit(".\nEach names the requirement it tests. After the JSON array, on a line of its own: {\"coverage_gaps\": [...]}.\n\nEXAMPLES:\n"), F.array_join(shown, "\n"),
+    )
+    return requests.withColumn("prompt", text)
+
+
+def generated(requests: DataFrame, generate, most: int = rules.PROMPT_CASES) -> DataFrame:
+    """requests with prompt, raw, cases and coverage_gaps: generate is a function from a prompt column to a model's output."""
+    return parsed(prompts(requests, most).withColumn("raw", generate(F.col("prompt"))))
+
+
+def outcomes(requests: DataFrame, cases: DataFrame, documents: DataFrame, key: str = "document_id") -> DataFrame:
+    """requests (key, format) with outcome: unknown format, not found (no such document), no cases, or ready; and the number of cases."""
+    known = documents.select(key).distinct().withColumn("known", F.lit(True))
+    counted = cases.groupBy(key).agg(F.count("*").alias("cases"))
+    rows = requests.join(known, key, "left").join(counted, key, "left").withColumn("cases", F.coalesce("cases", F.lit(0)))
+    outcome = F.when(~F.col("format").isin(list(EXPORTS)), "unknown format").when(F.col("known").isNull(), "not found").when(F.col("cases") == 0, "no cases").otherwise("ready")
+    return rows.withColumn("outcome", outcome).drop("known")
+
+
 def reviewed(cases: DataFrame, reviews: DataFrame, key: str = "id") -> DataFrame:
     """approve and reject set the status; edit with an edited title replaces it and approves; anything else changes nothing. One review
     a case."""
