@@ -6,6 +6,7 @@ import io
 import re
 import zipfile
 from collections.abc import Callable, Iterator
+from html.parser import HTMLParser
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -39,22 +40,35 @@ def read_docx(data: bytes) -> tuple[str, int]:
     return "\n\n".join([*parts, "[TABLES]", *rows] if rows else parts), 1
 
 
+def _column(ref: str) -> int:
+    """The number of a cell's column, from 0, by the letters of its reference."""
+    n = 0
+    for x in ref.rstrip("0123456789"):
+        n = 26 * n + ord(x) - 64
+    return n - 1
+
+
 def read_xlsx(data: bytes) -> tuple[str, int]:
-    """Each sheet's name and its rows that aren't empty, cells joined by bars."""
+    """Each sheet's name and its rows that aren't empty, cells joined by bars, missing ones as empty. Sheets are found by the
+    workbook's relations, in its order."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         names, out = set(z.namelist()), []
         shared = ["".join(t.text or "" for t in x.iter(f"{SHEET}t")) for x in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{SHEET}si")] if "xl/sharedStrings.xml" in names else []
-        sheets = ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{SHEET}sheet")
-        for k, sheet in enumerate(sheets, 1):
-            if f"xl/worksheets/sheet{k}.xml" in names:
-                out.append(f"[Sheet: {sheet.get('name')}]")
-                for row in ElementTree.fromstring(z.read(f"xl/worksheets/sheet{k}.xml")).iter(f"{SHEET}row"):
-                    cells = []
-                    for c in row.iter(f"{SHEET}c"):
-                        v = c.find(f"{SHEET}v")
-                        cells.append("".join(t.text or "" for t in c.iter(f"{SHEET}t")) if c.get("t") == "inlineStr" else "" if v is None else shared[int(v.text)] if c.get("t") == "s" else v.text or "")
-                    if any(x.strip() for x in cells):
-                        out.append(" | ".join(cells))
+        targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))} if "xl/_rels/workbook.xml.rels" in names else {}
+        for k, sheet in enumerate(ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{SHEET}sheet"), 1):
+            target = targets.get(next((v for a, v in sheet.attrib.items() if a.endswith("}id")), None), f"worksheets/sheet{k}.xml")
+            path = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+            if path not in names:
+                continue
+            out.append(f"[Sheet: {sheet.get('name')}]")
+            for row in ElementTree.fromstring(z.read(path)).iter(f"{SHEET}row"):
+                cells: list[str] = []
+                for c in row.iter(f"{SHEET}c"):
+                    cells += [""] * ((_column(c.get("r")) if c.get("r") else len(cells)) - len(cells))
+                    v = c.find(f"{SHEET}v")
+                    cells.append("".join(t.text or "" for t in c.iter(f"{SHEET}t")) if c.get("t") == "inlineStr" else "" if v is None else shared[int(v.text)] if c.get("t") == "s" else v.text or "")
+                if any(x.strip() for x in cells):
+                    out.append(" | ".join(cells))
     return "\n".join(out), 1
 
 
@@ -80,8 +94,58 @@ def read_text(data: bytes) -> tuple[str, int]:
     return decode(data), 1
 
 
+def plain_pdf(data: bytes) -> tuple[str, int]:
+    """All pages, blank ones too, joined by blank lines; without the optional package, or where it fails, the bytes read as text."""
+    try:
+        from pypdf import PdfReader
+
+        pages = [p.extract_text() or "" for p in PdfReader(io.BytesIO(data)).pages]
+        return "\n\n".join(pages), len(pages)
+    except Exception:  # noqa: BLE001  a broken file is read as far as it goes
+        return data.decode("utf-8", "ignore"), 1
+
+
+def plain_docx(data: bytes) -> tuple[str, int]:
+    """Paragraphs that aren't blank, a line each; tables are left out."""
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{WORD}body")
+    said = ("".join(t.text or "" for t in p.iter(f"{WORD}t")) for p in body.findall(f"{WORD}p"))
+    return "\n".join(x for x in said if x.strip()), 1
+
+
+class _Text(HTMLParser):
+    def __init__(self) -> None:
+        super().__init__()
+        self.parts: list[str] = []
+
+    def handle_data(self, data: str) -> None:
+        self.parts.append(data)
+
+
+def plain_html(data: bytes) -> tuple[str, int]:
+    """The texts between tags, a line each."""
+    made = _Text()
+    made.feed(data.decode("utf-8", "ignore"))
+    made.close()
+    return "\n".join(x.strip() for x in made.parts if x.strip()), 1
+
+
+def plain_text(data: bytes) -> tuple[str, int]:
+    return data.decode("utf-8", "ignore"), 1
+
+
 #: Readers by extension; callers may add theirs.
 READERS: dict[str, Callable[[bytes], tuple[str, int]]] = {".pdf": read_pdf, ".docx": read_docx, ".doc": read_docx, ".xlsx": read_xlsx, ".csv": read_csv, ".html": read_html, ".htm": read_html, ".txt": read_text, ".md": read_text}
+#: Readers of requirement files, which keep no marks of pages, sheets or tables.
+PLAIN_READERS: dict[str, Callable[[bytes], tuple[str, int]]] = {".pdf": plain_pdf, ".docx": plain_docx, ".doc": plain_docx, ".html": plain_html, ".htm": plain_html, ".txt": plain_text, ".md": plain_text}
+# fixed values: the media type that goes with an extension
+MEDIA = {
+    ".pdf": "application/pdf",
+    ".docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
+    ".txt": "text/plain",
+    ".xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",
+    ".csv": "text/csv",
+}
 
 
 def html_text(html: Column) -> Column:
@@ -94,6 +158,19 @@ def refusal(path: Column, length: Column, allowed: list[str] = LOADED, most: int
     return F.when(~extension(path).isin(allowed), F.lit("unsupported file type")).when(length > most, F.lit("too large"))
 
 
+def upload_refusal(path: Column, length: Column) -> Column:
+    """The same for uploaded requirement files, which may have other extensions and be smaller."""
+    return refusal(path, length, UPLOADED, UPLOAD_BYTES)
+
+
+def media_warning(path: Column, media: Column) -> Column:
+    """A note where a file's media type isn't its extension's; null where it is, and where either is unknown. It refuses nothing."""
+    want = F.lit(None).cast("string")
+    for kind, name in MEDIA.items():
+        want = F.when(extension(path) == kind, name).otherwise(want)
+    return F.when(media != want, F.concat(F.lit("expected "), want, F.lit(", found "), media))
+
+
 def files(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
 

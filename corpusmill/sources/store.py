@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,44 +10,102 @@ from pyspark.sql import functions as F
 
 
 class ChunkStore:
-    """Versions are folders below root: a write makes a new one and then names it in the pointer table, so readers never see half
-    a write. Filters on access_level prune partitions."""
+    """Rows lie in root/data/<partition>=<value>/batch=<id>. A version is a small JSON file, root/versions/<number>.json, that names the
+    batches of each partition and the store's settings. A write adds batches and then creates the next version's file, which
+    only one of several writers can: readers see a whole version or the one before, and a writer that comes second gets an
+    error and may try again. A change of some rows rewrites the partitions that hold them and no others."""
 
-    def __init__(self, spark: SparkSession, root: str, schema: str, partition: str = "access_level") -> None:
+    def __init__(self, spark: SparkSession, root: str, schema: str, partition: str = "access_level", settings: dict | None = None) -> None:
         self.spark, self.root, self.schema, self.partition = spark, root.rstrip("/"), schema, partition
+        self.settings = settings or {}
+        hadoop = spark._jvm.org.apache.hadoop.fs
+        self._path = hadoop.Path
+        self._fs = hadoop.Path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _current(self) -> str | None:
+    def _current(self) -> tuple[int, dict]:
+        """The newest version's number and content; 0 and nothing before the first write."""
+        folder = self._path(f"{self.root}/versions")
+        names = [x.getPath().getName() for x in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
+        last = max((int(x.removesuffix(".json")) for x in names if x.endswith(".json")), default=0)
+        if not last:
+            return 0, {"batches": {}, "settings": self.settings}
+        with_text = self.spark.read.text(f"{self.root}/versions/{last:012d}.json", wholetext=True)
+        return last, json.loads(with_text.first()[0])
+
+    def _commit(self, number: int, content: dict) -> None:
+        """Creates version number; an error if another writer has."""
+        out = self._fs.create(self._path(f"{self.root}/versions/{number:012d}.json"), False)
         try:
-            found = self.spark.read.schema("version long, folder string").json(f"{self.root}/pointer").orderBy(F.desc("version")).first()
-        except Exception as e:  # the pointer isn't there before the first write
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return None
-        return found["folder"] if found else None
-
-    def _put(self, rows: DataFrame, mode: str) -> None:
-        now = self._current()
-        if mode == "append" and now:
-            rows.write.mode("append").partitionBy(self.partition).parquet(f"{self.root}/{now}")
-            return
-        folder = f"v-{uuid.uuid4().hex}"
-        rows.write.partitionBy(self.partition).parquet(f"{self.root}/{folder}")
-        version = 1 + (int(self.spark.read.schema("version long, folder string").json(f"{self.root}/pointer").agg(F.max("version")).first()[0]) if now else 0)
-        self.spark.createDataFrame([(version, folder)], "version long, folder string").coalesce(1).write.mode("append").json(f"{self.root}/pointer")
+            out.write(bytearray(json.dumps(content, sort_keys=True).encode()))
+        finally:
+            out.close()
+
+    def _add(self, rows: DataFrame) -> dict[str, str]:
+        """Writes rows as one batch; the partitions that it has, by their folders' names."""
+        batch = uuid.uuid4().hex
+        rows.withColumn("batch", F.lit(batch)).write.mode("append").partitionBy(self.partition, "batch").parquet(f"{self.root}/data")
+        top = self._path(f"{self.root}/data")
+        names = [x.getPath().getName() for x in self._fs.listStatus(top)] if self._fs.exists(top) else []
+        return {x: batch for x in names if x.startswith(f"{self.partition}=") and self._fs.exists(self._path(f"{self.root}/data/{x}/batch={batch}"))}
+
+    def _rows(self, batches: dict[str, list[str]]) -> DataFrame:
+        paths = [f"{self.root}/data/{x}/batch={b}" for x, held in sorted(batches.items()) for b in held]
+        names = [x.name for x in self.spark.createDataFrame([], self.schema).schema]
+        if not paths:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).option("basePath", f"{self.root}/data").parquet(*paths).select(*names)
+
+    def _sound(self, rows: DataFrame) -> None:
+        size = self.settings.get("dimension")
+        if size and "vector" in rows.columns and rows.where(F.col("vector").isNotNull() & (F.size("vector") != size)).limit(1).count():
+            raise ValueError(f"vectors must have {size} components")
+
+    def create(self) -> bool:
+        """Makes the first, empty version with the settings, if there is none; whether it did."""
+        number, content = self._current()
+        if not number:
+            self._commit(1, content)
+        return not number
 
     def read(self) -> DataFrame:
-        now = self._current()
-        return self.spark.read.schema(self.schema).parquet(f"{self.root}/{now}") if now else self.spark.createDataFrame([], self.schema)
+        return self._rows(self._current()[1]["batches"])
 
     def append(self, rows: DataFrame) -> None:
-        self._put(rows, "append")
+        """Adds rows, whatever keys are there already."""
+        self._sound(rows)
+        number, content = self._current()
+        for x, batch in self._add(rows).items():
+            content["batches"].setdefault(x, []).append(batch)
+        self._commit(number + 1, content)
+
+    def _replace(self, number: int, content: dict, gone: DataFrame, keep, more: DataFrame | None) -> None:
+        """Rewrites the partitions that rows of gone are in (few: they are access levels) with what keep leaves of them, and adds more."""
+        name = F.coalesce(F.col(self.partition).cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__"))
+        touched = {f"{self.partition}={r[0]}" for r in gone.select(name).distinct().collect()}
+        old = {x: b for x, b in content["batches"].items() if x in touched}
+        rest = {x: b for x, b in content["batches"].items() if x not in touched}
+        rows = keep(self._rows(old))
+        for x, batch in self._add(rows if more is None else rows.unionByName(more)).items():
+            rest.setdefault(x, []).append(batch)
+        self._commit(number + 1, {**content, "batches": rest})
 
     def upsert(self, rows: DataFrame, key: str = "chunk_id") -> None:
-        """Rows replace those with their key."""
-        self._put(self.read().join(rows.select(key), key, "left_anti").unionByName(rows), "replace")
+        """Rows replace those with their key; of several rows with one key the greatest, by all columns, stays."""
+        self._sound(rows)
+        number, content = self._current()
+        others = [c for c in rows.columns if c != key]
+        one = rows.groupBy(key).agg(F.max(F.struct(*others)).alias("m")).select(key, *(f"m.{c}" for c in others)).select(*rows.columns)
+        gone = self._rows(content["batches"]).join(one.select(key), key, "left_semi")
+        self._replace(number, content, gone, lambda old: old.join(one.select(key), key, "left_anti"), one)
 
     def delete(self, doc_id, column: str = "doc_id") -> None:
-        self._put(self.read().where(~F.col(column).eqNullSafe(F.lit(doc_id))), "replace")
+        number, content = self._current()
+        hit = F.col(column).eqNullSafe(F.lit(doc_id))
+        self._replace(number, content, self._rows(content["batches"]).where(hit), lambda old: old.where(~hit), None)
+
+    def find(self, value, column: str = "doc_id") -> DataFrame:
+        """The rows of one document; none where it isn't there."""
+        return self.read().where(F.col(column) == F.lit(value))
 
     def stats(self) -> DataFrame:
         rows = self.read()
@@ -54,4 +113,4 @@ class ChunkStore:
         return rows.agg(F.count("*").alias("chunks"), F.count_distinct("doc_id").alias("documents"), size.alias("dimension"))
 
     def healthy(self) -> bool:
-        return self._current() is not None
+        return self._current()[0] > 0
