@@ -135,8 +135,8 @@ def chunk_section(spark, folder):
 
 # ---- retrieval
 
-QUERY_VECTORS_SQL = "q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS query_vector FROM embeddings WHERE vec_id < 10)"
-COSINE_SQL = "round(list_dot_product(query_vector, e.embedding::DOUBLE[]) / sqrt(list_dot_product(query_vector, query_vector) * list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])), 6)"
+QUERY_VECTORS_SQL = "q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS query_vector FROM embeddings WHERE vec_id % 20 = 0)"
+COSINE_SQL = "round(list_dot_product(query_vector, e.embedding::DOUBLE[]) / sqrt(list_dot_product(query_vector, query_vector) * list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])), 10)"
 
 
 def _asked(spark, folder):
@@ -145,7 +145,7 @@ def _asked(spark, folder):
 
 
 def _knn_sql(where: str, k: int) -> str:
-    return f"WITH {QUERY_VECTORS_SQL}, s AS (SELECT query_id, vec_id, {COSINE_SQL} AS score FROM q, embeddings e WHERE {where}), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s WHERE score >= -2 {{}}) SELECT * FROM r WHERE rank <= {k}"
+    return f"WITH {QUERY_VECTORS_SQL}, s AS (SELECT query_id, vec_id, {COSINE_SQL} AS score FROM q, embeddings e WHERE {where}), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s WHERE score >= -2 {{}}) SELECT query_id, vec_id, round(score, 6) AS score, rank FROM r WHERE rank <= {k}"
 
 
 @query(_knn_sql("true", 10).format(""))
@@ -182,21 +182,27 @@ BM25_SQL = f"""
 ASKED_SQL = f"asked AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest({_words('lower(text)')}) AS term FROM benchmark) GROUP BY ALL)"
 SPARSE_SQL = f"""
     {BM25_SQL}, {ASKED_SQL},
-    bm AS (SELECT query_id, doc_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM postings JOIN stats USING (term) JOIN asked USING (term) GROUP BY ALL),
+    bm AS (SELECT query_id, doc_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 10) AS score FROM postings JOIN stats USING (term) JOIN asked USING (term) GROUP BY ALL),
     sparse AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM bm WHERE score > 0)
 """
 
 
-@query(f"WITH {BM25_SQL} SELECT term, df, round(idf, 6) AS idf FROM stats")
+@query(f"""
+    WITH parted AS MATERIALIZED (SELECT {_words("lower(coalesce(text, ''))")} AS w FROM documents),
+    df AS MATERIALIZED (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(w)) AS term FROM parted) GROUP BY term),
+    raw AS MATERIALIZED (SELECT term, df, ln(n_docs - df + 0.5) - ln(df + 0.5) AS raw FROM df, (SELECT count(*) AS n_docs FROM parted)),
+    mean AS (SELECT avg(raw) AS mean FROM raw)
+    SELECT term, df, round(CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END, 6) AS idf FROM raw, mean
+""")
 def bm25_stats(spark, folder):
-    return retrieval.bm25_stats(read(spark, folder, "documents"), "doc_id", "text").select("term", "df", F.round("idf", 6).alias("idf"))
+    return retrieval.bm25_stats(read(spark, folder, "documents"), "text").select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def _questions(spark, folder):
     return read(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
 
 
-@query(f"WITH {SPARSE_SQL} SELECT query_id, doc_id, score, rank FROM sparse WHERE rank <= 10")
+@query(f"WITH {SPARSE_SQL} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM sparse WHERE rank <= 10")
 def bm25_topk(spark, folder):
     return retrieval.bm25(read(spark, folder, "documents"), _questions(spark, folder), 10)
 
@@ -234,26 +240,23 @@ _ROLE_SQL = "roles(role, levels, chunks) AS (VALUES " + ", ".join(f"('{r}', {_qu
 
 
 @query(f"""
-    WITH {DENSE_SQL}, {SPARSE_SQL}, {FUSED_SQL}, {_ROLE_SQL}, {DOCS_SQL},
+    WITH {_ROLE_SQL}, {DOCS_SQL},
     asks AS (SELECT item_id AS query_id, {_quoted(r[0] for r in rules.ROLES)}[item_id % 5 + 1] AS user_role FROM benchmark),
-    seen AS (SELECT f.query_id, user_role, f.doc_id, rrf, dense_rank, chunks FROM fused f JOIN asks USING (query_id) JOIN roles ON role = user_role JOIN docs d ON d.doc_id = f.doc_id AND list_contains(levels, access_level) WHERE dense_rank IS NOT NULL),
-    cut AS (SELECT query_id, user_role, doc_id, rrf, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, dense_rank, doc_id)::INT AS rank, least(chunks, 5) AS max_chunks FROM seen)
+    able AS (SELECT query_id, user_role, doc_id, least(chunks, 5) AS max_chunks FROM asks JOIN roles ON role = user_role JOIN docs ON list_contains(levels, access_level)),
+    q AS (SELECT item_id AS query_id, embedding::DOUBLE[] AS query_vector FROM benchmark JOIN embeddings ON vec_id = item_id),
+    near AS (SELECT query_id, doc_id, {COSINE_SQL} AS score FROM able JOIN q USING (query_id) JOIN embeddings e ON vec_id = doc_id),
+    dense AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM near),
+    {SPARSE_SQL.replace("FROM bm WHERE", "FROM bm JOIN able USING (query_id, doc_id) WHERE")}, {FUSED_SQL},
+    cut AS (SELECT query_id, user_role, doc_id, rrf, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, dense_rank, doc_id)::INT AS rank, max_chunks
+            FROM fused JOIN able USING (query_id, doc_id) WHERE dense_rank IS NOT NULL)
     SELECT * FROM cut WHERE rank <= max_chunks
 """)
 def hybrid_rbac(spark, folder):
     """Both lists are cut after the role's filter, as the reference does; BM25 statistics are the whole corpus's."""
     asked = retrieval.with_role(bindings.questions(spark, folder))
-    visible = documents(spark, folder).select("doc_id", "access_level")
-    allowed = retrieval.matches(levels=F.col("access_levels"), access=F.col("access_level"))
-    shown = read(spark, folder, "embeddings").select("vec_id", "embedding").join(visible, F.col("vec_id") == F.col("doc_id"))
-    dense = retrieval.knn(shown, asked.select("query_id", "query_vector", "access_levels"), 20, allowed=allowed).withColumnRenamed("vec_id", "doc_id")
-    # the level travels in the key, so that scores needn't be shuffled again to meet it
-    keyed = documents(spark, folder).select(F.struct("doc_id", "access_level").alias("key"), F.col("content").alias("text"))
-    scored = retrieval.bm25(keyed, _questions(spark, folder), None, id_col="key").select("query_id", "key.doc_id", "key.access_level", "score")
-    scored = scored.join(retrieval.small(asked.select("query_id", "access_levels")), "query_id").where(allowed).select("query_id", "doc_id", "score")
-    sparse = retrieval.top(scored, ["query_id"], 20, [F.desc("score"), F.col("doc_id")])
+    dense, sparse = retrieval.visible_lists(asked, documents(spark, folder), read(spark, folder, "embeddings").select("vec_id", "embedding"), 20, read(spark, folder, "benchmark"))
     fused = retrieval.fuse(dense, sparse, "doc_id").where("dense_rank IS NOT NULL")
-    seen = fused.join(retrieval.small(asked.select("query_id", "user_role", "max_chunks")), "query_id")
+    seen = fused.join(retrieval.small(asked.select("query_id", "user_role", "max_chunks"), read(spark, folder, "benchmark")), "query_id")
     cut = retrieval.top(seen, ["query_id"], rules.MOST_CHUNKS, [F.desc("rrf"), F.col("dense_rank"), F.col("doc_id")])
     return cut.where("rank <= max_chunks").select("query_id", "user_role", "doc_id", "rrf", "rank", "max_chunks")
 
@@ -276,7 +279,7 @@ def rerank_lexical(spark, folder):
 
 @query(f"""
     WITH {SPARSE_SQL}, {DOCS_SQL}, {CLASSIFIED_SQL},
-    found AS (SELECT query_id, rank, '[SOURCE ' || rank || '] ' || source_file || ' | Category: ' || document_category || ' | Regulatory: ' || coalesce(nullif(array_to_string(regulatory_tags, ', '), ''), 'General') || ' | Relevance: ' || printf('%.2f', score) || E'\\n---\\n' || content || E'\\n' AS block
+    found AS (SELECT query_id, rank, '[SOURCE ' || rank || '] ' || source_file || ' | Category: ' || document_category || ' | Regulatory: ' || coalesce(nullif(array_to_string(regulatory_tags, ', '), ''), 'General') || ' | Relevance: ' || printf('%.2f', round(score, 6)) || E'\\n---\\n' || content || E'\\n' AS block
               FROM sparse JOIN classified USING (doc_id) WHERE rank <= 10),
     used AS (SELECT *, sum(length(block)) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM found)
     SELECT query_id, count(*) AS n_sources, md5(string_agg(block, E'\\n\\n' ORDER BY rank)) AS context_md5 FROM used WHERE used <= 24000 GROUP BY query_id
@@ -301,12 +304,13 @@ ANSWERS_SQL = """
 
 
 def _answers(spark, folder):
-    from pyspark.sql import Window
-
     k, text, source = F.col("doc_id") % 3, F.col("text"), F.col("source")
     cited = F.when(k == 0, F.concat(text, F.lit(" [Source: "), source, F.lit(".pdf] and (source: b.txt)"))).when(k == 1, F.concat(F.lit("According to "), source, F.lit(".pdf, "), text)).otherwise(text)
-    before = F.lag("text").over(Window.partitionBy("source").orderBy("doc_id"))
-    return read(spark, folder, "documents").select("doc_id", text.alias("answer"), F.coalesce(before, F.lit("")).alias("context"), cited.alias("cited"))
+    docs = read(spark, folder, "documents")
+    before = answers.with_previous(docs.select("source", "doc_id"), "source", "doc_id").select("doc_id", "previous")
+    texts = docs.select(F.col("doc_id").alias("previous"), F.col("text").alias("context"))
+    rows = docs.join(before, "doc_id").join(texts, "previous", "left")
+    return rows.select("doc_id", text.alias("answer"), F.coalesce("context", F.lit("")).alias("context"), cited.alias("cited"))
 
 
 def _keys(x: str, stop: list[str]) -> str:
@@ -348,36 +352,32 @@ def source_citations(spark, folder):
 
 # ---- guardrails
 
-_BEFORE, _AFTER = r"(?:^|[^\p{L}\p{N}_])", r"(?:$|[^\p{L}\p{N}_])"
-#: Rules of the scan whose patterns mean the same in both dialects on this corpus; the SSN rule looks ahead.
-_PII_SQL_RULES = {
-    "tax_id": r"\d{2}-\d{7}",
-    "phone": r"[2-9][0-9]{2}\)?[-.\s][2-9][0-9]{2}[-.\s][0-9]{4}",
-}
+#: The look-aheads of the SSN rule, which the SQL dialect lacks, as conditions on what the rest of its pattern matches.
+_SSN_SQL = r"list_filter(regexp_extract_all(text, '\b\d{3}[-\s]?\d{2}[-\s]?\d{4}\b'), lambda x: NOT regexp_matches(x, '^(000|666|9)') AND NOT regexp_matches(x, '^\d{3}[-\s]?00') AND NOT regexp_matches(x, '0000$'))"
+_PII_SQL = {kind: f"len({_SSN_SQL})::INT" if kind == "ssn" else f"len(regexp_extract_all(text, '{pattern.replace(chr(39), chr(39) * 2)}'))::INT" for kind, _, _, pattern, _ in rules.PII_RULES}
+_SHOWN_PII = [kind for kind, risk, sure, *_ in rules.PII_RULES if risk != "low" and sure >= rules.MIN_CONFIDENCE]
+_HIGH_PII = [kind for kind, risk, *_ in rules.PII_RULES if risk == "high"]
+COUNTED_SQL = "counted AS (SELECT doc_id, " + ", ".join(f"{sql} AS {kind}" for kind, sql in _PII_SQL.items()) + " FROM documents)"
 
 
-@query(r"""
-    SELECT doc_id,
-        len(regexp_extract_all(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b'))::INT AS email,
-        len(regexp_extract_all(text, '\b(?:\+?1[-.\s]?)?\(?[2-9][0-9]{2}\)?[-.\s][2-9][0-9]{2}[-.\s][0-9]{4}\b'))::INT AS phone,
-        len(regexp_extract_all(text, '\b\d{2}-\d{7}\b'))::INT AS tax_id,
-        len(regexp_extract_all(text, '\b(?:4[0-9]{12}(?:[0-9]{3})?|5[1-5][0-9]{14}|3[47][0-9]{13}|6(?:011|5[0-9]{2})[0-9]{12})\b'))::INT AS credit_card,
-        len(regexp_extract_all(text, '(?i)\b(?:account\s*(?:number|#|no\.?)?:?\s*)?(\d{8,17})\b'))::INT AS account_number,
-        len(list_filter(regexp_extract_all(text, '\b\d{3}[-\s]?\d{2}[-\s]?\d{4}\b'), lambda x: NOT regexp_matches(x, '^(000|666|9)') AND NOT regexp_matches(x, '^\d{3}[-\s]?00') AND NOT regexp_matches(x, '0000$')))::INT AS ssn
-    FROM documents
-""")
+@query(f"WITH {COUNTED_SQL} SELECT * FROM counted")
 def pii_counts(spark, folder):
-    found = guardrails.pii_counts(F.col("text"))
-    return read(spark, folder, "documents").select("doc_id", *(found[k].alias(k) for k in ("email", "phone", "tax_id", "credit_card", "account_number", "ssn")))
+    found = guardrails.pii_counts(F.col("text"), threshold="low")
+    return read(spark, folder, "documents").select("doc_id", *(n.alias(k) for k, n in found.items()))
 
 
-@query()
+@query(f"""
+    WITH {COUNTED_SQL}, summed AS (SELECT *, {" + ".join(_SHOWN_PII)} AS total, {" + ".join(_HIGH_PII)} AS high FROM counted)
+    SELECT doc_id, '{{' || array_to_string(list_filter([{", ".join(f"CASE WHEN {k} > 0 THEN '{chr(34)}{k}{chr(34)}:' || {k} END" for k in _SHOWN_PII)}], lambda x: x IS NOT NULL), ',') || '}}' AS summary, total::INT AS pii_count,
+           CASE WHEN high > 0 THEN 'high' WHEN total > 0 THEN 'medium' ELSE 'low' END AS risk_level, high >= {rules.BLOCK_HIGH_ENTITIES} AS should_block FROM summed
+""")
 def pii_summary(spark, folder):
-    found = guardrails.pii_counts(F.col("text"))
-    summary = F.map_filter(F.create_map(*(x for k, n in found.items() for x in (F.lit(k), n))), lambda _, n: n > 0)
-    total = sum(found.values(), F.lit(0))
-    risk = F.when(guardrails.high_risk_count(F.col("text")) > 0, "high").when(total > 0, "medium").otherwise("low")
-    return read(spark, folder, "documents").select("doc_id", F.to_json(summary).alias("summary"), total.alias("pii_count"), risk.alias("risk_level"), guardrails.should_block_pii(F.col("text")).alias("should_block"))
+    rows = read(spark, folder, "documents").select("doc_id", guardrails.pii_count_struct(F.col("text")).alias("n"))
+    total = sum((F.col(f"n.{k}") for k in _SHOWN_PII), F.lit(0))
+    high = sum((F.col(f"n.{k}") for k in _HIGH_PII), F.lit(0))
+    summary = F.map_filter(F.create_map(*(x for k in _SHOWN_PII for x in (F.lit(k), F.col(f"n.{k}")))), lambda _, n: n > 0)
+    risk = F.when(high > 0, "high").when(total > 0, "medium").otherwise("low")
+    return rows.select("doc_id", F.to_json(summary).alias("summary"), total.alias("pii_count"), risk.alias("risk_level"), (high >= rules.BLOCK_HIGH_ENTITIES).alias("should_block"))
 
 
 @query()
@@ -581,7 +581,15 @@ def audit_alerts(spark, folder):
     return metrics.alerts(rows).select("event_id", "user_id", "severity")
 
 
-@query()
+@query("""
+    WITH RECURSIVE e AS (SELECT user_id, event_id, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+    run(user_id, k, event_id, log, allowed, remaining) AS (
+        SELECT DISTINCT user_id, 0::BIGINT, NULL::BIGINT, []::DOUBLE[], NULL::BOOLEAN, NULL::INT FROM events
+        UNION ALL
+        SELECT user_id, k, event_id, CASE WHEN len(kept) < 3 THEN list_append(kept, t) ELSE kept END, len(kept) < 3, greatest(2 - len(kept), 0)::INT
+        FROM (SELECT e.user_id, e.k, e.event_id, e.t, list_filter(run.log, lambda x: x > e.t - 3600) AS kept FROM run JOIN e ON e.user_id = run.user_id AND e.k = run.k + 1))
+    SELECT user_id, event_id, allowed, remaining FROM run WHERE k > 0
+""")
 def rate_limit(spark, folder):
     return limits.limited(read(spark, folder, "events").select(F.col("user_id").alias("key"), "ts", "event_id"), 3, 3600.0).select(F.col("key").cast("long").alias("user_id"), "event_id", "allowed", "remaining")
 
@@ -710,4 +718,4 @@ def audit_query_events(spark, folder):
 @query()
 def answer_pipeline(spark, folder):
     docs = classify.classified(documents(spark, folder))
-    return answer(bindings.questions(spark, folder), docs, read(spark, folder, "embeddings").select("vec_id", "embedding"))
+    return answer(bindings.questions(spark, folder), docs, read(spark, folder, "embeddings").select("vec_id", "embedding"), bound=read(spark, folder, "benchmark"))
