@@ -1,4 +1,5 @@
-"""Near-duplicates by the exact similarity of shingle sets: bands of least hashes find candidates, the whole sets decide."""
+"""The SimHash operator's exact mode: near-duplicates by the similarity of whole shingle sets. Fingerprints within two bits, found on
+the popcount lattice, and bands of least hashes, which reach what lies further off, give candidates; the sets decide."""
 
 from __future__ import annotations
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.base import long_texts, released, stored
 from corpusmill.llm.graph import connected_components
-from corpusmill.llm.simhash import least_of_each
+from corpusmill.llm.simhash import links
 
 SEED = 42
 SHINGLE = 5
@@ -51,14 +52,23 @@ def bands(found: np.ndarray) -> list[int]:
     return np.array([xxhash.xxh64_intdigest(raw[size * k : size * (k + 1)], k) for k in range(BANDS)], np.uint64).view(np.int64).tolist()
 
 
+def fingerprint(found: np.ndarray) -> int:
+    """The SimHash of a set of hashes: the bits that over half of them have."""
+    total = np.zeros(64, np.int64)
+    for k in range(0, len(found), BLOCK):
+        total += np.unpackbits(found[k : k + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return int(np.packbits(2 * total > len(found), bitorder="little").view(np.uint64)[0])
+
+
 def _marks(text: Column, shingle: int) -> Column:
-    """struct(node, bands): node is a hash of the whole set."""
+    """struct(node, fp, bands): node is a hash of the whole set."""
 
-    @F.pandas_udf("node long, bands array<long>")
+    @F.pandas_udf("node long, fp long, bands array<long>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(xxhash.xxh64_intdigest(x.tobytes(), SEED), bands(x)) for x in (shingles(t, shingle) for t in batch)]
-            yield pd.DataFrame({"node": np.array([n for n, _ in rows], np.uint64).view(np.int64), "bands": [b for _, b in rows]})
+            rows = [(xxhash.xxh64_intdigest(x.tobytes(), SEED), fingerprint(x), bands(x)) for x in (shingles(t, shingle) for t in batch)]
+            numbers = [np.array([r[k] for r in rows], np.uint64).view(np.int64) for k in (0, 1)]
+            yield pd.DataFrame({"node": numbers[0], "fp": numbers[1], "bands": [r[2] for r in rows]})
         released()
 
     return of(text)
@@ -121,30 +131,43 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def _near_prints(nodes: DataFrame) -> DataFrame:
+    """(a, b): of nodes (node, fp), those that share a fingerprint with its least node, and the least nodes of fingerprints that the
+    lattice links."""
+    prints = stored(nodes.groupBy("fp").agg(F.min("node").alias("first")), "prints")
+    same = nodes.join(prints, "fp").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    side = lambda name: prints.select(F.col("fp").alias(name), F.col("first").alias(f"first_{name}"))
+    near = links(prints.select("fp")).join(side("a"), "a").join(side("b"), "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+    return stored(same.union(near).distinct(), "near")
+
+
 def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(id, content, node, root) for each row: content is a hash of the text, rows of one group share root. Groups are the connected
     components of all pairs of texts that are alike.
 
-    Equal sets are one node. A node visits a group for each band; all of a group are compared with its least member, so that
-    a large family of copies is tied by as many comparisons as it has members. Groups that fall into several components
-    after that have their members of different components compared too.
+    Equal sets are one node. Fingerprints within two bits are candidates, as in the operator's other mode. A node also visits a
+    group for each band; all of a group are compared with its least member, so that a large family of copies is tied by as
+    many comparisons as it has members. Groups that fall into several components after that have their members of different
+    components compared too.
     """
     long_texts(docs.sparkSession)
     content = F.xxhash64(F.coalesce(text_col, F.lit("")))
     made = docs.select(F.col(id_col).alias("id"), content.alias("content"), _marks(F.col(text_col), shingle).alias("m"))
-    rows = stored(made.select("id", "content", "m.node", "m.bands"), "marks")
+    rows = stored(made.select("id", "content", "m.node", "m.fp", "m.bands"), "marks")
+    near = _near_prints(rows.select("node", "fp").distinct())
     visits = rows.groupBy("node").agg(F.first("bands").alias("bands")).select("node", F.explode("bands").alias("band"))
     hubs = visits.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
     shared = stored(visits.join(hubs, "band"), "visits")
-    rows = rows.drop("bands")
+    rows = rows.drop("bands", "fp")
 
-    asked = rows.join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "content")).alias("one"))
+    met = shared.select("node").union(near.select("a")).union(near.select("b")).distinct()
+    asked = rows.join(met, "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "content")).alias("one"))
     asked = _few(stored(asked.select("node", F.col("one.id").alias("__id"), F.col("one.content").alias("__of")), "asked"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), content.alias("content"))
     texts = texts.join(asked, (F.col("content") == F.col("__of")) & F.col("id").eqNullSafe(F.col("__id")))
     sets = stored(texts.select("node", _set_column(F.col("text"), shingle).alias("x")).groupBy("node").agg(F.first("x").alias("x")), "sets")
 
-    pairs = shared.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    pairs = shared.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).union(near).distinct()
     both = pairs.join(sets.select(F.col("node").alias("a"), "x"), "a").join(sets.select(F.col("node").alias("b"), F.col("x").alias("y")), "b")
     edges = stored(both.select("a", "b", "x", "y").mapInPandas(_agree, "a long, b long"), "alike")
     roots = connected_components(edges)
@@ -161,8 +184,3 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     if more.limit(1).count():
         roots = connected_components(more.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     return rows.join(roots, "node", "left").select("id", "content", "node", F.coalesce("root", "node").alias("root"))
-
-
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """The rows of docs that stay when one of each group of near-duplicates is kept, chosen as simhash.one_of_each does."""
-    return least_of_each(docs, grouped(docs, id_col, text_col, shingle), id_col, text_col)
