@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import jaccard, langid, mixing, packing, substrings
+from corpusmill.llm import langid, mixing, packing, simhash, substrings
 from corpusmill.llm.base import crc_fold, free, stored, table
 from corpusmill.llm.queries import TARGETS
 
@@ -24,7 +24,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     link. Of a group stays the smallest id (null behind all others), of rows that share it one with the least hash of its
     text, so of rows that repeat one stays. Null, empty and blank texts are one group; a text under five words is one
     shingle; very long texts are compared whole; an empty table stays empty."""
-    return jaccard.one_of_each(docs)
+    return simhash.one_of_each(docs, shingle=5, exact=True)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
