@@ -15,7 +15,7 @@ from corpusmill.llm.base import free, long_texts, released, stored
 from corpusmill.llm.graph import connected_components
 
 SEED = 42
-BLOCK = 1 << 15
+BLOCK, PRINTS = 1 << 15, 1 << 14
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -77,8 +77,9 @@ def links(prints: DataFrame) -> DataFrame:
     Grid range join: a fingerprint enters its lattice cell and the cells next to it; cells with one visitor end there. In
     the rest the bits decide: of a cell's visitors, those that turn into the same 64 bits by at most one flip lie within 2
     bits of each other, and each such set is tied to its least member. Rows grow with the number of fingerprints, never
-    with the square of a cell.
+    with the square of a cell; a task takes PRINTS of them, each of which becomes some thirty rows.
     """
+    prints = prints.repartition(max(1, -(-prints.count() // PRINTS)), "fp")
     visits = prints.select("fp", F.explode(_cells(lattice_point(F.col("fp")))).alias("cell"))
     shared = visits.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell")
     flips = [F.col("fp"), *(F.col("fp").bitwiseXOR(_signed(1 << k)) for k in range(64))]
