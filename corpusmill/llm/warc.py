@@ -28,24 +28,26 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _urn(page: str | None) -> str:
-    return f"<urn:page:{'' if page is None else page}>"
+def _urn(page: str | None, sha: str, turn: int = 1) -> str:
+    """A record's name: unlike any other's, as rows that share an id differ in their payload or are numbered."""
+    return f"<urn:page:{'' if page is None else page}:{sha}{f'#{turn}' if turn > 1 else ''}>"
 
 
 def _page(urn: str) -> str | None:
-    return urn.removeprefix("<urn:page:").removesuffix(">") or None
+    return urn.removeprefix("<urn:page:").removesuffix(">").rpartition(":")[0] or None
 
 
-def record(page: str | None, url: str | None, payload: bytes, response: str | None, revisit: bool) -> bytes:
-    """One record. A revisit has the response's HTTP head, with the full payload's length, and no payload."""
+def record(page: str | None, url: str | None, payload: bytes, response: str | None, revisit: bool, turn: int = 1) -> bytes:
+    """One record. A revisit has the response's HTTP head, with the full payload's length, and no payload. turn: which of the rows that
+    share id and payload this is, from 1."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    block = head if revisit else head + payload
-    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_urn(page)}", f"WARC-Date: {DATE}"]
+    block, sha = head if revisit else head + payload, digest(payload)
+    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_urn(page, sha, turn)}", f"WARC-Date: {DATE}"]
     if url is not None:
         lines.append(f"WARC-Target-URI: {' '.join(url.split())}")
-    lines.append(f"WARC-Payload-Digest: sha1:{digest(payload)}")
+    lines.append(f"WARC-Payload-Digest: sha1:{sha}")
     if revisit:
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_urn(response)}"]
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_urn(response, sha)}"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -107,15 +109,15 @@ def read(source) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def decisions(pages: DataFrame, id_col: str, payload: str, least_bytes: int) -> DataFrame:
-    """pages with __response: the smallest id of an equal payload, and __revisit: whether the row repeats a payload of least_bytes
-    or more. Rows meet their decision by id and SHA-1 as one text: the first of rows that share it needs no other shuffle."""
+    """pages with __response: the smallest id of an equal payload, __turn: which of the rows that share id and payload it is, and
+    __revisit: whether the row repeats a payload of least_bytes or more. Rows meet their decision by id and SHA-1 as one text: the first of rows that share it needs no other shuffle."""
     who = F.concat_ws(":", F.sha1(payload), F.col(id_col).cast("string"))
     each = pages.select(F.col(id_col).alias("__id"), F.sha1(payload).alias("__of"), who.alias("__whose")).distinct()
     least = each.groupBy("__of").agg(F.min("__id").alias("__response")).withColumnRenamed("__of", "__least_of")
     each = each.join(least, F.col("__of") == F.col("__least_of")).select("__id", "__whose", "__response")
     joined = pages.withColumn("__who", who).join(each, F.col("__who") == F.col("__whose"))
-    turn = F.row_number().over(Window.partitionBy("__who").orderBy(F.lit(0)))
-    revisit = (F.octet_length(payload) >= least_bytes) & ((turn > 1) | ~F.col("__id").eqNullSafe(F.col("__response")))
+    joined = joined.withColumn("__turn", F.row_number().over(Window.partitionBy("__who").orderBy(F.lit(0))))
+    revisit = (F.octet_length(payload) >= least_bytes) & ((F.col("__turn") > 1) | ~F.col("__id").eqNullSafe(F.col("__response")))
     return joined.withColumn("__revisit", revisit)
 
 
@@ -131,12 +133,12 @@ def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """
     folder = folder or scratch_path(pages.sparkSession, "warc")
     rows = pages.select(F.col(id_col).cast("string").alias("page"), F.col(id_col).alias("__page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"))
-    chosen = decisions(rows, "__page_id", "payload", least_bytes).select("page", "url", "payload", F.col("__response").cast("string").alias("response"), F.col("__revisit").alias("revisit"))
+    chosen = decisions(rows, "__page_id", "payload", least_bytes).select("page", "url", "payload", F.col("__response").cast("string").alias("response"), F.col("__revisit").alias("revisit"), F.col("__turn").alias("turn"))
 
     def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
-        records = (record(*x) for batch in batches for x in zip(*(batch[c].where(batch[c].notna(), None) for c in ("page", "url", "payload", "response", "revisit"))))
+        records = (record(*x) for batch in batches for x in zip(*(batch[c].where(batch[c].notna(), None) for c in ("page", "url", "payload", "response", "revisit", "turn"))))
         first = next(records, None)
         if first is None:
             return
