@@ -19,6 +19,9 @@ from corpusmill.llm.base import free, long_texts, released
 WINDOW, MINIMISER = 35, 3
 #: Text bytes that meet in a bucket on average, that a map task holds before it sends, and that are hashed at once.
 BUCKET_BYTES, FLUSH_BYTES, GROUP_BYTES = 2 << 20, 8 << 20, 1 << 19
+#: Text bytes that the frequent runs of minimiser words are looked for in, on average; the share of those texts, and the number of
+#: them, that makes a run frequent. Where windows travel depends on this bounded sample, what is found doesn't.
+SAMPLE_BYTES, HOT_SHARE, HOT_TEXTS = 16 << 20, 1 / 500, 8
 
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _META = np.dtype([("key", "<i8"), ("crc", "<u4"), ("start", "<u4"), ("known", "u1")])
@@ -88,21 +91,54 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(got[: len(values) - width + 1], got[width - span : len(values) - span + 1])
 
 
-def super_kmers(lines: Lines, window: int, minimiser: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of consecutive windows that share a minimiser: first window's word, last window's word, the minimiser's hash."""
+def _grams(lines: Lines, minimiser: int) -> np.ndarray:
+    grams = np.zeros(max(0, len(lines.hashes) - minimiser + 1), np.uint64)
+    for k in range(minimiser):
+        grams = grams * _BASE + lines.hashes[k : k + len(grams)]
+    return grams
+
+
+def hot_grams(texts: DataFrame, size: int, minimiser: int) -> np.ndarray:
+    """Hashes, in order, of runs of minimiser words that many texts of a bounded sample have: a line in a third of all texts must not
+    draw all windows around it to one bucket. texts: (text); size: their bytes."""
+    share = min(1.0, SAMPLE_BYTES / max(1, size))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, n = [np.zeros(0, np.uint64)], 0
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                words = text.encode("utf-8", "surrogatepass").split()
+                if len(words) >= minimiser:
+                    found.append(np.unique(_grams(Lines(b" ".join(words), minimiser), minimiser)))
+                    n += 1
+        grams, times = np.unique(np.concatenate(found), return_counts=True)
+        yield pa.RecordBatch.from_pydict({"gram": [*grams.view(np.int64).tolist(), None], "n": [*times.tolist(), n]}, schema=pa.schema([("gram", pa.int64()), ("n", pa.int64())]))
+        released()
+
+    some = texts.where(F.pmod(F.xxhash64(F.lit("hot"), "text"), F.lit(1 << 20)) < share * (1 << 20))
+    counted = some.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    rows = counted.where(F.col("n") >= HOT_TEXTS).collect()  # no more than a bounded sample's words over HOT_TEXTS
+    n = next((r["n"] for r in rows if r["gram"] is None), 0)
+    return np.sort(np.array([r["gram"] for r in rows if r["gram"] is not None and r["n"] >= HOT_SHARE * n], np.int64).view(np.uint64))
+
+
+def super_kmers(lines: Lines, window: int, minimiser: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of consecutive windows that share a minimiser: first window's word, last window's word, the minimiser's hash. A run of
+    words that is frequent (in hot) is a window's minimiser only where all of the window's are."""
     if not len(lines.windows):
         empty = np.zeros(0, np.int64)
         return empty, empty, np.zeros(0, np.uint64)
-    grams = np.zeros(len(lines.hashes) - minimiser + 1, np.uint64)
-    for k in range(minimiser):
-        grams = grams * _BASE + lines.hashes[k : k + len(grams)]
-    least = _least(_mixed(grams), window - minimiser + 1)[lines.windows]
+    grams = _grams(lines, minimiser)
+    rank = _mixed(grams) >> np.uint64(1)
+    if len(hot):
+        rank |= (hot[np.minimum(np.searchsorted(hot, grams), len(hot) - 1)] == grams).astype(np.uint64) << np.uint64(63)
+    least = _least(rank, window - minimiser + 1)[lines.windows]
     at = lines.windows
     fresh = np.flatnonzero(np.concatenate(([True], (least[1:] != least[:-1]) | (at[1:] != at[:-1] + 1))))
     return at[fresh], at[np.append(fresh[1:], len(at)) - 1], _mixed(least[fresh] ^ _BASE)
 
 
-def _sender(window: int, minimiser: int, buckets: int):
+def _sender(window: int, minimiser: int, buckets: int, hot: np.ndarray):
     """Map side: packs super-k-mers by bucket. A super-k-mer that a task has met before isn't sent again: its first copy is
     marked as repeated, and the later ones' ranges are settled at once."""
 
@@ -113,7 +149,7 @@ def _sender(window: int, minimiser: int, buckets: int):
 
         def add(rows: list[tuple[int, int, bytes]]) -> None:
             lines = Lines(data := b"\n".join(x[2] for x in rows), window)
-            first, last, least = super_kmers(lines, window, minimiser)
+            first, last, least = super_kmers(lines, window, minimiser, hot)
             place = np.searchsorted(lines.line, np.arange(len(rows)))
             line = lines.line[first]
             for a, b, row, start, end, bucket in zip(lines.starts[first].tolist(), lines.ends[last + window - 1].tolist(), line.tolist(), (first - place[line]).tolist(), (last + window - place[line]).tolist(), (least % np.uint64(buckets)).tolist()):
@@ -253,8 +289,9 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Windows that share a minimiser with their neighbours travel together as one string to the minimiser's bucket, so a window
     meets all its copies; there they are sorted and compared word for word. Buckets hold a fixed number of text bytes at any
-    input size, on average; copies within a map task are settled before the shuffle, so that a passage in a third of all rows
-    reaches its bucket once per task. Ranges return to rows by a 96-bit key of id and text: repeated rows share theirs, and
+    input size, on average: runs of words that many texts have are minimisers only of windows that have no others, so windows
+    around a common line are dealt by what surrounds it, and copies within a map task are settled before the shuffle, so that
+    a passage in a third of all rows reaches its bucket once per task. Ranges return to rows by a 96-bit key of id and text: repeated rows share theirs, and
     null ids are ids like any other. Null, empty and shorter texts lose nothing (null: kept is the empty text); an empty table
     gives an empty result.
     """
@@ -265,7 +302,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = own.withColumns({key: F.xxhash64(F.col(id_col), whole), crc: F.crc32(whole.cast("binary"))})
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = max(32, -(-size // BUCKET_BYTES))
-    sent = keyed.select(key, crc, whole.alias("text")).mapInArrow(_sender(window, minimiser, buckets), "bucket int, words binary, meta binary")
+    hot = hot_grams(docs.select(whole.alias("text")), size, minimiser)
+    sent = keyed.select(key, crc, whole.alias("text")).mapInArrow(_sender(window, minimiser, buckets, hot), "bucket int, words binary, meta binary")
     spans = sent.groupBy("bucket").applyInArrow(_counter(window), "key long, crc long, span long")
     spans = spans.groupBy("key", "crc").agg(F.collect_set("span").alias(spans_of)).withColumnsRenamed({"key": of, "crc": of_crc})
     joined = keyed.join(spans, (F.col(key) == F.col(of)) & (F.col(crc) == F.col(of_crc)), "left")
