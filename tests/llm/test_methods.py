@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from corpusmill.llm import classify, imatch, langid, mixing, packing, topk, toxicity
+from corpusmill.llm import classify, imatch, langid, mixing, packing, substrings, topk, toxicity
 from corpusmill.llm.base import crc_fold, table
 
 SF = "/root/testdata/sf0.01"
@@ -251,6 +251,28 @@ def test_mixtures_are_those_of_all_language_sets():
         assert all(abs(got[k] - x) < 0.01 for k, x in want.items())
 
 
+# ---- substrings
+
+
+def test_windows_around_a_common_line_are_spread(spark):
+    rng = random.Random(13)
+    new = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    line = "all rights reserved by the owner of this page and of its texts"
+    texts = [f"{new(30)} {line} {new(30)}" for _ in range(300)] + [new(70) for _ in range(600)]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    hot = substrings.hot_grams(frame, sum(map(len, texts)), 3)
+    lines = substrings.Lines("\n".join(texts).encode(), 35)
+    assert len(hot) == len(line.split()) - 2
+    most = []
+    for known in (hot, hot[:0]):
+        first, last, least = substrings.super_kmers(lines, 35, 3, known)
+        size = Counter()
+        for a, b, m in zip(lines.starts[first].tolist(), lines.ends[last + 34].tolist(), least.tolist()):
+            size[m] += b - a
+        most.append(max(size.values()))
+    assert most[0] < 3000 < 30_000 < most[1]
+
+
 # ---- packing
 
 

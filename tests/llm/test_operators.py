@@ -258,6 +258,17 @@ def test_warc_round_trip(spark):
     assert warc.records_of(warc.archive(pages.limit(0))).count() == 0
 
 
+def test_warc_names_are_unique_and_small_files_have_no_dictionary():
+    rows = [("5", b"a", 1), ("5", b"a", 2), ("5", b"b", 1), (None, b"a", 1), ("x:y", b"a", 1)]
+    out = io.BytesIO()
+    warc.write(out, iter([warc.record(page, None, payload, "5", turn > 1, turn) for page, payload, turn in rows]))
+    assert struct.unpack("<I", out.getvalue()[:4])[0] != warc.SKIPPABLE  # under 8 records there is nothing to build one from
+    found = list(warc.read(io.BytesIO(out.getvalue())))
+    names = [h["warc-record-id"] for h, _ in found]
+    assert len(set(names)) == len(rows) and [warc._page(x) for x in names] == ["5", "5", "5", None, "x:y"]
+    assert found[1][0]["warc-refers-to"] == names[0]
+
+
 def test_warc_file_leads_with_its_dictionary():
     records = [warc.record(str(k), "u", f"<html>a page much like the others, number {k}".encode(), None, False) for k in range(300)]
     out = io.BytesIO()
