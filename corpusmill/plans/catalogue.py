@@ -453,12 +453,14 @@ def eval_p95(spark, folder):
     return answers.p95(read(spark, folder, "events"), "value", ["event_type"])
 
 
-@query("SELECT event_type, round(0.30 * a + 0.25 * b + 0.15 * 0.72 + 0.15 * 0.75 + 0.15 * c, 4) AS overall_score, false AS passes FROM (SELECT event_type, round(avg(user_id % 10) / 10, 6) AS a, round(avg(user_id % 7) / 7, 6) AS b, round(avg((user_id % 3 = 0)::INT), 6) AS c FROM events GROUP BY 1)")
+@query("SELECT event_type, round(0.30 * a + 0.25 * b + 0.15 * 0.72 + 0.15 * 0.75 + 0.15 * c, 4) AS overall_score, false AS passes, a + 0.4 >= 0.85 AND b + 0.38 >= 0.8 AS passes_raised FROM (SELECT event_type, round(avg(user_id % 10) / 10, 6) AS a, round(avg(user_id % 7) / 7, 6) AS b, round(avg((user_id % 3 = 0)::INT), 6) AS c FROM events GROUP BY 1)")
 def eval_overall(spark, folder):
     rows = read(spark, folder, "events").groupBy("event_type").agg(F.round(F.avg(F.col("user_id") % 10) / 10, 6).alias("a"), F.round(F.avg(F.col("user_id") % 7) / 7, 6).alias("b"), F.round(F.avg((F.col("user_id") % 3 == 0).cast("int")), 6).alias("c"))
     p, rc = F.lit(rules.HEURISTIC_PRECISION), F.lit(rules.HEURISTIC_RECALL)
     bar = answers.passes_bar({"faithfulness": F.col("a"), "answer_relevancy": F.col("b"), "context_precision": p, "context_recall": rc, "compliance_pass_rate": F.col("c"), "pii_leak_rate": F.lit(0.0), "hallucination_rate": F.lit(0.0)})
-    return rows.select("event_type", answers.overall(F.col("a"), F.col("b"), p, rc, F.col("c")).alias("overall_score"), bar.alias("passes"))
+    # the heuristic's constants for precision and recall are under the bar; figures that can pass it
+    raised = answers.passes_bar({"faithfulness": F.col("a") + 0.4, "answer_relevancy": F.col("b") + 0.38, "context_precision": F.lit(0.8), "context_recall": F.lit(0.85), "compliance_pass_rate": F.lit(1.0), "pii_leak_rate": F.lit(0.0), "hallucination_rate": F.lit(0.0)})
+    return rows.select("event_type", answers.overall(F.col("a"), F.col("b"), p, rc, F.col("c")).alias("overall_score"), bar.alias("passes"), raised.alias("passes_raised"))
 
 
 # ---- test cases
