@@ -206,12 +206,13 @@ def visible_lists(asked: DataFrame, docs: DataFrame, vectors: DataFrame, k: int,
 
 
 def fuse(dense: DataFrame, sparse: DataFrame, id_col: str, query_id: str = "query_id", k: int = rules.RRF_K) -> DataFrame:
-    """(query_id, id, rrf, dense_rank, dense_score): reciprocal-rank fusion; a list that lacks an id adds nothing."""
-    lists = [x.select(query_id, id_col, (F.lit(w) / (k + F.col("rank"))).alias("part"), *extra) for x, w, extra in (
-        (dense, rules.DENSE_WEIGHT, [F.col("rank").alias("dense_rank"), F.col("score").alias("dense_score")]),
-        (sparse, rules.SPARSE_WEIGHT, [F.lit(None).cast("int").alias("dense_rank"), F.lit(None).cast("double").alias("dense_score")]),
-    )]
-    return lists[0].union(lists[1]).groupBy(query_id, id_col).agg(F.round(F.sum("part"), 9).alias("rrf"), F.max("dense_rank").alias("dense_rank"), F.max("dense_score").alias("dense_score"))
+    """(query_id, id, rrf, dense_rank, dense_score): reciprocal-rank fusion of two lists, each with an id once a query; a list that
+    lacks an id adds nothing."""
+    part = lambda weight, rank: F.coalesce(F.lit(weight) / (k + F.col(rank)), F.lit(0.0))
+    a = dense.select(query_id, id_col, F.col("rank").alias("dense_rank"), F.col("score").alias("dense_score"))
+    b = sparse.select(query_id, id_col, F.col("rank").alias("sparse_rank"))
+    rrf = F.round(part(rules.DENSE_WEIGHT, "dense_rank") + part(rules.SPARSE_WEIGHT, "sparse_rank"), 9)
+    return a.join(b, [query_id, id_col], "full").select(query_id, id_col, rrf.alias("rrf"), "dense_rank", "dense_score")
 
 
 def hybrid(dense: DataFrame, sparse: DataFrame, k: int, id_col: str, query_id: str = "query_id", least: float = 0.0, keep_sparse_only: bool = False) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import rules
 from corpusmill.operators import access, answers, chunking, guardrails, metrics, retrieval, testcases
-from corpusmill.plans import catalogue, ingest
+from corpusmill.plans import answering, catalogue, ingest
 from corpusmill.sources import loaders
 from corpusmill.sources.store import ChunkStore
 
@@ -233,3 +233,33 @@ def test_generated_cases_and_rule_tables(spark):
     own = [("kind", "high", "R", [r"\bforbidden\b"])]
     found = spark.createDataFrame([("a Forbidden word",)], "t string").select(guardrails.violations(F.col("t"), own).alias("v")).first()["v"]
     assert [(v["violation_type"], v["matched_text"]) for v in found] == [("kind", "Forbidden")]
+
+
+def test_output_guards(spark):
+    said = [
+        (1, "Scores of 580 qualify. I can guarantee you a rate. Contact us at loans@bank.com."),
+        (2, "Write to loans@bank.com about the rate."),
+        (3, "The interest rate moves."),
+        (4, "Nothing to note."),
+        (5, None),
+    ]
+    found = {r["query_id"]: r for r in answering.guarded(spark.createDataFrame(said, "query_id long, answer string")).collect()}
+    assert found[1]["should_block"] and found[1]["final"] == answering.WITHHELD and found[1]["pii_types"] == ["email"]
+    assert found[2]["final"] == "Write to [REDACTED-EMAIL] about the rate." and found[3]["final"].startswith("The interest rate moves.\n\n*Rates are subject")
+    assert found[4]["final"] == "Nothing to note." and found[5]["final"] is None
+
+
+def test_questions_through_the_whole_pipeline(spark):
+    docs = spark.createDataFrame([(k, f"Loan {k} needs a score of {600 + k}. It is fixed.", f"d{k}.pdf", "loan_product", ["TILA"], ["public", "restricted"][k % 2]) for k in range(12)], "doc_id long, content string, source_file string, document_category string, regulatory_tags array<string>, access_level string")
+    vectors = spark.createDataFrame([(k, [1.0, k / 10]) for k in range(12)], "vec_id long, embedding array<double>")
+    asks = [(1, "What score does loan 4 need? Mail a@b.com", "customer", [1.0, 0.4]), (2, "123-45-6789 and 4111111111111111 and 12-3456789", "customer", [1.0, 0.0]), (3, "score of loan 5", "admin", [1.0, 0.5])]
+    out = answering.answer(spark.createDataFrame(asks, "query_id long, question string, user_role string, query_vector array<double>"), docs, vectors).cache()
+    rows = {r["query_id"]: r for r in out.collect()}
+    assert rows[2]["block_reason"] == "pii" and rows[2]["answer"] is None and rows[2]["prompt_tokens"] == 0 and "123-45" not in rows[2]["question"]
+    assert rows[1]["block_reason"] is None and "a@b.com" not in rows[1]["question"] and rows[1]["n_sources"] == 3 and all(k % 2 == 0 for k in rows[1]["document_ids"])
+    assert rows[3]["n_sources"] == 5 and rows[3]["document_category"] == "loan_product" and rows[3]["cost_usd"] > 0
+    audit = {r["query_id"]: r for r in answering.audit_rows(out, b"k", "2024-01-01").collect()}
+    assert audit[2]["event_type"] == "QUERY_BLOCKED" and audit[1]["event_type"] == "QUERY_PROCESSED" and len({r["hmac_signature"] for r in audit.values()}) == 3
+    seen = {(r["metric"], r["labels"]): r["v"] for r in answering.metric_rows(out).groupBy("metric", "labels").agg(F.sum("value").alias("v")).collect()}
+    assert seen["queries_total", 'user_role="customer",document_category="loan_product",success="true"'] == 1 and seen["blocked_queries_total", 'block_reason="pii"'] == 1
+    assert seen["pii_detections_total", 'pii_type="email",location="query"'] == 1
