@@ -702,7 +702,19 @@ def chunk_stats(spark, folder):
     return chunking.chunk_stats(chunking.recursive_chunks(documents(spark, folder), "doc_id", "content", keep=["access_level"]), ["access_level"])
 
 
-@query()
+_BAR_SQL = {k: f"{k} {'<=' if k.endswith(('leak_rate', 'hallucination_rate')) else '>='} {bar}" for k, bar in rules.QUALITY_BAR.items()}
+_LINES_SQL = " || chr(10) || ".join(f"'{k}: ' || printf('%.4f', {k}) || ' ({'at most' if '<=' in _BAR_SQL[k] else 'at least'} {bar}) ' || CASE WHEN {_BAR_SQL[k]} THEN 'ok' ELSE 'missed' END" for k, bar in rules.QUALITY_BAR.items())
+
+
+@query(f"""
+    WITH {EVAL_SQL}, {COUNTED_SQL}, n AS (SELECT run, greatest(count(*) FILTER (answer <> ''), 1) AS n FROM parts GROUP BY run),
+    m AS (
+        SELECT run, round(coalesce(avg(f), 0), 6) AS faithfulness, round(coalesce(avg(r), 0), 6) AS answer_relevancy, {rules.HEURISTIC_PRECISION}::DOUBLE AS context_precision, {rules.HEURISTIC_RECALL}::DOUBLE AS context_recall,
+               round(count(*) FILTER (answer <> '' AND NOT blocked) / any_value(n), 6) AS compliance_pass_rate, round(count(*) FILTER (answer <> '' AND {" + ".join(_HIGH_PII)} > 0) / any_value(n), 6) AS pii_leak_rate,
+               round(count(*) FILTER (answer <> '' AND context <> '' AND NOT is_grounded) / any_value(n), 6) AS hallucination_rate
+        FROM parts JOIN n USING (run) JOIN counted USING (doc_id) GROUP BY run)
+    SELECT run, {_LINES_SQL} || chr(10) || CASE WHEN {" AND ".join(_BAR_SQL.values())} THEN 'PASS' ELSE 'FAIL' END AS report FROM m
+""")
 def eval_report(spark, folder):
     rows = _evaluated(spark, folder)
     return rows.select("run", answers.report({name: F.col(name) for name in rules.QUALITY_BAR}).alias("report"))
