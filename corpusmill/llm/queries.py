@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import imatch, langid, mixing, packing, simhash, substrings, topk, toxicity, urlfilter, warc
+from corpusmill.llm import divergence, fim, imatch, langid, mixing, packing, simhash, substrings, topk, toxicity, urlfilter, warc
 from corpusmill.llm.base import crc_fold, table
 
 
@@ -73,7 +73,17 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_topk, op4_substrings, op5_fingerprints, op6_warc, op7_urls, op8_packing, op9_languages, op10_simhash)}
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fim.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = fim.restored(F.col("form"), F.col("output"))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_topk, op4_substrings, op5_fingerprints, op6_warc, op7_urls, op8_packing, op9_languages, op10_simhash, op11_fim, op12_divergence)}
 ORACLES: dict[str, str] = {
     "op3_topk": """
         WITH v AS (
@@ -122,4 +132,37 @@ ORACLES: dict[str, str] = {
         SELECT page_id, b.host, b.path, rule, coalesce(verdict, 'allow') AS verdict
         FROM b LEFT JOIN m ON b.host = m.host AND b.path = m.path AND k = 1
     """,
+    "op11_fim": r"""
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS text, len(regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+')) AS n,
+                   list_transform(regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+'), lambda x: length(x)) AS sizes,
+                   list_transform(range(4), lambda k: ('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), (8 * k + 1)::INT, 8))::BIGINT) AS h FROM documents),
+        c AS (
+            SELECT *, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 100 THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form,
+                   coalesce(list_sum(sizes[1 : least(h[1] % (n + 1), h[2] % (n + 1))]), 0)::BIGINT AS a, coalesce(list_sum(sizes[1 : greatest(h[1] % (n + 1), h[2] % (n + 1))]), 0)::BIGINT AS b FROM d),
+        p AS (SELECT *, substr(text, 1, a) AS prefix, substr(text, a + 1, b - a) AS middle, substr(text, b + 1) AS suffix FROM c)
+        SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+               sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE text END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM p
+    """,
+    "op12_divergence": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+        o AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+        kept AS (SELECT lang, term, count(*) AS c FROM o GROUP BY ALL HAVING count(DISTINCT r) >= 30),
+        langs AS (SELECT lang, count(*) AS v, sum(c) AS n FROM kept GROUP BY ALL),
+        per AS (SELECT lang, source, term, count(*) AS c FROM o SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+        own AS (SELECT lang, source, sum(c) AS n FROM per GROUP BY ALL),
+        grp AS (SELECT DISTINCT lang, source FROM d),
+        f AS (
+            SELECT g.lang, g.source, k.term, coalesce(p.c, 0) AS c, 1 + 1000000000 * (coalesce(p.c, 0)::HUGEINT + 5) // (coalesce(own.n, 0) + 5 * v) AS p, 1 + 1000000000 * (k.c::HUGEINT + 5) // (langs.n + 5 * v) AS q
+            FROM grp g JOIN kept k USING (lang) JOIN langs USING (lang) LEFT JOIN per p ON p.lang = g.lang AND p.source = g.source AND p.term = k.term LEFT JOIN own ON own.lang = g.lang AND own.source = g.source),
+        x AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM f a JOIN f b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+        terms AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM f WHERE c > 0 AND p > q),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (FROM pairs UNION ALL FROM terms))
+        SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
+    """,
 }
