@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import divergence, fim, imatch, langid, mixing, packing, simhash, substrings, topk, toxicity, urlfilter, warc
+from corpusmill.llm import divergence, fim, imatch, itq, langid, mixing, packing, simhash, substrings, topk, toxicity, urlfilter, warc
 from corpusmill.llm.base import crc_fold, table
 
 
@@ -83,7 +83,12 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents").select("lang", "source", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_topk, op4_substrings, op5_fingerprints, op6_warc, op7_urls, op8_packing, op9_languages, op10_simhash, op11_fim, op12_divergence)}
+def op13_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = itq.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return found.select("vec_id", "n_links", F.col("component").alias("component_id"), F.coalesce(F.col("vec_id") == F.col("component"), F.lit(True)).alias("kept"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_topk, op4_substrings, op5_fingerprints, op6_warc, op7_urls, op8_packing, op9_languages, op10_simhash, op11_fim, op12_divergence, op13_embeddings)}
 ORACLES: dict[str, str] = {
     "op3_topk": """
         WITH v AS (
@@ -165,4 +170,14 @@ ORACLES: dict[str, str] = {
         ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (FROM pairs UNION ALL FROM terms))
         SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
     """,
+    "op13_embeddings": """
+        WITH RECURSIVE r AS (SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+        v AS (SELECT r, vec_id, e, sqrt(list_dot_product(e, e)) AS l FROM r WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+        links AS (SELECT a.r AS a, b.r AS b FROM v a JOIN v b ON len(a.e) = len(b.e) AND a.r <> b.r WHERE list_dot_product(a.e, b.e) / (a.l * b.l) >= 0.95),
+        reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+        least AS (SELECT a, min(vec_id) AS component FROM reach JOIN r ON r.r = reach.b GROUP BY ALL),
+        degree AS (SELECT a, count(*) AS n FROM links GROUP BY ALL)
+        SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, component) AS component_id, coalesce(vec_id <= component, true) AS kept
+        FROM r LEFT JOIN least ON least.a = r.r LEFT JOIN degree ON degree.a = r.r
+    """,
 }
