@@ -74,11 +74,14 @@ class Features:
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, limit: int = FIT_ROWS) -> DataFrame:
     """(text, label) of at most limit labelled rows, chosen by a hash of the id; labels: (id_col, label). Null texts and labels
-    take no part. The chosen labels are few enough by their limit to be sent to every executor."""
-    some = labels.where(F.col("label").isNotNull() & F.col(id_col).isNotNull()).orderBy(F.xxhash64(F.lit("fit"), id_col), id_col, "label").limit(limit)
-    some = some.select(F.col(id_col).alias("__label_of"), F.col("label").cast("int").alias("__label"))
+    take no part. The chosen labels are few enough by their limit to be sent to every executor. An id that documents repeat
+    counts once with each of its labels, by the text of least hash, so that the limit holds whatever ids are repeated."""
+    some = labels.where(F.col("label").isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__label_of"), F.col("label").cast("int").alias("__label")).distinct()
+    some = some.orderBy(F.xxhash64(F.lit("fit"), "__label_of"), "__label_of", "__label").limit(limit)
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"))
-    return texts.join(F.broadcast(some), F.col("__id") == F.col("__label_of")).select("text", F.col("__label").alias("label"))
+    met = texts.join(F.broadcast(some), F.col("__id") == F.col("__label_of"))
+    once = met.groupBy("__id", F.col("__label").alias("label")).agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text"))
+    return once.select("text", "label")
 
 
 def counted(rows: DataFrame, classes: int, shape: bool) -> tuple[DataFrame, np.ndarray]:
@@ -110,14 +113,15 @@ def best_features(found: DataFrame, size: np.ndarray, limit: int = FEATURES, lea
 
 
 def numbered(rows: DataFrame, names: list[str], shape: bool) -> pd.DataFrame:
-    """(label, found) of the bounded sample, on the driver."""
+    """(label, found) of the bounded sample, on the driver, in an order that doesn't depend on how tasks ended."""
 
     def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         made = Features(names, shape)
         for batch in batches:
             yield pd.DataFrame({"label": batch["label"], "found": [made.numbers(x) for x in batch["text"]]})
 
-    return rows.mapInPandas(number, "label int, found array<int>").toPandas()
+    got = rows.mapInPandas(number, "label int, found array<int>").toPandas()
+    return got.iloc[np.argsort([f"{label} {found.tolist()}" for label, found in zip(got["label"], map(np.asarray, got["found"]))], kind="stable")].reset_index(drop=True) if len(got) else got
 
 
 def softmax(scores: np.ndarray) -> np.ndarray:

@@ -13,6 +13,8 @@ from corpusmill.llm.base import long_texts, released
 
 #: Hashed byte trigrams; labelled rows per language that a model is fitted on, at most on average; smoothing.
 BUCKETS, ROWS_EACH, SMOOTH = 1 << 16, 3000, 0.2
+#: Languages that a model may have: it takes 0.8 MB for each while it is fitted.
+LANGUAGES = 200
 #: A language joins the set if it raises the log-likelihood by PENALTY times the logarithm of the text's trigrams.
 PENALTY, STEPS, SETTLED = 4.0, 60, 1e-4
 
@@ -36,9 +38,11 @@ def _counts(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def fit(docs: DataFrame, text_col: str, lang_col: str, id_col: str, rows_each: int = ROWS_EACH) -> tuple[list[str], np.ndarray]:
     """Languages in order and their trigrams' log-probabilities, from rows whose text and lang are not null. A language with more
     than rows_each rows is represented by about so many, chosen by a hash of the id. Trigram counts are summed on the
-    executors; the driver gets one number for each language and bucket."""
+    executors; the driver gets one number for each language and bucket, so over LANGUAGES languages are an error."""
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    share = {r["lang"]: min(1.0, rows_each / r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    share = {r["lang"]: min(1.0, rows_each / r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(LANGUAGES + 1).collect()}
+    if len(share) > LANGUAGES:
+        raise ValueError(f"over {LANGUAGES} languages: the model holds {BUCKETS} numbers for each")
     if not share:
         return [], np.zeros((0, BUCKETS), np.float32)
     chosen = F.create_map(*(F.lit(x) for pair in share.items() for x in pair))[F.col("lang")]
@@ -121,7 +125,7 @@ def predict(text: Column, names: list[str], model: np.ndarray, penalty: float =
 def identify(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", penalty: float = PENALTY, into: str = "__lang") -> DataFrame:
     """docs with a column `into`: struct(lang_pred, score, mixture), which replaces one of that name; all others stay. Learns from
     rows that aren't held out (a null held_out holds out); id, lang and other columns never enter a prediction. Repeated rows
-    get equal predictions; without labelled rows, and for null or letterless texts, und with score 0; an empty table gives an
+    get equal predictions; without labelled rows, and for null or letterless texts, und with score 0; over LANGUAGES learned languages are an error; an empty table gives an
     empty result. Whole texts are read, one at a time."""
     long_texts(docs.sparkSession)
     names, model = fit(docs.where(~held_out), text_col, lang_col, id_col)

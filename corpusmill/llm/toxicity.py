@@ -137,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         released()
 
     table = classify.numbered(rows, names, shape=False)
-    pairs = rows.mapInPandas(pair, "a array<int>, b array<int>").toPandas()
+    pairs = rows.mapInPandas(pair, "a array<int>, b array<int>").orderBy("a", "b").toPandas()
     rows.unpersist()
     return names, fit_weights(table["found"], table["label"].to_numpy(float), pairs["a"], pairs["b"], len(names), penalty), groups, len(pairs)
 

@@ -261,7 +261,7 @@ def test_warc_round_trip(spark):
 def test_warc_names_are_unique_and_small_files_have_no_dictionary():
     rows = [("5", b"a", 1), ("5", b"a", 2), ("5", b"b", 1), (None, b"a", 1), ("x:y", b"a", 1)]
     out = io.BytesIO()
-    warc.write(out, iter([warc.record(page, None, payload, "5", turn > 1, turn) for page, payload, turn in rows]))
+    warc.write(out, iter([warc.record(page, None, payload, "5", turn > 1, "" if turn == 1 else f"-.{turn}") for page, payload, turn in rows]))
     assert struct.unpack("<I", out.getvalue()[:4])[0] != warc.SKIPPABLE  # under 8 records there is nothing to build one from
     found = list(warc.read(io.BytesIO(out.getvalue())))
     names = [h["warc-record-id"] for h, _ in found]
@@ -278,6 +278,46 @@ def test_warc_file_leads_with_its_dictionary():
     assert [block.partition(b"\r\n\r\n")[2] for _, block in warc.read(io.BytesIO(raw))] == [f"<html>a page much like the others, number {k}".encode() for k in range(300)]
 
 
+def test_warc_dictionary_whatever_the_first_records_are():
+    small = [warc.record(str(k), "u", f"<html>a page much like the others, number {k}".encode(), None, False) for k in range(2999)]
+    for records in ([warc.record("big", "u", b"x" * (2 << 20), None, False), *small], small[:8], [b"WARC/1.1\r\nContent-Length: 0\r\n\r\n\r\n\r\n"] * 8):
+        out = io.BytesIO()
+        assert warc.write(out, iter(records))[0] == len(records)
+        assert struct.unpack("<I", out.getvalue()[:4])[0] == warc.SKIPPABLE
+        assert len(list(warc.read(io.BytesIO(out.getvalue())))) == len(records)
+
+
+def test_warc_rows_that_many_share(spark, monkeypatch):
+    monkeypatch.setattr(warc, "SLICE", 7)
+    rows = [(None, None, "")] * 40 + [(None, "u", "")] * 3 + [(4, "a", "p")] * 30 + [(4, "b", "p")] * 9 + [(3, "c", "q"), (2, None, "q"), (2, "z", "q")]
+    made = warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5))
+    found = warc.records_of(made).collect()
+    assert Counter((r["page"], r["payload_bytes"]) for r in found) == Counter((None if p is None else str(p), len(h)) for p, _, h in rows)
+    assert Counter((r["record_type"], r["payload_digest"]) for r in found if r["record_type"] == "response") == Counter(("response", warc.digest(x)) for x in (b"", b"p", b"q"))
+    assert {(r["payload_digest"], r["refers_to"]) for r in found if r["record_type"] == "revisit"} == {(warc.digest(b""), None), (warc.digest(b"p"), "4"), (warc.digest(b"q"), "2")}
+    names = []
+    for folder, path in made.select("folder", "path").collect():
+        with open(path if path.startswith("/") else folder.removeprefix("file://") + path, "rb") as source:
+            names += [h["warc-record-id"] for h, _ in warc.read(source)]
+    assert len(set(names)) == len(rows)
+
+
+def test_sample_is_bounded_whatever_ids_repeat(spark):
+    docs = spark.range(5000).selectExpr("CASE WHEN id < 4000 THEN 7 ELSE id END AS doc_id", "concat('t', id) AS text")
+    labels = spark.createDataFrame([(7, 1)] * 50 + [(7, 0), (None, 1), (8, None)] + [(k, k % 2) for k in range(4000, 4200)], "doc_id long, label int")
+    rows = classify.sample(docs, labels, "doc_id", "text", limit=100).collect()
+    assert len(rows) <= 100 and len(set(rows)) == len(rows)
+    everything = classify.sample(docs, labels, "doc_id", "text", limit=10_000).collect()
+    assert len(everything) == 202 and len({r["text"] for r in everything}) == 201
+
+
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 3)
+    docs = spark.createDataFrame([(k, "some words", f"l{k % 4}") for k in range(8)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="over 3 languages"):
+        langid.identify(docs, F.lit(False))
+
+
 RULES = [urlfilter.Rule(*x) for x in (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"), ("block", "bad.net"))]
 
 
