@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once a row, however often f names it, inside of lambdas too."""
+    return F.transform(F.array(value), f)[0]
+
+
 def strip(x: Column) -> Column:
     """Without white space of any kind at both ends (trim takes off spaces only)."""
     return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")

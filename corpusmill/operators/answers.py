@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import rules
-from corpusmill.functions.text import any_in, basename, strings, strip, words
+from corpusmill.functions.text import any_in, basename, let, strings, strip, words
 
 #: Characters of a context: 6000 tokens of 4.
 CONTEXT_CHARS = 24_000
@@ -45,18 +45,19 @@ def citations(text: Column) -> Column:
 def grounded_score(answer: Column, context: Column) -> Column:
     """Of the first five sentences over 20 characters, the share with two fifths or more of their key words in the context. Sentences
     with fewer than three key words count as not grounded."""
-    lower = F.lower(context)
     sentences = F.slice(F.filter(F.transform(F.split(answer, r"\."), strip), lambda s: F.length(s) > 20), 1, 5)
 
-    def grounded(s: Column) -> Column:
+    def grounded(s: Column, lower: Column) -> Column:
         keys = F.array_except(F.array_distinct(words(F.lower(s))), strings(rules.GROUNDING_STOP))
-        return (F.size(keys) >= 3) & (F.size(F.filter(keys, lambda w: F.contains(lower, w))) / F.size(keys) >= 0.4)
+        return let(keys, lambda k: (F.size(k) >= 3) & (F.size(F.filter(k, lambda w: F.contains(lower, w))) / F.size(k) >= 0.4))
 
-    return F.size(F.filter(sentences, grounded)) / F.greatest(F.size(sentences), F.lit(1))
+    both = F.struct(sentences.alias("s"), F.lower(context).alias("c"))
+    return let(both, lambda x: F.size(F.filter(x["s"], lambda s: grounded(s, x["c"]))) / F.greatest(F.size(x["s"]), F.lit(1)))
 
 
-def is_grounded(answer: Column, context: Column) -> Column:
-    return (grounded_score(answer, context) >= 0.3) | any_in(F.lower(answer), rules.UNCERTAIN)
+def is_grounded(answer: Column, context: Column, score: Column | None = None) -> Column:
+    """score: the answer's grounded_score, where it is a column already."""
+    return ((grounded_score(answer, context) if score is None else score) >= 0.3) | any_in(F.lower(answer), rules.UNCERTAIN)
 
 
 def admits_uncertainty(answer: Column) -> Column:
@@ -73,9 +74,9 @@ def source_citation(path: Column, score: Column, content: Column) -> Column:
 
 
 def _overlap(of: Column, stop: list[str], text: Column, scale: float) -> Column:
-    keys = F.array_except(F.array_distinct(words(of)), strings(stop))
-    share = F.size(F.filter(keys, lambda w: F.contains(text, w))) / F.size(keys)
-    return F.when(F.size(keys) > 0, F.least(share * scale, F.lit(1.0)))
+    both = F.struct(F.array_except(F.array_distinct(words(of)), strings(stop)).alias("k"), text.alias("t"))
+    share = lambda x: F.size(F.filter(x["k"], lambda w: F.contains(x["t"], w))) / F.size(x["k"])
+    return let(both, lambda x: F.when(F.size(x["k"]) > 0, F.least(share(x) * scale, F.lit(1.0))))
 
 
 def faithfulness(answer: Column, context: Column) -> Column:
@@ -93,7 +94,7 @@ def cites(answer: Column) -> Column:
 
 def mentions_any(expected: Column, answer: Column) -> Column:
     """Whether the first ten characters of an expected citation occur in the answer."""
-    return F.exists(expected, lambda c: F.contains(F.lower(answer), F.lower(F.left(c, F.lit(10)))))
+    return let(F.lower(answer), lambda a: F.exists(expected, lambda c: F.contains(a, F.lower(F.left(c, F.lit(10))))))
 
 
 def p95(rows: DataFrame, value: str, by: list[str], accuracy: int = 10_000) -> DataFrame:
@@ -136,22 +137,27 @@ def evaluate(samples: DataFrame, responses: DataFrame, by: list[str]) -> DataFra
     id, never by position. Heuristic figures cover all rows; rates those with an answer."""
     from corpusmill.operators import guardrails
 
-    rows = samples.join(responses, "sample_id")
-    has = F.coalesce(F.col("answer"), F.lit("")) != ""
-    n = F.greatest(F.count_if(has), F.lit(1))
-    blocked = guardrails.blocks(guardrails.violations(F.col("answer")))
-    expected = F.size("regulatory_citations") > 0
-    rate = lambda cond: F.round(F.count_if(has & cond) / n, 6)
+    a, c = F.col("answer"), F.col("context")
+    rows = samples.join(responses, "sample_id").withColumn("has", F.coalesce(a, F.lit("")) != "")
+    # each figure is computed once a row, in a projection, and only those that need an answer where there is one
+    where = lambda figure: F.when(F.col("has"), figure)
+    rows = rows.select(
+        *by, "has", faithfulness(a, c).alias("f"), relevancy(F.col("question"), a).alias("r"), where(guardrails.blocks(guardrails.violations(a))).alias("blocked"),
+        where(guardrails.high_risk_count(a) > 0).alias("leaks"), where((c != "") & ~is_grounded(a, c)).alias("invents"), where(cites(a)).alias("names"), (F.size("regulatory_citations") > 0).alias("expected"),
+        where((F.size("regulatory_citations") > 0) & mentions_any(F.col("regulatory_citations"), a)).alias("meets"),
+    )
+    n = F.greatest(F.count_if("has"), F.lit(1))
+    rate = lambda cond: F.round(F.count_if(cond) / n, 6)
     return rows.groupBy(*by).agg(
-        F.round(F.coalesce(F.avg(faithfulness(F.col("answer"), F.col("context"))), F.lit(0.0)), 6).alias("faithfulness"),
-        F.round(F.coalesce(F.avg(relevancy(F.col("question"), F.col("answer"))), F.lit(0.0)), 6).alias("answer_relevancy"),
+        F.round(F.coalesce(F.avg("f"), F.lit(0.0)), 6).alias("faithfulness"),
+        F.round(F.coalesce(F.avg("r"), F.lit(0.0)), 6).alias("answer_relevancy"),
         F.lit(rules.HEURISTIC_PRECISION).alias("context_precision"),
         F.lit(rules.HEURISTIC_RECALL).alias("context_recall"),
-        rate(~blocked).alias("compliance_pass_rate"),
-        rate(guardrails.high_risk_count(F.col("answer")) > 0).alias("pii_leak_rate"),
-        rate((F.col("context") != "") & ~is_grounded(F.col("answer"), F.col("context"))).alias("hallucination_rate"),
-        rate(cites(F.col("answer"))).alias("citation_rate"),
-        F.round(F.count_if(has & expected & mentions_any(F.col("regulatory_citations"), F.col("answer"))) / F.greatest(F.count_if(expected), F.lit(1)), 6).alias("regulatory_accuracy"),
+        rate(~F.col("blocked")).alias("compliance_pass_rate"),
+        rate(F.col("leaks")).alias("pii_leak_rate"),
+        rate(F.col("invents")).alias("hallucination_rate"),
+        rate(F.col("names")).alias("citation_rate"),
+        F.round(F.count_if("meets") / F.greatest(F.count_if("expected"), F.lit(1)), 6).alias("regulatory_accuracy"),
         F.count("*").alias("n_samples"),
     )
 

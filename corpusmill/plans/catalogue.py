@@ -309,7 +309,8 @@ def _answers(spark, folder):
     docs = read(spark, folder, "documents")
     before = answers.with_previous(docs.select("source", "doc_id"), "source", "doc_id").select("doc_id", "previous")
     texts = docs.select(F.col("doc_id").alias("previous"), F.col("text").alias("context"))
-    rows = docs.join(before, "doc_id").join(texts, "previous", "left")
+    # ids alone are so few bytes that one task would take them, and with them all texts if these were sent to it: so the texts are dealt out
+    rows = docs.join(before.hint("shuffle_hash"), "doc_id").join(texts.hint("merge"), "previous", "left")
     return rows.select("doc_id", text.alias("answer"), F.coalesce("context", F.lit("")).alias("context"), cited.alias("cited"))
 
 
@@ -327,7 +328,8 @@ GROUNDED_SQL = rf"""
 @query(f"WITH {ANSWERS_SQL}, {GROUNDED_SQL} SELECT * FROM grounded")
 def groundedness(spark, folder):
     a, c = F.col("answer"), F.col("context")
-    return _answers(spark, folder).select("doc_id", F.round(answers.grounded_score(a, c), 6).alias("score"), answers.is_grounded(a, c).alias("is_grounded"))
+    rows = _answers(spark, folder).withColumn("share", answers.grounded_score(a, c))
+    return rows.select("doc_id", F.round("share", 6).alias("score"), answers.is_grounded(a, c, F.col("share")).alias("is_grounded"))
 
 
 @query(f"""
