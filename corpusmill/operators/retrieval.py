@@ -137,19 +137,22 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, where: Column | None = N
     return top(scored, [query_id], k, [F.desc("score"), F.col(id_col)]).withColumn("score", F.round("score", SHOWN))
 
 
-def within_document(chunks: DataFrame, asked: DataFrame, k: int, key: str = "document_id", id_col: str = "chunk_id", vector_col: str = "vector", query_vector: str = "query_vector") -> DataFrame:
-    """(key, id, distance, rank): the k chunks of the document that each row of asked (key, query_vector) names, nearest first by
-    Euclidean distance; ties go to smaller ids. A join on the document's key, cut to k rows before the shuffle."""
+def within_document(chunks: DataFrame, asked: DataFrame, k: int, key: str = "document_id", id_col: str = "chunk_id", vector_col: str = "vector", query_vector: str = "query_vector", query_id: str = "query_id") -> DataFrame:
+    """(query_id, key, id, distance, rank): for each row of asked (query_id, key, query_vector) the k chunks of the document that it
+    names, nearest first by Euclidean distance; ties go to smaller ids. A join on the document's key, cut to k rows before the
+    shuffle."""
     square = F.aggregate(F.zip_with(vector_col, query_vector, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-    rows = chunks.join(asked.select(key, query_vector), key).select(key, id_col, F.round(F.sqrt(square), RANKED).alias("distance"))
-    return top(rows.where("distance IS NOT NULL"), [key], k, [F.col("distance"), F.col(id_col)]).withColumn("distance", F.round("distance", SHOWN))
+    rows = chunks.join(asked.select(query_id, key, query_vector), key).select(query_id, key, id_col, F.round(F.sqrt(square), RANKED).alias("distance"))
+    return top(rows.where("distance IS NOT NULL"), [query_id], k, [F.col("distance"), F.col(id_col)]).withColumn("distance", F.round("distance", SHOWN))
 
 
-def found_or_first(chunks: DataFrame, asked: DataFrame, k: int = 20, key: str = "document_id", id_col: str = "chunk_id") -> DataFrame:
-    """(key, id, rank, found): what within_document finds; for a document where that is nothing, its first k chunks by id."""
-    hits = within_document(chunks, asked, k, key, id_col).select(key, id_col, "rank", F.lit(True).alias("found"))
-    rest = chunks.select(key, id_col).join(hits.select(key).distinct(), key, "left_anti")
-    return hits.union(top(rest, [key], k, [F.col(id_col)]).select(key, id_col, "rank", F.lit(False).alias("found")))
+def found_or_first(chunks: DataFrame, asked: DataFrame, k: int = 20, key: str = "document_id", id_col: str = "chunk_id", query_id: str = "query_id") -> DataFrame:
+    """(query_id, key, id, rank, found): what within_document finds; for a query that finds nothing, as without a vector, the first k
+    chunks of its document by id."""
+    hits = within_document(chunks, asked, k, key, id_col, query_id=query_id).select(query_id, key, id_col, "rank", F.lit(True).alias("found"))
+    rest = asked.select(query_id, key).join(hits.select(query_id).distinct(), query_id, "left_anti")
+    first = top(chunks.select(key, id_col), [key], k, [F.col(id_col)])
+    return hits.union(rest.join(first, key).select(query_id, key, id_col, "rank", F.lit(False).alias("found")))
 
 
 def _parted(text: Column) -> Column:

@@ -120,26 +120,29 @@ def embed_cache_hits(spark, folder):
 # ---- retrieval within a document
 
 _WITHIN_SQL = """
-    chunks AS (SELECT vec_id % 40 AS document_id, vec_id AS chunk_id, embedding::DOUBLE[] AS vector FROM embeddings),
-    asked AS (SELECT document_id, vector AS query_vector FROM chunks WHERE chunk_id < 80 AND chunk_id >= 40 AND document_id % 4 <> 0),
-    near AS (SELECT document_id, chunk_id, round(list_distance(vector, query_vector), 10) AS distance FROM chunks JOIN asked USING (document_id)),
-    hits AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY distance, chunk_id)::INT AS rank FROM near)
+    chunks AS (SELECT vec_id // 50 AS document_id, vec_id AS chunk_id, embedding::DOUBLE[] AS vector FROM embeddings),
+    asked AS (SELECT chunk_id AS query_id, document_id, CASE WHEN document_id % 4 <> 0 THEN vector END AS query_vector FROM chunks WHERE chunk_id % 20 = 0),
+    near AS (SELECT query_id, document_id, chunk_id, round(list_distance(vector, query_vector), 10) AS distance FROM chunks JOIN asked USING (document_id) WHERE query_vector IS NOT NULL),
+    hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id)::INT AS rank FROM near)
 """
 
 
 def _chunk_vectors(spark, folder):
-    chunks = read(spark, folder, "embeddings").select((F.col("vec_id") % 40).alias("document_id"), F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
-    return chunks, chunks.where("chunk_id >= 40 AND chunk_id < 80 AND document_id % 4 <> 0").select("document_id", F.col("vector").alias("query_vector"))
+    """Fifty vectors are a document's chunks; every chunk whose id is divisible by 20 asks within its document, without a vector in
+    every fourth document."""
+    chunks = read(spark, folder, "embeddings").select(F.expr("vec_id DIV 50").alias("document_id"), F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
+    return chunks, chunks.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "document_id", F.when(F.col("document_id") % 4 != 0, F.col("vector")).alias("query_vector"))
 
 
-@query(f"WITH {_WITHIN_SQL} SELECT document_id, chunk_id, round(distance, 6) AS distance, rank FROM hits WHERE rank <= 20")
+@query(f"WITH {_WITHIN_SQL} SELECT query_id, document_id, chunk_id, round(distance, 6) AS distance, rank FROM hits WHERE rank <= 20")
 def within_document(spark, folder):
     return retrieval.within_document(*_chunk_vectors(spark, folder), 20)
 
 
 @query(f"""
-    WITH {_WITHIN_SQL}, rest AS (SELECT document_id, chunk_id, row_number() OVER (PARTITION BY document_id ORDER BY chunk_id)::INT AS rank FROM chunks WHERE document_id NOT IN (SELECT document_id FROM asked))
-    SELECT document_id, chunk_id, rank, true AS found FROM hits WHERE rank <= 20 UNION ALL SELECT document_id, chunk_id, rank, false FROM rest WHERE rank <= 20
+    WITH {_WITHIN_SQL}, first AS (SELECT document_id, chunk_id, row_number() OVER (PARTITION BY document_id ORDER BY chunk_id)::INT AS rank FROM chunks)
+    SELECT query_id, document_id, chunk_id, rank, true AS found FROM hits WHERE rank <= 20
+    UNION ALL SELECT query_id, document_id, f.chunk_id, f.rank, false FROM asked JOIN first f USING (document_id) WHERE query_vector IS NULL AND f.rank <= 20
 """)
 def found_or_first_chunks(spark, folder):
     return retrieval.found_or_first(*_chunk_vectors(spark, folder), 20)
