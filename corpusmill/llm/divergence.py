@@ -6,7 +6,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,19 +29,20 @@ def terms_of(text: str) -> list[bytes]:
 
 
 def counts(docs: DataFrame, lang_col: str, source_col: str, text_col: str) -> DataFrame:
-    """(lang, source, term, n, docs) for each group's terms: occurrences and documents. Tasks sum up what they read and give partial
-    sums on, so that a group of a third of all rows costs no task more than others."""
+    """(lang, source, term, n, docs): occurrences of each group's terms and documents that hold them, in part: tasks sum up what they
+    read and give sums on, so that a group of a third of all rows costs no task more than others."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
 
-        def given() -> Iterator[pd.DataFrame]:
+        def given() -> Iterator[pa.RecordBatch]:
             for (lang, source), (n, seen) in held.items():
-                yield pd.DataFrame({"lang": lang, "source": source, "term": [x.decode("utf-8", "surrogatepass") for x in n], "n": list(n.values()), "docs": [seen[x] for x in n]})
+                said = pa.array(n, pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(n)), pa.repeat(source, len(n)), said, pa.array(np.fromiter(n.values(), np.int64, len(n))), pa.array(np.fromiter(map(seen.__getitem__, n), np.int64, len(n)))], ["lang", "source", "term", "n", "docs"])
             held.clear()
 
         for batch in batches:
-            for lang, source, text in zip(batch["lang"], batch["source"], batch["text"]):
+            for lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text"))):
                 found = terms_of(text)
                 if found:
                     n, seen = held.setdefault((lang, source), (Counter(), Counter()))
@@ -55,8 +55,7 @@ def counts(docs: DataFrame, lang_col: str, source_col: str, text_col: str) -> Da
 
     long_texts(docs.sparkSession)
     rows = docs.select(*(F.coalesce(F.col(c), F.lit("")).alias(x) for c, x in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))))
-    found = rows.mapInPandas(count, "lang string, source string, term string, n long, docs long")
-    return found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    return rows.mapInArrow(count, "lang string, source string, term string, n long, docs long")
 
 
 def share(n: Column, total: Column, size: Column, added: int = ADDED, scale: int = SCALE) -> Column:
@@ -106,11 +105,12 @@ def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", t
     0) have their rows; a language's only source has no pairs; repeated rows count each time; very long texts are read whole;
     other columns are ignored; an empty table gives an empty result. Ties go to the smaller item in UTF-8.
     """
-    found = stored(counts(docs, lang_col, source_col, text_col), "terms")
-    kept = found.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("all"), F.count("*").alias("k")).where(F.col("docs") >= least)
-    kept = stored(kept.select("lang", "term", "all", "k", F.xxhash64("term").alias("dealt")), "kept")
-    sizes = kept.groupBy("lang").agg(F.count("*").alias("size"), F.sum("all").alias("total"), F.count_if(F.col("k") > light).alias("heavy"))
-    posts = found.join(kept, ["lang", "term"]).select("lang", "source", "term", "n", "all", "k", "dealt")
+    # dealt by term at once: a group's count, its language's and the number of groups need no other shuffle
+    found = counts(docs, lang_col, source_col, text_col).repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    of = Window.partitionBy("lang", "term")
+    found = found.withColumns({"in_docs": F.sum("docs").over(of), "all": F.sum("n").over(of), "k": F.count("*").over(of), "leads": F.min("source").over(of) == F.col("source")})
+    posts = stored(found.where(F.col("in_docs") >= least).select("lang", "source", "term", "n", "all", "k", "leads"), "kept")
+    sizes = posts.groupBy("lang").agg(F.count_if("leads").alias("size"), F.sum("n").alias("total"), F.count_if(F.col("leads") & (F.col("k") > light)).alias("heavy"))
     groups = docs.select(*(F.coalesce(F.col(c), F.lit("")).alias(x) for c, x in ((lang_col, "lang"), (source_col, "source")))).distinct()
     groups = groups.join(posts.groupBy("lang", "source").agg(F.sum("n").alias("own")), ["lang", "source"], "left").join(sizes, "lang", "left").fillna(0)
     # a row for each group, of which the result has the square: numbering a language's groups is less than its rows
@@ -118,7 +118,7 @@ def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", t
     groups = stored(groups.withColumn("p0", share(F.lit(0), F.col("own"), F.greatest("size", F.lit(1)))), "groups")
     posts = posts.join(groups.select("lang", "source", "g", "own", "size", "total", "heavy", "p0"), ["lang", "source"])
     posts = posts.withColumns({"p": share(F.col("n"), F.col("own"), F.col("size")), "q": share(F.col("all"), F.col("total"), F.col("size"))})
-    posts = stored(posts.select("lang", "source", "g", "p0", "term", "p", "q", "k", "dealt", "heavy"), "postings")
+    posts = stored(posts.select("lang", "source", "g", "p0", "term", "p", "q", "k", "leads", "heavy"), "postings")
 
     over = posts.where("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), (F.col("p") - F.col("q")).alias("value"))
     rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
@@ -136,8 +136,8 @@ def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", t
     mend = F.abs(F.col("p") - F.col("p_")) - F.abs(F.col("p") - F.col("p0_")) - F.abs(F.col("p_") - F.col("p0")) + apart
     both = both.groupBy("lang", "g", F.col("g_").alias("h")).agg(F.sum(mend).alias("value"))
 
-    blocks = F.ceil(F.col("heavy") / TERMS)
-    place = kept.where(F.col("k") > light).join(sizes.select("lang", "heavy"), "lang").select("lang", "term", F.pmod("dealt", blocks).alias("tb"))
+    dealt = F.pmod(F.xxhash64("term"), F.ceil(F.col("heavy") / TERMS))
+    place = posts.where((F.col("k") > light) & F.col("leads")).select("lang", "term", dealt.alias("tb"))
     place = stored(place.withColumn("t", F.row_number().over(Window.partitionBy("lang", "tb").orderBy("term")) - 1), "places")
     cells = posts.where(F.col("k") > light).join(place, ["lang", "term"])
     cells = cells.groupBy("lang", "tb", (F.col("g") / GROUPS).cast("long").alias("gb")).agg(F.collect_list(F.struct((F.col("g") % GROUPS).cast("int").alias("i"), F.col("t").cast("int").alias("t"), "p")).alias("cells"))
