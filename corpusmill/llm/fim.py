@@ -45,10 +45,10 @@ def transform(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", u
     """(id, text, n, form, prefix_chars, middle_chars, output) of each row: its text cut at two of its n units' ends and rearranged.
 
     Units are the matches of a pattern whose matches cover every text. They become rows (posexplode), a running sum over a
-    document gives each unit's end, and a document's two cut requests meet those ends by ordinal; the offsets are gathered for
-    each document and cut its text by substring. Only lengths travel with units; texts are shuffled once, beside the offsets,
-    and never sorted. Rows that share id and text share their cuts: their units are combined before they are shuffled, so that
-    a row that a third of the table repeats costs no task more than others.
+    document gives each unit's end, and a document's cut requests meet those ends by ordinal; the offsets are gathered for each
+    document and cut its text by substring. Only lengths travel, a list for each document, and all of that runs where the lists
+    have been dealt to; texts are shuffled once, to the offsets, and never sorted. Rows that share id and text share their cuts:
+    they are combined before they are shuffled, so that a row that a third of the table repeats costs no task more than others.
 
     form: plain if the text is empty or holds a marker, or by the third draw for 100 - rate of a hundred documents; otherwise
     spm for `spm` of a hundred by the fourth, else psm. prefix_chars and middle_chars count code points and are null if plain.
@@ -59,18 +59,18 @@ def transform(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", u
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     base = base.withColumns({"own": F.coalesce(F.col("id").cast("string"), F.lit("")), "content": F.xxhash64("text")})
     key = ["own", "content"]
-    n = F.regexp_count("text", F.lit(units)).cast("long")
     marked = F.contains("text", F.lit(PREFIX)) | F.contains("text", F.lit(SUFFIX)) | F.contains("text", F.lit(MIDDLE))
     form = F.when((F.col("text") == "") | marked | (h3 % 100 >= rate), "plain").when(h4 % 100 < spm, "spm").otherwise("psm")
-    wanted = base.select(*key, n.alias("n"), form.alias("form"), h1.alias("h1"), h2.alias("h2")).distinct()
-    one, two = F.col("h1") % (F.col("n") + 1), F.col("h2") % (F.col("n") + 1)
-    wanted = wanted.withColumns({"first": F.least(one, two), "second": F.greatest(one, two)}).drop("h1", "h2")
-    cut = base.where(form != "plain")
-    found = cut.select(*key, F.posexplode(F.regexp_extract_all("text", F.lit(units), F.lit(0))).alias("pos", "unit")).groupBy(*key, "pos").agg(F.min(F.length("unit")).alias("length"))
-    ends = found.select(*key, (F.col("pos") + 1).cast("long").alias("ordinal"), F.sum("length").over(Window.partitionBy(*key).orderBy("pos")).alias("end"))
-    requests = wanted.where("form <> 'plain'").select(*key, F.explode(F.array("first", "second")).alias("ordinal")).distinct()
-    met = requests.join(ends, [*key, "ordinal"])
-    offsets = wanted.join(met, key, "left").groupBy(*key, "n", "form").agg(*(F.coalesce(F.max(F.when(F.col("ordinal") == F.col(x), F.col("end"))), F.lit(0)).cast("int").alias(x) for x in ("first", "second")))
+    lengths = F.transform(F.regexp_extract_all("text", F.lit(units), F.lit(0)), F.length)
+    # one struct, so that requests and units read one shuffle
+    each = base.groupBy(*key).agg(F.first(F.struct(lengths.alias("lengths"), form.alias("form"), h1.alias("h1"), h2.alias("h2"))).alias("of"))
+    n = F.size("of.lengths").cast("long")
+    one, two = F.col("of.h1") % (n + 1), F.col("of.h2") % (n + 1)
+    requests = each.select(*key, n.alias("n"), F.col("of.form").alias("form"), F.when(F.col("of.form") != "plain", F.array(F.least(one, two), F.greatest(one, two))).alias("cuts"))
+    ends = each.select(*key, F.posexplode("of.lengths").alias("pos", "length")).withColumn("end", F.sum("length").over(Window.partitionBy(*key).orderBy("pos")))
+    ends = ends.select(*(F.col(c).alias(f"{c}_") for c in key), (F.col("pos") + 1).cast("long").alias("ordinal"), "end")
+    met = requests.hint("merge").join(ends, (F.col("own") == F.col("own_")) & (F.col("content") == F.col("content_")) & F.array_contains("cuts", F.col("ordinal")), "left")
+    offsets = met.groupBy(*key, "n", "form").agg(*(F.coalesce(F.max(F.when(F.col("ordinal") == F.col("cuts")[k], F.col("end"))), F.lit(0)).cast("int").alias(x) for k, x in enumerate(("first", "second"))))
     cuts = base.join(offsets.hint("shuffle_hash"), key)
     plain = F.col("form") == "plain"
     return cuts.select(
