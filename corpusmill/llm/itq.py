@@ -195,6 +195,7 @@ def _clumps(coded: DataFrame, cosine: float, rounds: int = 2) -> DataFrame:
     rest, out = coded.select("num", "d", "key", "u"), None
     for _ in range(rounds):
         first = rest.groupBy("d", "key").agg(F.min_by("u", "num").alias("first"), F.min("num").alias("clump"), F.count("*").alias("n")).where("n > 1").drop("n")
+        first = stored(first, "first")  # a table of its own, so that the engine can split a key that many share
         met = rest.join(first, ["d", "key"], "left").withColumn("away", F.when(F.col("num") == F.col("clump"), 0.0).when(F.col("clump").isNotNull(), F.acos(F.least(F.lit(1.0), _near(F.coalesce("u", F.lit(b"")), F.coalesce("first", "u"))))))
         met = stored(met.select("num", "d", "key", "u", "clump", "away"), "clumps")
         taken = met.where(F.col("away") <= half).select("num", "clump", "away")
