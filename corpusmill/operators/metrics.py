@@ -33,7 +33,7 @@ def performance(rows: DataFrame, by: list[str]) -> DataFrame:
 
 def labelled(name: str, **labels: Column) -> Column:
     """struct(metric, labels) of a counter or a histogram, labels in the order of its definition."""
-    order = rules.COUNTERS.get(name) or list(labels)
+    order = next((known[name] for known in (rules.COUNTERS, rules.HISTOGRAMS, rules.GAUGES) if name in known), list(labels))
     if set(order) != set(labels):
         raise ValueError(f"{name} has the labels {', '.join(order)}")
     pairs = [F.concat(F.lit(f'{x}="'), labels[x].cast("string"), F.lit('"')) for x in order]
@@ -70,6 +70,67 @@ def security_observations(rows: DataFrame) -> DataFrame:
     return rows.select(F.inline(F.concat(data, broken, block)))
 
 
+def outcome_observations(rows: DataFrame) -> DataFrame:
+    """(metric, labels, value) of what went wrong: answers that their context doesn't bear out, failed sign-ins, requests over a limit.
+    rows: model, user_role, grounded, auth_failure (null where none), limited."""
+    c, one = F.col, F.lit(1)
+    found = F.array(
+        F.when(~c("grounded"), _observed(labelled("hallucination_detected_total", model=c("model"), user_role=c("user_role")), one)),
+        F.when(c("auth_failure").isNotNull(), _observed(labelled("auth_failures_total", failure_type=c("auth_failure")), one)),
+        F.when(c("limited"), _observed(labelled("rate_limit_exceeded_total", user_role=c("user_role")), one)),
+    )
+    return rows.select(F.inline(F.array_compact(found)))
+
+
+def ingest_observations(rows: DataFrame) -> DataFrame:
+    """(metric, labels, value): a document taken in, by its file's type and its category."""
+    return rows.select(F.inline(F.array(_observed(labelled("documents_ingested_total", file_type=F.col("file_type"), document_category=F.col("document_category")), F.lit(1)))))
+
+
+def duration_observations(spans: DataFrame, stage: str, **labels: Column) -> DataFrame:
+    """(metric, labels, value): the seconds of ended spans of a stage (query, retrieval, generation, embedding, guardrails)."""
+    return spans.where("outcome = 'ended'").select(F.inline(F.array(_observed(labelled(f"{stage}_duration", **labels), F.col("seconds")))))
+
+
+def score_observations(rows: DataFrame) -> DataFrame:
+    """(metric, labels, value) of evaluated answers. rows: faithfulness, answer_relevancy, context_precision, context_recall; nulls
+    aren't observed."""
+    kept = [F.when(F.col(x).isNotNull(), _observed(labelled(f"{x}_score"), F.col(x))) for x in ("faithfulness", "answer_relevancy", "context_precision", "context_recall")]
+    return rows.select(F.inline(F.array_compact(F.array(*kept))))
+
+
+def gauge_observations(rows: DataFrame, name: str, value: Column, **labels: Column) -> DataFrame:
+    """(metric, labels, value, ts): a gauge's value at each row's ts."""
+    return rows.select(F.inline(F.array(_observed(labelled(name, **labels), value))), "ts")
+
+
+def accumulated(observed: DataFrame) -> DataFrame:
+    """(metric, labels, place, n, total, last, last_ts) of (metric, labels, value[, ts]) rows, of a table or a stream: place numbers the
+    histogram's bucket that a value falls into (null otherwise), last is the value of the greatest ts, of equal ones the greatest.
+    All are sums or extremes, so parts of a table, batches of a stream and what a restart finds in its state add up alike."""
+    place = F.lit(None).cast("int")
+    for name, edges in rules.BUCKETS.items():
+        over = sum((F.when(F.col("value") > x, 1).otherwise(0) for x in edges), F.lit(0))
+        place = F.when(F.col("metric") == name, over).otherwise(place)
+    rows = observed if "ts" in observed.columns else observed.withColumn("ts", F.lit(None).cast("timestamp"))
+    last = F.max(F.struct("ts", "value"))
+    sums = rows.withColumn("place", place).groupBy("metric", "labels", "place").agg(F.count("value").alias("n"), F.sum("value").alias("total"), last.alias("m"))
+    return sums.select("metric", "labels", "place", "n", "total", F.col("m.value").alias("last"), F.col("m.ts").alias("last_ts"))
+
+
+def exposed(sums: DataFrame) -> DataFrame:
+    """(line): the text form of an accumulated table: counters, histograms with all their buckets, and gauges."""
+    counted = sums.where(F.col("metric").isin(list(rules.COUNTERS))).select(F.format_string("%s{%s} %.6f", "metric", "labels", "total").alias("line"))
+    gauges = sums.where(F.col("metric").isin(list(rules.GAUGES))).select(F.when(F.col("labels") == "", F.format_string("%s %.6f", "metric", "last")).otherwise(F.format_string("%s{%s} %.6f", "metric", "labels", "last")).alias("line"))
+    edges = F.create_map(*(x for name, e in rules.BUCKETS.items() for x in (F.lit(name), F.array(*(F.lit(str(b)) for b in [*e, "+Inf"])))))
+    rows = sums.where(F.col("metric").isin(list(rules.BUCKETS))).groupBy("metric", "labels").agg(F.collect_list(F.struct("place", "n")).alias("b"), F.sum("total").alias("total"), F.sum("n").alias("n"))  # as many as edges
+    upto = F.transform(edges[F.col("metric")], lambda le, k: F.struct(le.alias("le"), F.aggregate(F.filter("b", lambda x: x["place"] <= k), F.lit(0).cast("long"), lambda s, x: s + x["n"]).alias("c")))
+    joined = F.when(F.col("labels") == "", F.lit("")).otherwise(F.concat("labels", F.lit(",")))
+    buckets = rows.select("metric", joined.alias("j"), F.inline(upto)).select(F.format_string('%s_bucket{%sle="%s"} %d', "metric", "j", "le", "c").alias("line"))
+    totals = rows.select(F.explode(F.array(F.format_string("%s_sum{%s} %.6f", "metric", "labels", F.round("total", 6)), F.format_string("%s_count{%s} %d", "metric", "labels", "n"))).alias("line"))
+    return counted.union(gauges).union(buckets).union(totals)
+
+
 def exposition(observed: DataFrame) -> DataFrame:
     """(line): the text form of (metric, labels, value) rows that scrapers read: counters as sums; histograms as cumulative buckets, sum
     and count. One pass, summed before the shuffle."""

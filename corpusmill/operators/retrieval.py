@@ -155,7 +155,7 @@ def found_or_first(chunks: DataFrame, asked: DataFrame, k: int = 20, key: str =
     return hits.union(rest.join(first, key).select(query_id, key, id_col, "rank", F.lit(False).alias("found")))
 
 
-def _parted(text: Column) -> Column:
+def parted(text: Column) -> Column:
     """A text's terms: lower-cased runs outside white space; none for null."""
     return words(F.lower(F.coalesce(text, F.lit(""))))
 
@@ -164,7 +164,7 @@ def bm25_stats(docs: DataFrame, text_col: str) -> DataFrame:
     """(term, df, idf, n_docs, avgdl): Okapi weights. A negative idf becomes EPSILON times the mean of all terms' raw idf, the
     formula of the public rank_bm25 package. One pass: a document gives each of its terms once, and one row without a term
     that holds its length; all are summed before the shuffle."""
-    terms = docs.select(_parted(F.col(text_col)).alias("terms"))
+    terms = docs.select(parted(F.col(text_col)).alias("terms"))
     rows = terms.select(F.explode(F.array_append(F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("dl"))), F.struct(F.lit(None).cast("string").alias("term"), F.size("terms").alias("dl")))).alias("x"))
     df = rows.groupBy("x.term").agg(F.count("*").alias("df"), F.sum("x.dl").alias("dl"))
     size = df.where("term IS NULL").select(F.col("df").alias("n_docs"), (F.col("dl") / F.col("df")).alias("avgdl"))
@@ -181,12 +181,12 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int | None, id_col: str = "doc_
     queries', where the engine can't tell by them. Texts are dealt by id once; what is
     asked for is then found, counted and summed up where a document is, and only ranked rows are shuffled again."""
     bound = queries if bound is None else bound
-    words_asked = queries.select(query_id, F.explode(_parted(F.col(query_text))).alias("term")).groupBy(query_id, "term").agg(F.count("*").alias("times"))
+    words_asked = queries.select(query_id, F.explode(parted(F.col(query_text))).alias("term")).groupBy(query_id, "term").agg(F.count("*").alias("times"))
     terms_asked = small(words_asked.select("term").distinct(), bound)
     known = (bm25_stats(docs, text_col) if stats is None else stats).join(terms_asked, "term", "left_semi")
     asked = small(small(words_asked, bound).join(known, "term"), bound)
     dealt = docs.select(id_col, *(keep or []), text_col).repartition(id_col)
-    terms = dealt.select(id_col, *(keep or []), _parted(F.col(text_col)).alias("terms")).withColumn("dl", F.size("terms"))
+    terms = dealt.select(id_col, *(keep or []), parted(F.col(text_col)).alias("terms")).withColumn("dl", F.size("terms"))
     terms = terms.select(id_col, *(keep or []), "dl", F.explode("terms").alias("term")).join(terms_asked, "term", "left_semi")
     found = terms.groupBy(id_col, *(keep or []), "dl", "term").agg(F.count("*").alias("tf"))
     length = rules.BM25_K1 * (1 - rules.BM25_B + rules.BM25_B * F.col("dl") / F.col("avgdl"))
