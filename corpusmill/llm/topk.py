@@ -14,8 +14,9 @@ from corpusmill.llm.base import stored
 
 #: Vectors of a block at most on average; a bucket's longest vector over its shortest, at most; tasks of the last pass at most.
 BLOCK, RATIO, TASKS = 8192, 1.1, 100_000
-#: Vectors of a block that a query's cost of pruning is judged from; queries whose products are taken together.
-PROBE, TOGETHER = 64, 256
+#: Vectors of a block that a query's cost of pruning is judged from; queries whose products are taken together; vectors of the first
+#: block that give the first thresholds.
+PROBE, TOGETHER, SEED = 64, 256, 512
 #: What rounding may add to a bound.
 SLACK = 1e-9
 
@@ -117,15 +118,31 @@ def _best(query: int, ids: np.ndarray, score: np.ndarray, k: int, floor: int) ->
     yield from zip([query] * len(able), ids[able].tolist(), score[able].tolist())
 
 
+def seeded(q_ids, q, q_len, ids, vectors, lengths, k: int, tally: dict[str, int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vector, score) of each query's k best in the first block, and the k-th best score of each query, in the order of q_ids
+    (least long where there are fewer). The block's SEED longest vectors give thresholds, the rest is pruned by them: no product
+    is taken twice."""
+    least = np.iinfo(np.int64).min
+    found: dict[int, list[tuple[int, int]]] = {x: [] for x in q_ids.tolist()}
+    floor = np.full(len(q_ids), least)
+    for part in (slice(0, SEED), slice(SEED, None)):
+        for query, vec, score in block_top(q_ids, q, q_len, ids[part], vectors[part], lengths[part], k, floor, tally):
+            found[query].append((-score, vec))
+        found = {x: sorted(some)[:k] for x, some in found.items()}
+        floor = np.array([-found[x][-1][0] if len(found[x]) == k else least for x in q_ids.tolist()], np.int64)
+    rows = np.array([(x, vec, -score) for x, some in found.items() for score, vec in some], np.int64).reshape(-1, 3)
+    return rows[:, 0], rows[:, 1], rows[:, 2], floor
+
+
 def top_k(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", factor: int = 1024, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row where queries holds, the k other rows with the greatest inner products of
     floor(factor * x) vectors, all of them if fewer; ties go to smaller ids.
 
     Buckets of like length, split at random into blocks of bounded size, so that vectors of one length never meet in one task;
-    queries come in blocks too. The first pass looks at each query block's share of the longest vectors for a first
-    threshold. Then the blocks' greatest lengths meet the query blocks' least needed ones, without the matrices: only pairs
-    that can add anything fetch these, and the second pass prunes within them. A pair of blocks gives at most k rows for a
-    query, which are ranked at last.
+    queries come in blocks too. The first pass takes each query block's best of the block of the longest vectors (see seeded):
+    the first threshold. Then the other blocks' greatest lengths meet the query blocks' least needed ones, without the matrices:
+    only pairs that can add anything fetch these, and the second pass prunes within them. A pair of blocks gives at most k rows
+    for a query, which are ranked at last.
 
     Rows with a null id or an unsound vector take no part. Inner products are those of vectors of one dimension: in a table
     that mixes them a query meets the vectors of its own. Rows that repeat an id are distinct candidates but never
@@ -145,23 +162,19 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_i
     asked = F.broadcast(rows.where("asks").groupBy("d").agg(F.ceil(F.count("*") / block).alias("groups")))
     groups = _packed(asking.join(asked, "d").select("d", "id", "v", F.pmod(F.xxhash64("id"), F.col("groups")).alias("key")), "key")
     groups = stored(groups.select("d", *(F.col(c).alias(f"q_{c}") for c in ("block", "n", "width", "ids", "vectors"))), "queries")
-    least = np.iinfo(np.int64).min
 
     def beside(some: DataFrame) -> DataFrame:
         """some (with d) beside the number of every query block of its dimension."""
         return some.join(asked, "d").withColumn("q_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1))).drop("groups")
 
     def floors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """The k-th best score of each query in the first block, in the order of the block's ids, and the least length needed."""
+        """What a block of queries finds in the first block, the k-th best score of each, and the least length needed."""
         for batch in batches:
             for r in batch.itertuples():
                 q_ids, q, q_len = _open(r.q_ids, r.q_vectors, r.q_n, r.d, r.q_width)
-                found: dict[int, list[int]] = {}
-                for query, _, score in block_top(q_ids, q, q_len, *_open(r.ids, r.vectors, r.n, r.d, r.width), k, np.full(r.q_n, least)):
-                    found.setdefault(query, []).append(score)
-                got = np.array([min(found[x]) if len(found.get(x, ())) == k else least for x in q_ids.tolist()], np.int64)
+                query, vec, score, got = seeded(q_ids, q, q_len, *_open(r.ids, r.vectors, r.n, r.d, r.width), k)
                 need = np.where((got > 0) & (q_len > 0), got / np.maximum(q_len, 1e-300), 0.0).min()
-                yield pd.DataFrame({"d": [r.d], "q_block": [r.q_block], "q_n": [r.q_n], "q_width": [r.q_width], "q_ids": [r.q_ids], "q_vectors": [r.q_vectors], "floors": [got.tobytes()], "need": [need]})
+                yield pd.DataFrame({"d": [r.d], "q_block": [r.q_block], "q_n": [r.q_n], "q_width": [r.q_width], "q_ids": [r.q_ids], "q_vectors": [r.q_vectors], "floors": [got.tobytes()], "need": [need], "first": [[{"query_id": x, "vec_id": y, "score": z} for x, y, z in zip(query.tolist(), vec.tolist(), score.tolist())]]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -171,10 +184,12 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_i
 
     seed = blocks.groupBy("d").agg(F.max(F.struct("longest", "n", "block")).alias("m")).select("d", F.col("m.block").alias("block"))
     first = beside(blocks.join(seed, ["d", "block"])).join(groups, ["d", "q_block"])
-    started = stored(first.mapInPandas(floors, "d int, q_block long, q_n int, q_width int, q_ids binary, q_vectors binary, floors binary, need double"), "floors")
-    pairs = beside(blocks.select("d", "block", "longest")).join(started.select("d", "q_block", "need"), ["d", "q_block"])
+    started = stored(first.mapInPandas(floors, "d int, q_block long, q_n int, q_width int, q_ids binary, q_vectors binary, floors binary, need double, first array<struct<query_id:long,vec_id:long,score:long>>"), "floors")
+    others = blocks.join(seed, ["d", "block"], "left_anti")
+    pairs = beside(others.select("d", "block", "longest")).join(started.select("d", "q_block", "need"), ["d", "q_block"])
     pairs = stored(pairs.where(F.col("longest") >= F.col("need") * (1 - SLACK)).select("d", "block", "q_block"), "pairs")
-    met = pairs.join(blocks, ["d", "block"]).join(started.drop("need"), ["d", "q_block"])
+    met = pairs.join(blocks, ["d", "block"]).join(started.drop("need", "first"), ["d", "q_block"])
     found = met.repartition(max(1, min(pairs.count(), TASKS))).mapInPandas(run, "query_id long, vec_id long, score long")
+    found = found.union(started.select(F.inline("first")))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -176,7 +176,7 @@ def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         store.create_dir(place, recursive=True)
         task = TaskContext.get()
         path = f"{place}/part-{task.partitionId():06d}-{task.taskAttemptId()}.warc.zst"
-        with store.open_output_stream(path) as out:
+        with store.open_output_stream(path, compression=None) as out:
             n, size = write(out, (x for part in ((first,), records) for x in part))
         yield pd.DataFrame({"path": [path], "records": [n], "bytes": [size]})
 
@@ -194,7 +194,7 @@ def records_of(archives: DataFrame, payloads: bool = False) -> DataFrame:
             for folder, path in zip(batch["folder"], batch["path"]):
                 store, _ = fs.FileSystem.from_uri(folder)
                 rows = []
-                with store.open_input_stream(path) as source:
+                with store.open_input_stream(path, compression=None) as source:
                     for headers, block in read(source):
                         head, _, payload = block.partition(b"\r\n\r\n")
                         size = int(head.rpartition(b"Content-Length: ")[2])

@@ -7,6 +7,7 @@ import warnings
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -290,3 +291,19 @@ def test_bins_close_on_real_lengths_and_few_are_needed(spark):
         total[at] += n
     assert max(total.values()) <= packing.SEQUENCE
     assert len(total) <= 1.015 * sum(lengths) / packing.SEQUENCE + 8
+
+
+def test_topk_takes_no_product_twice_on_the_real_table():
+    """On a table of one block the operator takes at most as many products as there are pairs."""
+    table = pq.read_table("/root/testdata/sf0.1/embeddings.parquet").to_pydict()
+    v = np.floor(1024 * np.array(table["embedding"], float)).astype(np.int64)
+    ids, lengths = np.array(table["vec_id"]), np.sqrt((v.astype(float) ** 2).sum(axis=1))
+    order = np.lexsort((ids, -lengths))
+    ids, v, lengths = ids[order], v[order], lengths[order]
+    asks, tally = ids % 100 == 0, {}
+    query, vec, score, floor = topk.seeded(ids[asks], v[asks], lengths[asks], ids, v, lengths, 10, tally)
+    assert tally["verified"] <= asks.sum() * len(ids)
+    every = v[asks] @ v.T
+    for k, q in enumerate(ids[asks].tolist()):
+        best = sorted(((-int(s), int(i)) for s, i in zip(every[k], ids) if i != q))[:10]
+        assert [(-int(s), int(i)) for s, i in zip(score[query == q], vec[query == q])] == best and floor[k] == -best[-1][0]

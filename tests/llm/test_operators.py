@@ -302,6 +302,13 @@ def test_warc_rows_that_many_share(spark, monkeypatch):
     assert len(set(names)) == len(rows)
 
 
+def test_warc_files_on_disk_lead_with_the_dictionary(spark):
+    pages = spark.createDataFrame([(k, f"http://h/{k}", f"<html>common words of page {k}") for k in range(60)], "page_id long, url string, html string").coalesce(1)
+    for folder, path in warc.archive(pages).select("folder", "path").collect():
+        with open(path if path.startswith("/") else folder.removeprefix("file://") + path, "rb") as source:
+            assert struct.unpack("<I", source.read(4))[0] == warc.SKIPPABLE
+
+
 def test_sample_is_bounded_whatever_ids_repeat(spark):
     docs = spark.range(5000).selectExpr("CASE WHEN id < 4000 THEN 7 ELSE id END AS doc_id", "concat('t', id) AS text")
     labels = spark.createDataFrame([(7, 1)] * 50 + [(7, 0), (None, 1), (8, None)] + [(k, k % 2) for k in range(4000, 4200)], "doc_id long, label int")
