@@ -44,6 +44,11 @@ def _observed(what: Column, value: Column) -> Column:
     return F.struct(what["metric"].alias("metric"), what["labels"].alias("labels"), value.cast("double").alias("value"))
 
 
+def observation(name: str, value: Column, **labels: Column) -> Column:
+    """struct(metric, labels, value)."""
+    return _observed(labelled(name, **labels), value)
+
+
 def observations(rows: DataFrame) -> DataFrame:
     """(metric, labels, value): what a finished question adds: itself, its tokens by type, its cost, whether the cache had it, and one
     observation for each retrieval score. rows: user_role, document_category, success, tokens_input, tokens_output, model,

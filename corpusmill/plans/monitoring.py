@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,10 +29,10 @@ def marks(events: DataFrame) -> DataFrame:
     return events.select(F.col("user_id").cast("string").alias("key"), F.lit(None).cast("string").alias("labels"), kind.alias("kind"), "ts", "event_id")
 
 
-@query(f"WITH {_SPANS_SQL} SELECT key, epoch_us(started) AS started_us, epoch_us(ended) AS ended_us, round(seconds, 6) AS seconds, outcome FROM spans")
+@query(f"WITH {_SPANS_SQL} SELECT key, epoch_us(started) AS started_us, coalesce(epoch_us(ended), -1) AS ended_us, round(coalesce(seconds, -1), 6) AS seconds, outcome FROM spans")
 def duration_spans(spark, folder):
     found = durations.spans(marks(read(spark, folder, "events")), TIMEOUT)
-    return found.select("key", F.unix_micros("started").alias("started_us"), F.unix_micros("ended").alias("ended_us"), F.round("seconds", 6).alias("seconds"), "outcome")
+    return found.select("key", F.unix_micros("started").alias("started_us"), F.coalesce(F.unix_micros("ended"), F.lit(-1)).alias("ended_us"), F.round(F.coalesce("seconds", F.lit(-1.0)), 6).alias("seconds"), "outcome")
 
 
 #: A metric of the full set: its labels, each an expression over events that both dialects read, its value and which events have it.
@@ -56,7 +54,7 @@ FULL = {
     "retrieval_duration": ({"retrieval_type": "CASE event_id % 2 WHEN 0 THEN 'dense' ELSE 'hybrid' END"}, "value / 200", "event_id >= 0"),
     "generation_duration": ({"model": _MODEL, "user_role": _ROLE}, "value / 10", "event_id >= 0"),
     "embedding_duration": ({"model": _MODEL}, "value / 900", "event_id >= 0"),
-    "guardrails_duration": ({"check_type": "CASE event_id % 3 WHEN 0 THEN 'pii' WHEN 1 THEN 'compliance' ELSE 'output_validation' END"}, "value / 4000", "event_id >= 0"),
+    "guardrails_duration": ({"check_type": "CASE event_id % 3 WHEN 0 THEN 'pii' WHEN 1 THEN 'compliance' ELSE 'output_validation' END"}, "value / 5000", "event_id >= 0"),
     "retrieval_score": ({"user_role": _ROLE}, "value / 100", "event_id >= 0"),
     "faithfulness_score": ({}, "value / 110", "event_id % 2 = 0"),
     "answer_relevancy_score": ({}, "value / 120", "event_id % 2 = 1"),
@@ -70,9 +68,9 @@ FULL = {
 
 
 def full_observations(events: DataFrame) -> DataFrame:
-    """(metric, labels, value, ts) of all eleven counters, ten histograms and four gauges, made of events."""
-    each = [metrics.gauge_observations(events.where(which), name, F.expr(value), **{k: F.expr(x) for k, x in labels.items()}) for name, (labels, value, which) in FULL.items()]
-    return reduce(DataFrame.unionByName, each)
+    """(metric, labels, value, ts) of all eleven counters, ten histograms and four gauges, made of events in one pass."""
+    each = [F.when(F.expr(which), metrics.observation(name, F.expr(value), **{k: F.expr(x) for k, x in labels.items()})) for name, (labels, value, which) in FULL.items()]
+    return events.select(F.inline(F.array_compact(F.array(*each))), "ts")
 
 
 def _labels_sql(labels: dict[str, str]) -> str:
@@ -83,6 +81,6 @@ _FULL_SQL = " UNION ALL ".join(f"SELECT '{name}' AS metric, {_labels_sql({k: lab
 _PLACE_SQL = "CASE " + " ".join(f"WHEN metric = '{name}' THEN " + " + ".join(f"(value > {x})::INT" for x in edges) for name, edges in rules.BUCKETS.items()) + " END"
 
 
-@query(f"WITH o AS ({_FULL_SQL}) SELECT metric, labels, {_PLACE_SQL} AS place, count(*) AS n, round(sum(value), 4) AS total, arg_max(value, (ts, value)) AS last FROM o GROUP BY 1, 2, 3")
+@query(f"WITH o AS ({_FULL_SQL}) SELECT metric, labels, coalesce({_PLACE_SQL}, -1)::INT AS place, count(*) AS n, round(sum(value), 6) AS total, arg_max(value, (ts, value)) AS last FROM o GROUP BY 1, 2, 3")
 def metrics_full(spark, folder):
-    return metrics.accumulated(full_observations(read(spark, folder, "events"))).select("metric", "labels", "place", "n", F.round("total", 4).alias("total"), "last")
+    return metrics.accumulated(full_observations(read(spark, folder, "events"))).select("metric", "labels", F.coalesce("place", F.lit(-1)).alias("place"), "n", F.round("total", 6).alias("total"), "last")
