@@ -211,7 +211,7 @@ def _meetings(visits: DataFrame, models: dict[int, Codes], angle: float) -> Data
     shared = visits.groupBy("cell", "d").agg(F.count("*").alias("n"), parts.alias("parts")).where("n > 1").drop("n")
     seats = visits.join(shared, ["cell", "d"]).withColumn("part", F.pmod(F.xxhash64("clump"), F.col("parts")).cast("int"))
     tables = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct(F.least("part", x).alias("i"), F.greatest("part", x).alias("j")))
-    seats = seats.select("cell", "d", "part", "clump", "word", "far", F.explode(tables).alias("at")).groupBy("cell", "d", "at").agg(F.collect_list(F.struct("part", "clump", "word", "far")).alias("who"))
+    seats = seats.select("cell", "d", "part", "clump", "word", "far", F.explode(tables).alias("at")).repartition("cell", "d", "at").groupBy("cell", "d", "at").agg(F.collect_list(F.struct("part", "clump", "word", "far")).alias("who"))
     limits = {d: codes.apart(angle + np.arange(0, 65) / 64 * angle) for d, codes in models.items()}
     free_limit = np.full(65, 65.0)
 
@@ -270,7 +270,7 @@ def _counted(some: DataFrame, members: DataFrame, cosine: float) -> DataFrame:
         return pa.table({"clump": [group.column("clump")[0].as_py()], "part": [group.column("part")[0].as_py()], "nums": [group.column("num").to_numpy().tobytes()], "weights": [group.column("weight").to_numpy().tobytes()], "us": [b"".join(group.column("u").to_pylist())]})
 
     blocks = rows.join(parts, "clump").select("clump", F.pmod(F.xxhash64("num"), F.col("parts")).alias("part"), "num", "weight", "u")
-    blocks = stored(blocks.groupBy("clump", "part").applyInArrow(pack, "clump long, part long, nums binary, weights binary, us binary"), "blocks")
+    blocks = stored(blocks.repartition("clump", "part").groupBy("clump", "part").applyInArrow(pack, "clump long, part long, nums binary, weights binary, us binary"), "blocks")
     one, two = (blocks.select(*(F.col(c).alias(f"{c}_{x}") for c in ("clump", "part", "nums", "weights", "us"))) for x in "ab")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
