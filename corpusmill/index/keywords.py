@@ -71,7 +71,8 @@ class KeywordIndex:
         step = F.when(F.col("of") <= RARE, 0).otherwise(F.least(F.lit(STEPS - 1), (weight(F.col("tf"), F.col("dl"), mean) / (rules.BM25_K1 + 1) * STEPS).cast("int")))
         placed = counted.join(sizes, "term").withColumns({"step": step, "part": F.pmod(F.xxhash64("id"), F.ceil(F.col("of") / BLOCK)).cast("int")})
         each = F.array_sort(F.collect_list(F.struct("id", "tf", "dl")))
-        blocks = placed.groupBy("term", "step", "part").agg(F.count("*").cast("int").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), each.alias("p"))
+        # dealt anew, else the join's partitions stay and a term that all documents hold gathers in one
+        blocks = placed.repartition("term", "step", "part").groupBy("term", "step", "part").agg(F.count("*").cast("int").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), each.alias("p"))
         self._put("postings", batch, blocks.select("term", "step", "part", "n", "max_tf", "min_dl", F.col("p.id").alias("ids"), F.col("p.tf").alias("tfs"), F.col("p.dl").alias("dls")))
 
         change = self._table("postings", batch + 1) if not batch else self._with_batch("postings", batch + 1).where(F.col("batch") == batch)

@@ -153,8 +153,9 @@ class VectorIndex:
                 yield pd.Series(np.argmax(np.stack(batch.to_numpy()) @ made.T, axis=1).astype(np.int32) if len(batch) else np.zeros(0, np.int32))
 
         placed = rows.withColumn("list", nearest("v"))
+        # what is sent to every executor here and in a search has a row for each list, LISTS at most; lists then aren't dealt whole
         parts = placed.groupBy("list").agg(F.ceil(F.count("*") / SHARD_ROWS).alias("parts"))
-        dealt = placed.join(parts, "list").withColumn("shard", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
+        dealt = placed.join(F.broadcast(parts), "list").withColumn("shard", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
 
         def pack(group: pa.Table) -> pa.Table:
             group = group.sort_by("id")
@@ -220,7 +221,7 @@ class VectorIndex:
         visits = asked.withColumn("list", F.explode(visited("q")))
         size = self._table("packed").groupBy("list").agg(F.count("*").alias("shards")) if able is None else able.groupBy("list").agg(F.count("*").alias("shards"))
         counts = visits.groupBy("list").agg(F.ceil(F.count("*") / TOGETHER).alias("parts"))
-        groups = visits.join(counts, "list").withColumn("part", F.pmod(F.xxhash64("q_id"), F.col("parts"))).join(size.select("list"), "list", "left_semi")
+        groups = visits.join(F.broadcast(counts), "list").withColumn("part", F.pmod(F.xxhash64("q_id"), F.col("parts"))).join(F.broadcast(size.select("list")), "list", "left_semi")
         groups = groups.groupBy("list", "part").agg(F.collect_list(F.struct("q_id", "q")).alias("who"))
         shards = self._table("shards")
         shards = shards.join(able, ["list", "shard"]) if able is not None else shards.withColumns({"able": F.lit(None).cast("binary")})
