@@ -8,7 +8,9 @@ from corpusmill.functions import rules
 from corpusmill.operators import access, answers, chunking, guardrails, metrics, retrieval, testcases
 from corpusmill.plans import ingest
 from corpusmill.plans.catalogue import ORACLES, QUERIES, SCANNED_SQL, _quoted, _said, query, read
+from corpusmill.index.folders import scratch
 from corpusmill.sources import loaders
+from corpusmill.sources.store import ChunkStore
 
 _NAMES = ["customer", "loan_officer", "underwriter", "compliance_officer", "admin", "guest"]
 
@@ -89,6 +91,16 @@ def ingest_dry_run(spark, folder):
     return ingest.ingest(_turns(spark, folder), None, ["document_category"], _paragraphs, dry_run=True)[0]
 
 
+@query(f"{_CHUNKED_SQL} SELECT count(*) AS documents, count(*) FILTER (len(chunks) = 0) AS empty, coalesce(sum(len(chunks)), 0)::BIGINT AS chunks, coalesce(sum(len(chunks)), 0)::BIGINT AS stored FROM ended")
+def ingest_stored(spark, folder):
+    """The storing run: chunks with vectors are put into a table, twice, and what the table holds of them is counted."""
+    schema = "doc_id long, document_category string, chunk_index int, content string, chunk_id string, vector array<float>"
+    store = ChunkStore(spark, scratch(spark, "chunks"), schema, partition="document_category", settings={"dimension": 64})
+    for _ in range(2):
+        found = ingest.ingest(_turns(spark, folder), store, ["document_category"], _paragraphs)[0]
+    return found
+
+
 @query(f"{_CHUNKED_SQL} SELECT 'c' || (conv_id % 5) AS document_category, sum(len(chunks))::BIGINT AS chunks, min(conv_id || '_chunk_0000') AS first_chunk FROM ended WHERE len(chunks) > 0 GROUP BY 1")
 def ingest_by_category(spark, folder):
     return ingest.ingest(_turns(spark, folder), None, ["document_category"], _paragraphs, dry_run=True)[1]

@@ -1,107 +1,93 @@
-"""A chunk table in Parquet, partitioned by access level: create, append, keyed upsert, delete, statistics."""
+"""A chunk table in plain Parquet, partitioned by access level: create, append, keyed upsert, delete, statistics."""
 
 from __future__ import annotations
 
 import json
-import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 class ChunkStore:
-    """Rows lie in root/data/<partition>=<value>/batch=<id>. A version is a small JSON file, root/versions/<number>.json, that names the
-    batches of each partition and the store's settings. A write adds batches and then creates the next version's file, which
-    only one of several writers can: readers see a whole version or the one before, and a writer that comes second gets an
-    error and may try again. A change of some rows rewrites the partitions that hold them and no others."""
-
-    def __init__(self, spark: SparkSession, root: str, schema: str, partition: str = "access_level", settings: dict | None = None) -> None:
-        self.spark, self.root, self.schema, self.partition = spark, root.rstrip("/"), schema, partition
+    """Rows lie in root/data, a folder for each value of the partition column; root/settings holds the settings as JSON. A change of
+    some rows writes the partitions that hold them anew, to root/next first and then over the old ones, by dynamic partition
+    overwrite: the others aren't touched. A row without a key stands in each partition so written, so that one that loses all its
+    rows is overwritten too; readers leave it out. One writer at a time; a change that failed half-way is made again by running
+    it again, as upserts and deletes give the same table twice."""
+
+    def __init__(self, spark: SparkSession, root: str, schema: str, partition: str = "access_level", settings: dict | None = None, key: str = "chunk_id") -> None:
+        self.spark, self.root, self.schema, self.partition, self.key = spark, root.rstrip("/"), schema, partition, key
         self.settings = settings or {}
-        hadoop = spark._jvm.org.apache.hadoop.fs
-        self._path = hadoop.Path
-        self._fs = hadoop.Path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _current(self) -> tuple[int, dict]:
-        """The newest version's number and content; 0 and nothing before the first write."""
-        folder = self._path(f"{self.root}/versions")
-        names = [x.getPath().getName() for x in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
-        last = max((int(x.removesuffix(".json")) for x in names if x.endswith(".json")), default=0)
-        if not last:
-            return 0, {"batches": {}, "settings": self.settings}
-        with_text = self.spark.read.text(f"{self.root}/versions/{last:012d}.json", wholetext=True)
-        return last, json.loads(with_text.first()[0])
-
-    def _commit(self, number: int, content: dict) -> None:
-        """Creates version number; an error if another writer has."""
-        out = self._fs.create(self._path(f"{self.root}/versions/{number:012d}.json"), False)
+
+    def _there(self, name: str) -> bool:
         try:
-            out.write(bytearray(json.dumps(content, sort_keys=True).encode()))
-        finally:
-            out.close()
-
-    def _add(self, rows: DataFrame) -> dict[str, str]:
-        """Writes rows as one batch; the partitions that it has, by their folders' names."""
-        batch = uuid.uuid4().hex
-        rows.withColumn("batch", F.lit(batch)).write.mode("append").partitionBy(self.partition, "batch").parquet(f"{self.root}/data")
-        top = self._path(f"{self.root}/data")
-        names = [x.getPath().getName() for x in self._fs.listStatus(top)] if self._fs.exists(top) else []
-        return {x: batch for x in names if x.startswith(f"{self.partition}=") and self._fs.exists(self._path(f"{self.root}/data/{x}/batch={batch}"))}
-
-    def _rows(self, batches: dict[str, list[str]]) -> DataFrame:
-        paths = [f"{self.root}/data/{x}/batch={b}" for x, held in sorted(batches.items()) for b in held]
-        names = [x.name for x in self.spark.createDataFrame([], self.schema).schema]
-        if not paths:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).option("basePath", f"{self.root}/data").parquet(*paths).select(*names)
+            return bool(self.spark.read.text(f"{self.root}/{name}").columns)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return False
 
     def _sound(self, rows: DataFrame) -> None:
         size = self.settings.get("dimension")
         if size and "vector" in rows.columns and rows.where(F.col("vector").isNotNull() & (F.size("vector") != size)).limit(1).count():
             raise ValueError(f"vectors must have {size} components")
+        if rows.where(F.col(self.key).isNull()).limit(1).count():
+            raise ValueError("a row without a key")
 
     def create(self) -> bool:
-        """Makes the first, empty version with the settings, if there is none; whether it did."""
-        number, content = self._current()
-        if not number:
-            self._commit(1, content)
-        return not number
+        """Writes the settings, if there are none yet; whether it did."""
+        if self._there("settings"):
+            return False
+        self.spark.createDataFrame([(json.dumps(self.settings, sort_keys=True),)], "value string").coalesce(1).write.text(f"{self.root}/settings")
+        return True
+
+    def _all(self) -> DataFrame:
+        if not self._there("data"):
+            return self.spark.createDataFrame([], self.schema)
+        names = [x.name for x in self.spark.createDataFrame([], self.schema).schema]
+        return self.spark.read.schema(self.schema).parquet(f"{self.root}/data").select(*names)
 
     def read(self) -> DataFrame:
-        return self._rows(self._current()[1]["batches"])
+        return self._all().where(F.col(self.key).isNotNull())
 
     def append(self, rows: DataFrame) -> None:
         """Adds rows, whatever keys are there already."""
         self._sound(rows)
-        number, content = self._current()
-        for x, batch in self._add(rows).items():
-            content["batches"].setdefault(x, []).append(batch)
-        self._commit(number + 1, content)
-
-    def _replace(self, number: int, content: dict, gone: DataFrame, keep, more: DataFrame | None) -> None:
-        """Rewrites the partitions that rows of gone are in (few: they are access levels) with what keep leaves of them, and adds more."""
-        name = F.coalesce(F.col(self.partition).cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__"))
-        touched = {f"{self.partition}={r[0]}" for r in gone.select(name).distinct().collect()}
-        old = {x: b for x, b in content["batches"].items() if x in touched}
-        rest = {x: b for x, b in content["batches"].items() if x not in touched}
-        rows = keep(self._rows(old))
-        for x, batch in self._add(rows if more is None else rows.unionByName(more)).items():
-            rest.setdefault(x, []).append(batch)
-        self._commit(number + 1, {**content, "batches": rest})
-
-    def upsert(self, rows: DataFrame, key: str = "chunk_id") -> None:
+        self.create()
+        rows.write.mode("append").partitionBy(self.partition).parquet(f"{self.root}/data")
+
+    def _replace(self, touched: list, rows: DataFrame) -> None:
+        """Puts rows in place of all that the touched partitions hold."""
+        self.create()
+        rows.write.mode("overwrite").parquet(f"{self.root}/next")
+        names = rows.columns
+        marks = self.spark.createDataFrame([tuple(x if c == self.partition else None for c in names) for x in touched], rows.schema)
+        staged = self.spark.read.schema(rows.schema).parquet(f"{self.root}/next").union(marks)
+        staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(self.partition).parquet(f"{self.root}/data")
+
+    def _partitions(self, rows: DataFrame) -> list:
+        """The partitions of rows: access levels, so few."""
+        return [r[0] for r in rows.select(self.partition).distinct().collect()]
+
+    def _within(self, touched: list) -> Column:
+        return reduce(lambda a, b: a | b, (F.col(self.partition).eqNullSafe(F.lit(x)) for x in touched), F.lit(False))
+
+    def upsert(self, rows: DataFrame) -> None:
         """Rows replace those with their key; of several rows with one key the greatest, by all columns, stays."""
         self._sound(rows)
-        number, content = self._current()
-        others = [c for c in rows.columns if c != key]
-        one = rows.groupBy(key).agg(F.max(F.struct(*others)).alias("m")).select(key, *(f"m.{c}" for c in others)).select(*rows.columns)
-        gone = self._rows(content["batches"]).join(one.select(key), key, "left_semi")
-        self._replace(number, content, gone, lambda old: old.join(one.select(key), key, "left_anti"), one)
+        others = [c for c in rows.columns if c != self.key]
+        one = rows.groupBy(self.key).agg(F.max(F.struct(*others)).alias("m")).select(self.key, *(f"m.{c}" for c in others)).select(*rows.columns)
+        touched = self._partitions(self.read().join(one.select(self.key), self.key, "left_semi").select(self.partition).union(one.select(self.partition)))
+        rest = self.read().where(self._within(touched)).join(one.select(self.key), self.key, "left_anti")
+        self._replace(touched, rest.select(*rows.columns).unionByName(one))
 
     def delete(self, doc_id, column: str = "doc_id") -> None:
-        number, content = self._current()
         hit = F.col(column).eqNullSafe(F.lit(doc_id))
-        self._replace(number, content, self._rows(content["batches"]).where(hit), lambda old: old.where(~hit), None)
+        touched = self._partitions(self.read().where(hit))
+        if touched:
+            self._replace(touched, self.read().where(self._within(touched) & ~hit))
 
     def find(self, value, column: str = "doc_id") -> DataFrame:
         """The rows of one document; none where it isn't there."""
@@ -113,4 +99,4 @@ class ChunkStore:
         return rows.agg(F.count("*").alias("chunks"), F.count_distinct("doc_id").alias("documents"), size.alias("dimension"))
 
     def healthy(self) -> bool:
-        return self._current()[0] > 0
+        return self._there("settings")

@@ -160,12 +160,15 @@ def test_chunk_store(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "store/data/access_level=internal").iterdir()) == internal  # not touched, not rewritten
     store.upsert(rows(("b", 2, "moved", "public")))
     assert {(r["chunk_id"], r["access_level"]) for r in store.find(2).collect()} == {("b", "public"), ("c", "public")}
-    before = store.read()
+    assert store.read().where("access_level = 'internal'").count() == 0  # a partition that lost all its rows
     store.delete(2)
-    assert tuple(store.stats().first())[:2] == (2, 2) and store.find(2).count() == 0 and before.count() == 4  # an older version can still be read
-    number, content = store._current()
-    with pytest.raises(Exception, match="exist"):
-        store._commit(number, content)  # another writer was first
+    store.delete(99)
+    assert tuple(store.stats().first())[:2] == (2, 2) and store.find(2).count() == 0
+    for _ in range(2):  # a change that is made again changes nothing
+        store.upsert(rows(("n", 7, "no level", None), ("a", 1, "last", "public")))
+        assert {(r["chunk_id"], r["content"], r["access_level"]) for r in store.read().collect()} == {("a", "last", "public"), ("d", "w", "public"), ("n", "no level", None)}
+    with pytest.raises(ValueError, match="without a key"):
+        store.append(rows((None, 1, "x", "public")))
     sized = ChunkStore(spark, f"file://{tmp_path}/sized", "chunk_id string, doc_id long, vector array<float>, access_level string", settings={"dimension": 2})
     with pytest.raises(ValueError, match="2 components"):
         sized.append(spark.createDataFrame([("a", 1, [1.0], "public")], sized.schema))

@@ -135,6 +135,33 @@ def test_ingest_run(spark, tmp_path):
         assert tuple(found.first()) == (3, 1, n[1] + n[2], n[1] + n[2]) and rate > 0 and store.read().count() == n[1] + n[2]
 
 
+def test_ingest_stream_takes_each_file_once(spark, tmp_path):
+    text = "Loans need documents. " * 40
+    folder, out = tmp_path / "in", f"file://{tmp_path}/out"
+    folder.mkdir()
+    (folder / "a.txt").write_text(text)
+    (folder / "b.mp4").write_bytes(b"x")
+    (folder / "c.docx").write_bytes(b"no zip")
+    n = len([x for x in chunking.split_recursive(text) if len(x) >= 50])
+    run = lambda state: ingest.ingest_stream(spark, str(folder), out, f"{tmp_path}/{state}").awaitTermination()
+    run("state")
+    assert tuple(ingest.taken_in(spark, out).first()) == (1, 1, 1, n, 1)
+    run("state")  # nothing new
+    assert tuple(ingest.taken_in(spark, out).first()) == (1, 1, 1, n, 1)
+    (folder / "d.txt").write_text(text + "And more of them, this time.")
+    run("state")
+    first = ingest.taken_in(spark, out).first()
+    assert tuple(first)[:3] == (2, 1, 1) and first["stored"] > n and first["documents"] == 2
+    offsets = sorted((tmp_path / "state/commits").glob("[0-9]*"))
+    offsets[-1].unlink()  # as if the last batch had been written, but not known to be
+    for x in (tmp_path / "state/commits").glob(f".{offsets[-1].name}.crc"):
+        x.unlink()
+    run("state")
+    assert tuple(ingest.taken_in(spark, out).first()) == tuple(first)
+    held = spark.read.parquet(f"{out}/chunks")
+    assert held.count() == held.select("doc_id", "chunk_index").distinct().count() and held.where("size(vector) = 64").count() == held.count()
+
+
 def test_models_are_asked_again_and_in_batches():
     asked = []
 
