@@ -289,15 +289,15 @@ def hashed_terms(dimension: int = 64):
     """Offline stand-in of an embedding model: counts of terms by hash, scaled to length 1."""
 
     def load():
+        import hashlib
         import math
-        import zlib
 
         def run(texts: list[str]) -> list[list[float]]:
             out = []
             for text in texts:
                 x = [0.0] * dimension
                 for word in text.lower().split():
-                    x[zlib.crc32(word.encode()) % dimension] += 1.0
+                    x[int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dimension] += 1.0
                 size = math.sqrt(sum(v * v for v in x)) or 1.0
                 out.append([v / size for v in x])
             return out

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import rules
 from corpusmill.operators import access, answers, chunking, guardrails, metrics, retrieval, testcases
 from corpusmill.plans import ingest
-from corpusmill.plans.catalogue import ORACLES, QUERIES, SCANNED_SQL, _quoted, _said, query, read
+from corpusmill.plans.catalogue import DENSE_SQL, FUSED_SQL, ORACLES, QUERIES, SCANNED_SQL, SPARSE_SQL, _lists, _questions, _quoted, _said, _words, query, read
 from corpusmill.index.folders import scratch
 from corpusmill.sources import loaders
 from corpusmill.sources.store import ChunkStore
@@ -111,15 +111,20 @@ def document_list(spark, folder):
     return chunking.listed(chunking.payload(_paragraphs(_turns(spark, folder), ["document_category"])))
 
 
-@query("""
-    WITH k AS (SELECT doc_id, md5('hashed:' || text) AS key, text FROM documents), known AS (SELECT DISTINCT key FROM k WHERE doc_id % 3 = 0)
-    SELECT doc_id, key IN (SELECT key FROM known) AS cached, CASE WHEN key IN (SELECT key FROM known) THEN 0 ELSE ceil(length(text) / 4.0) END::INT AS tokens, 64 AS dimension FROM k
+@query(f"""
+    WITH k AS (SELECT doc_id, md5('hashed:' || text) AS key, text FROM documents), known AS (SELECT DISTINCT key FROM k WHERE doc_id % 3 = 0),
+    n AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 64 AS place, count(*) AS n FROM (SELECT doc_id, unnest({_words('lower(text)')}) AS w FROM k) GROUP BY ALL),
+    long AS (SELECT doc_id, sqrt(sum(n * n)) AS size FROM n GROUP BY doc_id),
+    said AS (SELECT doc_id, place, coalesce(n / size, 0)::FLOAT AS x FROM (SELECT doc_id, unnest(range(64)) AS place FROM k) LEFT JOIN n USING (doc_id, place) LEFT JOIN long USING (doc_id))
+    SELECT doc_id, key IN (SELECT key FROM known) AS cached, CASE WHEN key IN (SELECT key FROM known) THEN 0 ELSE ceil(length(text) / 4.0) END::INT AS tokens, vector FROM k
+    JOIN (SELECT doc_id, string_agg(printf('%.5f', x::DOUBLE), ',' ORDER BY place) AS vector FROM said GROUP BY doc_id) USING (doc_id)
 """)
 def embed_cached(spark, folder):
     docs = read(spark, folder, "documents").select("doc_id", "text")
     model = retrieval.hashed_terms(64)
     cached = docs.where("doc_id % 3 = 0").select(retrieval.cache_key("hashed", F.col("text")).alias("key"), retrieval.embedder(model, 64)("text").alias("vector"))
-    return retrieval.embedded(docs, cached, "hashed", model, 64).select("doc_id", "cached", "tokens", F.size("vector").alias("dimension"))
+    vector = F.array_join(F.transform("vector", lambda x: F.format_string("%.5f", x.cast("double"))), ",")
+    return retrieval.embedded(docs, cached, "hashed", model, 64).select("doc_id", "cached", "tokens", vector.alias("vector"))
 
 
 @query("SELECT doc_id, text <> '' AND md5('hashed:' || text) IN (SELECT md5('hashed:' || text) FROM documents WHERE doc_id % 3 = 0) AS hit FROM documents WHERE md5('hashed:' || text) IN (SELECT md5('hashed:' || text) FROM documents WHERE doc_id % 3 = 0)")
@@ -305,3 +310,36 @@ def audit_stamped(spark, folder):
     return metrics.stamped(rows, "2024-01-01T00:00:00+00:00", ["source_id", "user_id"]).select("source_id", "event_id", "ts")
 
 
+# ---- spans, least scores, failing models
+
+
+@query("""
+    WITH s AS (SELECT event_id, user_id, event_type, epoch_us(ts) // 1000000 AS start, epoch_us(ts) // 1000000 + floor(value)::BIGINT * 60 AS "end" FROM events)
+    SELECT event_id, start, "end" FROM s WHERE event_type IN ('view', 'click') AND NOT EXISTS (SELECT 1 FROM s f WHERE f.event_type = 'error' AND f.user_id = s.user_id AND f.start < s."end" AND s.start < f."end")
+""")
+def spans_kept(spark, folder):
+    """Views and clicks that last some minutes, but for those that meet an error of their user's."""
+    start = F.expr("unix_micros(cast(ts AS timestamp)) DIV 1000000")
+    rows = read(spark, folder, "events").select("event_id", "user_id", "event_type", start.alias("start"), (start + F.floor("value") * 60).alias("end"))
+    kept = guardrails.without_overlaps(rows.where(F.col("event_type").isin("view", "click")), rows.where("event_type = 'error'"), "user_id")
+    return kept.select("event_id", "start", "end")
+
+
+@query(f"WITH {DENSE_SQL}, {SPARSE_SQL}, {FUSED_SQL}, cut AS (SELECT query_id, doc_id, rrf, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, dense_rank NULLS LAST, doc_id)::INT AS rank FROM fused) SELECT * FROM cut WHERE rank <= 10 AND rrf >= 0.0102")
+def hybrid_least(spark, folder):
+    """Fused lists, ids of one list included, with a least fused score after the cut."""
+    return retrieval.hybrid(*_lists(spark, folder), 10, "doc_id", least=0.0102, keep_sparse_only=True).select("query_id", "doc_id", "rrf", "rank")
+
+
+@query(f"""
+    WITH {SPARSE_SQL},
+    scored AS (SELECT query_id, doc_id, rank, CASE WHEN query_id % 3 <> 0 AND doc_id % 4 <> 0 THEN round(1.0 / (1 + doc_id % 7), 6) END AS s FROM sparse WHERE rank <= 20),
+    cut AS (SELECT query_id, doc_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY s DESC NULLS LAST, rank, doc_id)::INT AS rerank_rank FROM scored)
+    SELECT * FROM cut WHERE rerank_rank <= 5
+""")
+def rerank_failed(spark, folder):
+    """A reranker that fails on every third query and every fourth document: these keep their first order behind the others."""
+    found = retrieval.bm25(read(spark, folder, "documents"), _questions(spark, folder), 20)
+    score = F.when((F.col("query_id") % 3 != 0) & (F.col("doc_id") % 4 != 0), F.round(1.0 / (1 + F.col("doc_id") % 7), 6))
+    rows = found.withColumns({"question": F.lit(""), "content": F.lit("")})
+    return retrieval.rerank(rows, 5, "doc_id", score=score).select("query_id", "doc_id", "rank", "rerank_rank")

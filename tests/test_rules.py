@@ -1,6 +1,7 @@
 """Guardrails, chunking, loading, parsing and limits against hand-checked values and plain versions."""
 
 import hashlib
+import random
 import hmac
 import io
 import zipfile
@@ -71,6 +72,15 @@ def test_overlapping_spans_are_left_out(spark):
     b = spark.createDataFrame([(1, 4, 6), (2, 3, 4)], "t int, start int, end int")
     assert sorted(map(tuple, guardrails.without_overlaps(a, b, "t").collect())) == [(2, 0, 3)]
     assert guardrails.without_overlaps(a, b.where("t = 9"), "t").count() == 3
+    rng = random.Random(4)
+    some = lambda n: [(rng.choice([1, 2, None]), x, x + rng.choice([0, 1, 30, 3000]), k) for k in range(n) for x in [rng.randrange(20_000)]]
+    spans, fixed = some(400), some(60)
+    want = sorted(s[3] for s in spans if s[0] is None or not any(f[0] == s[0] and f[1] < s[2] and s[1] < f[2] for f in fixed))
+    frame = lambda rows: spark.createDataFrame(rows, "t long, start int, end int, here int")
+    for width in (100, 1 << 16):
+        assert sorted(r["here"] for r in guardrails.without_overlaps(frame(spans), frame(fixed), "t", width).collect()) == want
+    one = spark.range(100_000).selectExpr("7L AS t", "cast(id * 3 AS int) AS start", "cast(id * 3 + 1 AS int) AS end")  # many spans of one text
+    assert guardrails.without_overlaps(one, one.selectExpr("t", "start + 2 AS start", "end + 2 AS end").where("start % 2 = 0"), "t").count() == 100_000
 
 
 @pytest.mark.parametrize("text,name,want", [("Current interest rate and APR", "rates.pdf", "rate_sheet"), ("RESPA and TILA compliance", "policy.pdf", "compliance_policy"), ("credit score and DTI for underwriting", "g.pdf", "underwriting_guideline"), ("nothing", "x", "general")])
