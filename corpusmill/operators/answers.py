@@ -215,9 +215,16 @@ def report(metric: dict[str, Column]) -> Column:
     return F.concat_ws("\n", *lines, F.when(passes_bar(metric), "PASS").otherwise("FAIL"))
 
 
-def eval_samples(spark, n: int | None = None) -> DataFrame:
-    """The built-in evaluation set, or its first n by id."""
-    rows = spark.createDataFrame(rules.EVAL_SAMPLES, "sample_id string, question string, regulatory_citations array<string>, category string, relevant_doc_ids array<string>")
+SAMPLE = "sample_id string, question string, regulatory_citations array<string>, category string, relevant_doc_ids array<string>, ground_truth_answer string, expected_loan_type string"
+
+
+def eval_samples(spark, n: int | None = None, rows: DataFrame | None = None) -> DataFrame:
+    """An evaluation set, or its first n by id: rows (sample_id, question and any of SAMPLE's other columns, null where they lack), or the
+    built-in samples."""
+    if rows is None:
+        rows = spark.createDataFrame(rules.EVAL_SAMPLES, "sample_id string, question string, regulatory_citations array<string>, category string, relevant_doc_ids array<string>")
+    kinds = (x.split(" ") for x in SAMPLE.split(", "))
+    rows = rows.select(*((F.col(c) if c in rows.columns else F.lit(None)).cast(kind).alias(c) for c, kind in kinds))
     return rows if n is None else rows.orderBy("sample_id").limit(n)
 
 

@@ -215,9 +215,19 @@ def export_outcomes(spark, folder):
 # ---- evaluation
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', {len(c)}, '{d}')" for a, b, c, d, _ in rules.EVAL_SAMPLES[:3]) + ") s(sample_id, question, citations, category)")
+@query(r"""
+    WITH s AS (
+        SELECT 'eval_' || item_id AS sample_id, left(text, 60) AS question, regexp_extract_all(text, '[A-Z][a-z]+') AS cited, ['eligibility', 'process', 'rates'][item_id % 3 + 1] AS category, text AS truth, CASE WHEN item_id % 2 = 0 THEN 'fha' ELSE '' END AS loan FROM benchmark)
+    SELECT sample_id, question, len(cited)::INT AS citations, category, md5(truth) AS truth_md5, loan AS loan_type FROM s ORDER BY sample_id LIMIT 100
+""")
 def eval_first_samples(spark, folder):
-    return answers.eval_samples(spark, 3).select("sample_id", "question", F.size("regulatory_citations").alias("citations"), "category")
+    """Benchmark items as an evaluation set with its ground truth, of which a run takes the first hundred by id."""
+    c = F.col
+    rows = read(spark, folder, "benchmark").select(
+        F.concat(F.lit("eval_"), c("item_id").cast("string")).alias("sample_id"), F.left("text", F.lit(60)).alias("question"), F.regexp_extract_all("text", F.lit("[A-Z][a-z]+"), F.lit(0)).alias("regulatory_citations"),
+        _pick(["eligibility", "process", "rates"], c("item_id")).alias("category"), c("text").alias("ground_truth_answer"), F.when(c("item_id") % 2 == 0, "fha").otherwise("").alias("expected_loan_type"))
+    found = answers.eval_samples(spark, 100, rows)
+    return found.select("sample_id", "question", F.size("regulatory_citations").alias("citations"), "category", F.md5("ground_truth_answer").alias("truth_md5"), F.col("expected_loan_type").alias("loan_type"))
 
 
 @query("""
