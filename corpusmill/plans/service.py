@@ -8,6 +8,7 @@ from corpusmill.functions import rules
 from corpusmill.operators import access, answers, chunking, guardrails, metrics, retrieval, testcases
 from corpusmill.plans import ingest
 from corpusmill.plans.catalogue import DENSE_SQL, FUSED_SQL, ORACLES, QUERIES, SCANNED_SQL, SPARSE_SQL, _lists, _questions, _quoted, _said, _words, query, read
+from corpusmill.index.embeddings import EmbeddingCache
 from corpusmill.index.folders import scratch
 from corpusmill.sources import loaders
 from corpusmill.sources.store import ChunkStore
@@ -127,6 +128,26 @@ def embed_cached(spark, folder):
     return retrieval.embedded(docs, cached, "hashed", model, 64).select("doc_id", "cached", "tokens", vector.alias("vector"))
 
 
+@query(f"""
+    WITH k AS (SELECT doc_id, md5('hashed:' || text) AS key, text FROM documents), known AS (SELECT DISTINCT key FROM k WHERE doc_id % 3 <> 0),
+    n AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 64 AS place, count(*) AS n FROM (SELECT doc_id, unnest({_words('lower(text)')}) AS w FROM k) GROUP BY ALL),
+    long AS (SELECT doc_id, sqrt(sum(n * n)) AS size FROM n GROUP BY doc_id),
+    said AS (SELECT doc_id, place, coalesce(n / size, 0)::FLOAT AS x FROM (SELECT doc_id, unnest(range(64)) AS place FROM k) LEFT JOIN n USING (doc_id, place) LEFT JOIN long USING (doc_id))
+    SELECT doc_id, key IN (SELECT key FROM known) AS known, vector FROM k
+    JOIN (SELECT doc_id, string_agg(printf('%.5f', x::DOUBLE), ',' ORDER BY place) AS vector FROM said GROUP BY doc_id) USING (doc_id)
+""")
+def embed_lasting(spark, folder):
+    """Two thirds of the documents fill a cache, all are embedded through it, it is compacted and asked again."""
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    cache = EmbeddingCache(spark, scratch(spark, "cache"), "hashed", retrieval.hashed_terms(64), 64)
+    cache.fill(docs.where("doc_id % 3 <> 0"))
+    known = docs.where("doc_id % 3 <> 0").select(retrieval.cache_key("hashed", F.col("text")).alias("key"), F.lit(True).alias("known")).distinct()
+    cache.embedded(docs)
+    cache.compact()
+    vector = F.array_join(F.transform("vector", lambda x: F.format_string("%.5f", x.cast("double"))), ",")
+    return cache.embedded(docs).join(known, "key", "left").select("doc_id", F.coalesce("known", F.lit(False)).alias("known"), vector.alias("vector"))
+
+
 @query("SELECT doc_id, text <> '' AND md5('hashed:' || text) IN (SELECT md5('hashed:' || text) FROM documents WHERE doc_id % 3 = 0) AS hit FROM documents WHERE md5('hashed:' || text) IN (SELECT md5('hashed:' || text) FROM documents WHERE doc_id % 3 = 0)")
 def embed_cache_hits(spark, folder):
     docs = read(spark, folder, "documents").select("doc_id", "text")

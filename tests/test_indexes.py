@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.index import keywords, vectors
+from corpusmill.index.embeddings import EmbeddingCache
 from corpusmill.index.keywords import KeywordIndex
 from corpusmill.index.vectors import VectorIndex
 
@@ -145,3 +146,35 @@ def test_keywords_match_a_scan_before_and_after_updates(spark, tmp_path, monkeyp
     assert Counter(map(tuple, again.search(asks, 5).collect())) == Counter(map(tuple, made.search(asks, 5).collect()))
     with pytest.raises(ValueError):
         KeywordIndex(spark, str(tmp_path / "none")).search(asks, 5)
+
+
+def test_lasting_cache_embeds_each_text_once(spark, tmp_path):
+    asked = tmp_path / "asked"
+
+    def load():
+        def run(texts):
+            with open(asked, "a") as out:
+                out.writelines(f"{t}\n" for t in texts)
+            return [[float(len(t)), 1.0] for t in texts]
+
+        return run
+
+    docs = spark.createDataFrame([(k, f"text {k % 30}") for k in range(90)] + [(100, None), (101, "")], "doc_id long, text string").repartition(4)
+    cache = EmbeddingCache(spark, f"file://{tmp_path}/cache", "m", load, 2, buckets=4)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        for _ in range(2):
+            rows = cache.embedded(docs).collect()
+            assert len(rows) == 92 and all(r["vector"] == (None if r["text"] is None else [len(r["text"]), 1.0]) for r in rows)
+            assert sorted(asked.read_text().splitlines()) == sorted(["", *{f"text {k}" for k in range(30)}])  # the second run asks for nothing
+        plan = cache.embedded(docs)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan  # the texts'; the cache's side is read as it lies
+        spark.createDataFrame([(x["key"], [9e9, 1.0]) for x in cache.read().limit(3).collect()], "key string, vector array<float>").write.insertInto(cache.table)  # another run's
+        assert cache.read().count() == 31
+        cache.compact()
+        assert spark.table(cache.table).count() == 31 == cache.read().count()
+        again = EmbeddingCache(spark, f"file://{tmp_path}/cache", "m", load, 2, buckets=4)
+        assert again.missing(docs).count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
