@@ -193,12 +193,17 @@ def load(found: DataFrame, access_level: str = "internal", allowed: list[str] =
             yield pd.DataFrame(rows, columns=["content", "page_count", "error"])
 
     rows = found.withColumns({"refused": refusal(F.col("path"), F.col("length"), allowed, most), "file_type": extension(F.col("path"))})
-    rows = rows.withColumn("made", read("file_type", F.when(F.col("refused").isNull(), F.col("content"))))
+    rows = rows.withColumns({"made": read("file_type", F.when(F.col("refused").isNull(), F.col("content"))), "hash": F.sha2("content", 256)})
+    return documents_of(rows, access_level, category)
+
+
+def documents_of(rows: DataFrame, access_level: str, category: str | None) -> DataFrame:
+    """Documents of read files: path, length, refused, made (content, page_count, error) and hash."""
     rows = rows.withColumn("error", F.coalesce("refused", "made.error"))
     status = F.when(F.col("refused") == "unsupported file type", "skipped").when(F.col("error").isNotNull(), "failed").otherwise("loaded")
     rows = rows.select(
-        F.concat(F.lit("doc_"), F.left(F.sha2("content", 256), F.lit(16))).alias("doc_id"), F.col("made.content").alias("content"), F.col("made.page_count").alias("page_count"), basename(F.col("path")).alias("source_file"),
-        "file_type", F.col("length").alias("file_size_bytes"), F.sha2("content", 256).alias("sha256_hash"), F.lit(access_level).alias("access_level"), F.lit("1.0").alias("version"), status.alias("status"), "error",
+        F.concat(F.lit("doc_"), F.left("hash", F.lit(16))).alias("doc_id"), F.col("made.content").alias("content"), F.col("made.page_count").alias("page_count"), basename(F.col("path")).alias("source_file"),
+        extension(F.col("path")).alias("file_type"), F.col("length").alias("file_size_bytes"), F.col("hash").alias("sha256_hash"), F.lit(access_level).alias("access_level"), F.lit("1.0").alias("version"), status.alias("status"), "error",
     )
     return classified(rows, override=category)
 

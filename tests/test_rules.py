@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions.text import hmac_sha256, strip, words
 from corpusmill.operators import answers, chunking, classify, guardrails, metrics, testcases
 from corpusmill.sources import loaders
+from corpusmill.sources import format as files_format
 from corpusmill.sources.store import ChunkStore
 from corpusmill.streaming import limits
 
@@ -215,3 +216,31 @@ def test_audit_stream(spark, tmp_path):
     spark.createDataFrame([(1, "2024", "u", "LOGOUT")], "event_id long, ts string, user_id string, event_type string").write.parquet(f"{tmp_path}/in")
     limits.audit_sink(spark.readStream.schema("event_id long, ts string, user_id string, event_type string").parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/c", b"k").awaitTermination(120)
     assert spark.read.json(f"{tmp_path}/out").first()["hmac_signature"]
+
+
+def test_files_as_a_format(spark, tmp_path):
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "a.txt").write_text("RESPA COMPLIANCE\n\nText.")
+    (tmp_path / "deep/b.csv").write_text("a,b\n1,2\n")
+    (tmp_path / "blank.txt").write_text("  \n")
+    (tmp_path / "broken.docx").write_bytes(b"no zip")
+    (tmp_path / "clip.mp4").write_bytes(b"\0")
+    (tmp_path / "large.txt").write_text("x" * 500)
+    for x in ("clip.mp4", "large.txt"):
+        (tmp_path / x).chmod(0)
+    through = files_format.load(spark, str(tmp_path), most="400")
+    got = {r["source_file"]: r.asDict() for r in through.collect()}
+    for x in ("clip.mp4", "large.txt"):
+        (tmp_path / x).chmod(0o600)
+    want = {r["source_file"]: r.asDict() for r in loaders.load(loaders.files(spark, str(tmp_path)), most=400).collect()}
+    assert got.keys() == want.keys() and len(got) == 6
+    for name, row in want.items():
+        if row["error"] in ("unsupported file type", "too large"):
+            row |= {"doc_id": None, "sha256_hash": None}
+        assert got[name] == row, name
+    rows = spark.read.format("documents").load(str(tmp_path))
+    assert {r["path"].rpartition("/")[2] for r in rows.where("length < 10 AND path LIKE '%.csv'").collect()} == {"b.csv"}
+    reader = files_format.DocumentReader({"path": str(tmp_path)})
+    left = list(reader.pushFilters([files_format.LessThan(("length",), 10), files_format.StringEndsWith(("path",), ".csv"), files_format.EqualTo(("text",), "x")]))
+    assert len(left) == 1 and [x[0].rpartition("/")[2] for p in reader.partitions() for x in p.files] == ["b.csv"]
+    assert files_format.load(spark, str(tmp_path / "deep")).where("status = 'skipped'").count() == 0
