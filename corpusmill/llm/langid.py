@@ -125,8 +125,8 @@ def predict(text: Column, names: list[str], model: np.ndarray, penalty: float =
 def identify(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", penalty: float = PENALTY, into: str = "__lang") -> DataFrame:
     """docs with a column `into`: struct(lang_pred, score, mixture), which replaces one of that name; all others stay. Learns from
     rows that aren't held out (a null held_out holds out); id, lang and other columns never enter a prediction. Repeated rows
-    get equal predictions; without labelled rows, and for null or letterless texts, und with score 0; over LANGUAGES learned languages are an error; an empty table gives an
-    empty result. Whole texts are read, one at a time."""
+    get equal predictions; without labelled rows, and for null or letterless texts, und with score 0; over LANGUAGES learned
+    languages are an error; an empty table gives an empty result. Whole texts are read, one at a time."""
     long_texts(docs.sparkSession)
     names, model = fit(docs.where(~held_out), text_col, lang_col, id_col)
     return docs.withColumn(into, predict(F.col(text_col), names, model, penalty))

@@ -134,7 +134,8 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: s
     labels: (id_col, label string), a domain each; domains are the targets' keys, other and null labels teach nothing. A
     classifier fitted on a bounded sample of labelled rows gives each document's posterior; a document counts towards every
     domain by it. Without labels all posteriors are equal. Where no nonnegative rates reach the targets, the nearest totals
-    are taken and a warning names the shares reached. Null and empty texts have no tokens; repeated rows have equal rates; an
+    are taken (nearest by the inverse Gram matrix that steps are scaled by, not by plain squares) and a warning names the shares
+    reached. Null and empty texts have no tokens; repeated rows have equal rates; an
     empty table gives an empty result.
     """
     long_texts(docs.sparkSession)

@@ -85,7 +85,7 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op13_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = itq.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
-    return found.select("vec_id", "n_links", F.col("component").alias("component_id"), F.coalesce(F.col("vec_id") == F.col("component"), F.lit(True)).alias("kept"))
+    return found.select("vec_id", "n_links", F.col("component").alias("component_id"), F.col("vec_id").eqNullSafe(F.col("component")).alias("kept"))
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_topk, op4_substrings, op5_fingerprints, op6_warc, op7_urls, op8_packing, op9_languages, op10_simhash, op11_fim, op12_divergence, op13_embeddings)}
@@ -177,7 +177,7 @@ ORACLES: dict[str, str] = {
         reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
         least AS (SELECT a, min(vec_id) AS component FROM reach JOIN r ON r.r = reach.b GROUP BY ALL),
         degree AS (SELECT a, count(*) AS n FROM links GROUP BY ALL)
-        SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, component) AS component_id, coalesce(vec_id <= component, true) AS kept
+        SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, component) AS component_id, vec_id IS NOT DISTINCT FROM least(vec_id, component) AS kept
         FROM r LEFT JOIN least ON least.a = r.r LEFT JOIN degree ON degree.a = r.r
     """,
 }
