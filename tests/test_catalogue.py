@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from corpusmill.plans import service  # noqa: F401  adds its queries
+from corpusmill.plans import indexes, monitoring, service  # noqa: F401  these add their queries
 from corpusmill.plans.catalogue import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"

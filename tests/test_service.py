@@ -254,9 +254,9 @@ def test_tag_filter_and_least_rank_score(spark):
 
 
 def test_generated_cases_and_rule_tables(spark):
-    rows = spark.createDataFrame([(["a requirement"], ["edge", "uat"])], "chunks array<string>, test_types array<string>")
+    rows = spark.createDataFrame([(["a requirement"], ["performance", "uat"])], "chunks array<string>, test_types array<string>")
     got = testcases.generated(rows, lambda p: F.lit('[{"title": "T"}]')).first()
-    assert got["cases"][0]["title"] == "T" and "a requirement" in got["prompt"] and '"edge"' in got["prompt"] and got["coverage_gaps"] == []
+    assert got["cases"][0]["title"] == "T" and "a requirement" in got["prompt"] and '"performance"' in got["prompt"] and got["coverage_gaps"] == []
     own = [("kind", "high", "R", [r"\bforbidden\b"])]
     found = spark.createDataFrame([("a Forbidden word",)], "t string").select(guardrails.violations(F.col("t"), own).alias("v")).first()["v"]
     assert [(v["violation_type"], v["matched_text"]) for v in found] == [("kind", "Forbidden")]
