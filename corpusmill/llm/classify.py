@@ -121,7 +121,8 @@ def numbered(rows: DataFrame, names: list[str], shape: bool) -> pd.DataFrame:
             yield pd.DataFrame({"label": batch["label"], "found": [made.numbers(x) for x in batch["text"]]})
 
     got = rows.mapInPandas(number, "label int, found array<int>").toPandas()
-    return got.iloc[np.argsort([f"{label} {found.tolist()}" for label, found in zip(got["label"], map(np.asarray, got["found"]))], kind="stable")].reset_index(drop=True) if len(got) else got
+    order = sorted(range(len(got)), key=lambda k: (got["label"].iat[k], np.asarray(got["found"].iat[k], np.int32).tobytes()))
+    return got.iloc[order].reset_index(drop=True)
 
 
 def softmax(scores: np.ndarray) -> np.ndarray:
