@@ -23,6 +23,12 @@ def words(x: Column) -> Column:
     return F.filter(F.split(x, r"(?U)\s+"), lambda w: w != "")
 
 
+def fixed(x: Column, places: int) -> Column:
+    """A single-precision number with so many places; of two equally near texts the even one, as C prints it (Java's formatter takes
+    the greater)."""
+    return F.bround(x.cast("double").cast("decimal(38,20)"), places).cast("string")
+
+
 def any_in(text: Column, needles: list[str]) -> Column:
     out = F.lit(False)
     for x in needles:

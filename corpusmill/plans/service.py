@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusmill.functions import rules
+from corpusmill.functions.text import fixed
 from corpusmill.operators import access, answers, chunking, guardrails, metrics, retrieval, testcases
 from corpusmill.plans import ingest
 from corpusmill.plans.catalogue import DENSE_SQL, FUSED_SQL, ORACLES, QUERIES, SCANNED_SQL, SPARSE_SQL, _lists, _questions, _quoted, _said, _words, query, read
@@ -124,7 +125,7 @@ def embed_cached(spark, folder):
     docs = read(spark, folder, "documents").select("doc_id", "text")
     model = retrieval.hashed_terms(64)
     cached = docs.where("doc_id % 3 = 0").select(retrieval.cache_key("hashed", F.col("text")).alias("key"), retrieval.embedder(model, 64)("text").alias("vector"))
-    vector = F.array_join(F.transform("vector", lambda x: F.format_string("%.5f", x.cast("double"))), ",")
+    vector = F.array_join(F.transform("vector", lambda x: fixed(x, 5)), ",")
     return retrieval.embedded(docs, cached, "hashed", model, 64).select("doc_id", "cached", "tokens", vector.alias("vector"))
 
 
@@ -144,7 +145,7 @@ def embed_lasting(spark, folder):
     known = docs.where("doc_id % 3 <> 0").select(retrieval.cache_key("hashed", F.col("text")).alias("key"), F.lit(True).alias("known")).distinct()
     cache.embedded(docs)
     cache.compact()
-    vector = F.array_join(F.transform("vector", lambda x: F.format_string("%.5f", x.cast("double"))), ",")
+    vector = F.array_join(F.transform("vector", lambda x: fixed(x, 5)), ",")
     return cache.embedded(docs).join(known, "key", "left").select("doc_id", F.coalesce("known", F.lit(False)).alias("known"), vector.alias("vector"))
 
 
