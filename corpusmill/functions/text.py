@@ -19,8 +19,8 @@ def strip(x: Column) -> Column:
 
 
 def words(x: Column) -> Column:
-    """Runs outside white space."""
-    return F.filter(F.split(x, r"(?U)\s+"), lambda w: w != "")
+    """Runs outside white space, to which the separators 1C to 1F count, as in Python."""
+    return F.filter(F.split(x, r"(?U)[\s\x1C-\x1F]+"), lambda w: w != "")
 
 
 def fixed(x: Column, places: int) -> Column:

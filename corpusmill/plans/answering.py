@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.operators import answers, guardrails, metrics, retrieval
+from corpusmill.operators import answers, classify, guardrails, metrics, retrieval
 
 
 def extractive(question: Column, context: Column) -> Column:
@@ -30,10 +30,11 @@ def guarded(rows: DataFrame, text_col: str = "answer") -> DataFrame:
 
 
 def answer(queries: DataFrame, docs: DataFrame, vectors: DataFrame, k: int = 10, generate: Callable[[Column, Column], Column] = extractive, bound: DataFrame | None = None, model: str = "stand-in") -> DataFrame:
-    """One row a question. queries: query_id, question, user_role, query_vector; docs: doc_id, content, source_file, document_category,
-    regulatory_tags, access_level; vectors: vec_id (= doc_id), embedding. Personal data is masked in questions before they are
-    used, and in answers. Blocked questions keep their row, with block_reason, and cost no retrieval. Access levels filter both
-    lists; BM25 statistics are the whole corpus's. bound: a table whose size bounds the questions', if the engine can't tell."""
+    """One row a question. queries: query_id, question, user_role, query_vector; docs: doc_id, content, source_file, access_level
+    and, if they are known, document_category and regulatory_tags; vectors: vec_id (= doc_id), embedding. Personal data is masked in
+    questions before they are used, and in answers. Blocked questions keep their row, with block_reason, and cost no retrieval.
+    Access levels filter both lists; BM25 statistics are the whole corpus's. bound: a table whose size bounds the questions',
+    if the engine can't tell."""
     asked = retrieval.with_role(queries).withColumn("asked", guardrails.redaction(F.col("question")))
     entities, found = guardrails.should_block_pii(F.col("question")), guardrails.violations(F.col("question"))
     asked = asked.withColumn("block_reason", F.when(entities, "pii").when(guardrails.blocks(found), "compliance"))
@@ -42,7 +43,9 @@ def answer(queries: DataFrame, docs: DataFrame, vectors: DataFrame, k: int = 10,
     levels = open_.select("query_id", "access_levels", "max_chunks", "question")
     dense, sparse = retrieval.visible_lists(open_, docs, vectors, 2 * k, bound)
     fused = retrieval.hybrid(dense, sparse, k, "doc_id")
-    rows = fused.join(docs, "doc_id").join(retrieval.small(levels, bound), "query_id")
+    found = docs.join(retrieval.small(fused, bound), "doc_id")
+    # where docs aren't classified yet, only what is found is
+    rows = (found if "document_category" in docs.columns else classify.classified(found)).join(retrieval.small(levels, bound), "query_id")
     best = retrieval.rerank(rows, k, "doc_id").where(F.col("rerank_rank") <= F.col("max_chunks"))
     block = answers.source_block(F.col("rerank_rank"), F.col("source_file"), F.col("document_category"), F.col("regulatory_tags"), F.col("rerank_score"), F.lit(None).cast("string"), F.col("content"))
     context = answers.contexts(answers.within_budget(best.withColumn("block", block), "block", rank_col="rerank_rank"), "block", rank_col="rerank_rank")

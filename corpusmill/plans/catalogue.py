@@ -264,7 +264,7 @@ def hybrid_rbac(spark, folder):
 """)
 def rerank_lexical(spark, folder):
     found = retrieval.bm25(read(spark, folder, "documents"), _questions(spark, folder), 20).join(retrieval.small(_questions(spark, folder)), "query_id")
-    rows = found.join(read(spark, folder, "documents").select("doc_id", F.col("text").alias("content")), "doc_id")
+    rows = read(spark, folder, "documents").select("doc_id", F.col("text").alias("content")).join(retrieval.small(found, read(spark, folder, "benchmark")), "doc_id")
     return retrieval.rerank(rows, 5, "doc_id").select("query_id", "doc_id", "rank", "rerank_score", "rerank_rank")
 
 
@@ -280,7 +280,8 @@ def rerank_lexical(spark, folder):
 """)
 def context_budget(spark, folder):
     found = retrieval.bm25(read(spark, folder, "documents"), _questions(spark, folder), 10)
-    rows = found.join(classify.classified(documents(spark, folder)), "doc_id")
+    # only what is found is classified
+    rows = classify.classified(documents(spark, folder).join(retrieval.small(found, read(spark, folder, "benchmark")), "doc_id"))
     block = answers.source_block(F.col("rank"), F.col("source_file"), F.col("document_category"), F.col("regulatory_tags"), F.col("score"), F.lit(None).cast("string"), F.col("content"))
     return answers.contexts(answers.within_budget(rows.withColumn("block", block), "block"), "block").select("query_id", "n_sources", F.md5("context").alias("context_md5"))
 
@@ -751,5 +752,4 @@ def audit_query_events(spark, folder):
 
 @query()
 def answer_pipeline(spark, folder):
-    docs = classify.classified(documents(spark, folder))
-    return answer(bindings.questions(spark, folder), docs, read(spark, folder, "embeddings").select("vec_id", "embedding"), bound=read(spark, folder, "benchmark"))
+    return answer(bindings.questions(spark, folder), documents(spark, folder), read(spark, folder, "embeddings").select("vec_id", "embedding"), bound=read(spark, folder, "benchmark"))

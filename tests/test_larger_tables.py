@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from corpusmill.operators import retrieval
 from corpusmill.plans import indexes, monitoring, service  # noqa: F401  these add their queries
 from corpusmill.plans.catalogue import ORACLES, QUERIES
 
@@ -25,3 +26,18 @@ def test_vectors_whose_sixth_digit_is_a_lone_five(spark, tmp_path, name):
     docs = spark.createDataFrame([(k, f"{text} " if k % 2 else "other words", "x", "en", 1) for k in range(4)], "doc_id long, text string, source string, lang string, n_chars long")
     got, want = beside_sql(spark, name, tmp_path, documents=docs)
     assert got == want and any("0.01562" in x for x in got) and any("0.17188" in x for x in got)
+
+
+def test_keywords_are_summed_in_blocks_without_a_row_for_each_pair(spark, tmp_path, monkeypatch):
+    """Blocks cut at any place, odd white space, empty and null texts, repeated terms, terms in over half of the texts: as the SQL says.
+    The plan shuffles no text and has no join that makes a row for each document and query."""
+    for name, most in (("TEXTS", 3), ("TEXT_CHARS", 60), ("PAIRS", 5), ("QUERIES", 2)):
+        monkeypatch.setattr(retrieval, name, most)
+    texts = ["", None, "Loan loan rate", "the\x1crate the  the", " the term\x85", "the " * 40, "rate\nthe", "État the loan", "x"]
+    docs = spark.createDataFrame([(k, texts[k % len(texts)] if k % 7 else f"the loan{k % 3} rate {'z ' * k}", "x", "en", 1) for k in range(60)], "doc_id long, text string, source string, lang string, n_chars long").repartition(3)
+    asked = spark.createDataFrame([(1, "the loan loan"), (2, ""), (3, None), (4, "état\x1frate nowhere"), (5, "z x loan1")], "item_id long, text string")
+    for name in ("bm25_topk", "rerank_lexical", "context_budget"):
+        got, want = beside_sql(spark, name, tmp_path / name, documents=docs, benchmark=asked)
+        assert got == want and got
+    plan = retrieval.bm25(docs, asked.toDF("query_id", "question"), 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(filter(split(lower" in plan and plan.count("Generate explode(filter") == plan.count("coalesce(question")
