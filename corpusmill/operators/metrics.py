@@ -109,18 +109,34 @@ def gauge_observations(rows: DataFrame, name: str, value: Column, **labels: Colu
     return rows.select(F.inline(F.array(_observed(labelled(name, **labels), value))), "ts")
 
 
-def accumulated(observed: DataFrame) -> DataFrame:
-    """(metric, labels, place, n, total, last, last_ts) of (metric, labels, value[, ts]) rows, of a table or a stream: place numbers the
-    histogram's bucket that a value falls into (null otherwise), last is the value of the greatest ts, of equal ones the greatest.
-    All are sums or extremes, so parts of a table, batches of a stream and what a restart finds in its state add up alike."""
+def _place() -> Column:
+    """The number of the histogram's bucket that value falls into; null for other metrics."""
     place = F.lit(None).cast("int")
     for name, edges in rules.BUCKETS.items():
         over = sum((F.when(F.col("value") > x, 1).otherwise(0) for x in edges), F.lit(0))
         place = F.when(F.col("metric") == name, over).otherwise(place)
+    return place
+
+
+def accumulated(observed: DataFrame) -> DataFrame:
+    """(metric, labels, place, n, total, last, last_ts) of (metric, labels, value[, ts]) rows, of a table or a stream: place numbers the
+    histogram's bucket that a value falls into (null otherwise), last is the value of the greatest ts, of equal ones the greatest.
+    All are sums or extremes, so parts of a table, batches of a stream and what a restart finds in its state add up alike."""
     rows = observed if "ts" in observed.columns else observed.withColumn("ts", F.lit(None).cast("timestamp"))
-    last = F.max(F.struct("ts", "value"))
-    sums = rows.withColumn("place", place).groupBy("metric", "labels", "place").agg(F.count("value").alias("n"), F.sum("value").alias("total"), last.alias("m"))
-    return sums.select("metric", "labels", "place", "n", "total", F.col("m.value").alias("last"), F.col("m.ts").alias("last_ts"))
+    rows, by = rows.withColumn("place", _place()), ["metric", "labels", "place"]
+    sums = F.count("value").alias("n"), F.sum("value").alias("total")
+    if rows.isStreaming:
+        found = rows.groupBy(*by).agg(*sums, F.max(F.struct("ts", "value")).alias("m"))
+        return found.select(*by, "n", "total", F.col("m.value").alias("last"), F.col("m.ts").alias("last_ts"))
+    # the greatest of pairs would have every row sorted; so a table's last times are found first, in as many rows as it has groups
+    found = rows.groupBy(*by).agg(*sums, F.max("ts").alias("last_ts"))
+    at = found.select(*(F.col(x).alias(f"of_{x}") for x in by), "last_ts")
+    same = F.col("ts").eqNullSafe(F.col("last_ts"))
+    for x in by:
+        same = same & F.col(x).eqNullSafe(F.col(f"of_{x}"))
+    last = rows.join(F.broadcast(at), same).groupBy("of_metric", "of_labels", "of_place").agg(F.max("value").alias("last"))
+    same = F.col("metric").eqNullSafe(F.col("of_metric")) & F.col("labels").eqNullSafe(F.col("of_labels")) & F.col("place").eqNullSafe(F.col("of_place"))
+    return found.join(last, same).select(*by, "n", "total", "last", "last_ts")
 
 
 def exposed(sums: DataFrame) -> DataFrame:
@@ -138,18 +154,10 @@ def exposed(sums: DataFrame) -> DataFrame:
 
 def exposition(observed: DataFrame) -> DataFrame:
     """(line): the text form of (metric, labels, value) rows that scrapers read: counters as sums; histograms as cumulative buckets, sum
-    and count. One pass, summed before the shuffle."""
-    sums = observed.where(F.col("metric").isin(list(rules.COUNTERS))).groupBy("metric", "labels").agg(F.sum("value").alias("value"))
-    lines = [sums.select(F.format_string("%s{%s} %.6f", "metric", "labels", "value").alias("line"))]
-    for name, edges in rules.BUCKETS.items():
-        rows = observed.where(F.col("metric") == name)
-        joined = F.when(F.col("labels") == "", F.lit("")).otherwise(F.concat("labels", F.lit(",")))
-        lines.append(histogram(rows, "value", edges, ["metric", "labels"]).select(F.format_string('%s_bucket{%sle="%s"} %d', "metric", joined, "le", "count")))
-        lines.append(histogram_totals(rows, "value", ["metric", "labels"]).select(F.explode(F.array(F.format_string("%s_sum{%s} %.6f", "metric", "labels", "sum"), F.format_string("%s_count{%s} %d", "metric", "labels", "count")))))
-    out = lines[0]
-    for x in lines[1:]:
-        out = out.union(x)
-    return out
+    and count. One pass over the rows for all metrics, summed before the shuffle."""
+    rows = observed.where(F.col("metric").isin([*rules.COUNTERS, *rules.BUCKETS])).withColumn("place", _place())
+    sums = rows.groupBy("metric", "labels", "place").agg(F.count("value").alias("n"), F.sum("value").alias("total"))
+    return exposed(sums.withColumn("last", F.lit(None).cast("double")))
 
 
 def counters(rows: DataFrame, by: list[str], amounts: dict[str, Column]) -> DataFrame:
