@@ -123,20 +123,9 @@ def accumulated(observed: DataFrame) -> DataFrame:
     histogram's bucket that a value falls into (null otherwise), last is the value of the greatest ts, of equal ones the greatest.
     All are sums or extremes, so parts of a table, batches of a stream and what a restart finds in its state add up alike."""
     rows = observed if "ts" in observed.columns else observed.withColumn("ts", F.lit(None).cast("timestamp"))
-    rows, by = rows.withColumn("place", _place()), ["metric", "labels", "place"]
-    sums = F.count("value").alias("n"), F.sum("value").alias("total")
-    if rows.isStreaming:
-        found = rows.groupBy(*by).agg(*sums, F.max(F.struct("ts", "value")).alias("m"))
-        return found.select(*by, "n", "total", F.col("m.value").alias("last"), F.col("m.ts").alias("last_ts"))
-    # the greatest of pairs would have every row sorted; so a table's last times are found first, in as many rows as it has groups
-    found = rows.groupBy(*by).agg(*sums, F.max("ts").alias("last_ts"))
-    at = found.select(*(F.col(x).alias(f"of_{x}") for x in by), "last_ts")
-    same = F.col("ts").eqNullSafe(F.col("last_ts"))
-    for x in by:
-        same = same & F.col(x).eqNullSafe(F.col(f"of_{x}"))
-    last = rows.join(F.broadcast(at), same).groupBy("of_metric", "of_labels", "of_place").agg(F.max("value").alias("last"))
-    same = F.col("metric").eqNullSafe(F.col("of_metric")) & F.col("labels").eqNullSafe(F.col("of_labels")) & F.col("place").eqNullSafe(F.col("of_place"))
-    return found.join(last, same).select(*by, "n", "total", "last", "last_ts")
+    last = F.max(F.struct("ts", "value"))
+    sums = rows.withColumn("place", _place()).groupBy("metric", "labels", "place").agg(F.count("value").alias("n"), F.sum("value").alias("total"), last.alias("m"))
+    return sums.select("metric", "labels", "place", "n", "total", F.col("m.value").alias("last"), F.col("m.ts").alias("last_ts"))
 
 
 def exposed(sums: DataFrame) -> DataFrame:
