@@ -17,8 +17,9 @@ from corpusmill.operators.retrieval import RANKED, SHOWN, top
 #: Vectors that centroids are learned from at most, vectors of a list and of a shard on average, lists at most (the driver holds a
 #: centroid for each), links of a vector.
 FIT_ROWS, LIST_ROWS, SHARD_ROWS, LISTS, LINKS = 20_000, 16_384, 8192, 4096, 24
-#: Queries that walk a graph together; vectors that each expands at a step.
-TOGETHER, STEP = 256, 4
+#: Queries that walk a graph together; vectors that each expands at a step; queries that a task holds beside a shard, on average; vectors
+#: that are compared with a whole shard, or with all centroids, at once.
+TOGETHER, STEP, ASKED, ROWS = 256, 4, 16_384, 256
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -45,11 +46,11 @@ def graph(v: np.ndarray, links: int = LINKS) -> np.ndarray:
     near = np.full((n, 2 * links), -1, np.int32)
     if not k:
         return near
-    for a in range(0, n, 1024):
-        score = v[a : a + 1024] @ v.T
-        score[np.arange(len(score)), a + np.arange(len(score))] = -np.inf
-        some = np.argpartition(-score, k - 1, axis=1)[:, :k] if k < n - 1 else np.argsort(-score, axis=1)[:, :k]
-        near[a : a + 1024, :k] = some
+    for a in range(0, n, ROWS):
+        far = -(v[a : a + ROWS] @ v.T)
+        far[np.arange(len(far)), a + np.arange(len(far))] = np.inf
+        some = np.argpartition(far, k - 1, axis=1)[:, :k] if k < n - 1 else np.argsort(far, axis=1)[:, :k]
+        near[a : a + ROWS, :k] = some
     back_to, back_of = near[:, :k].ravel(), np.repeat(np.arange(n, dtype=np.int32), k)
     order = np.argsort(back_to, kind="stable")
     back_to, back_of = back_to[order], back_of[order]
@@ -150,7 +151,8 @@ class VectorIndex:
         @F.pandas_udf("int")
         def nearest(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for batch in batches:
-                yield pd.Series(np.argmax(np.stack(batch.to_numpy()) @ made.T, axis=1).astype(np.int32) if len(batch) else np.zeros(0, np.int32))
+                x = batch.to_numpy()
+                yield pd.Series(np.concatenate([np.zeros(0, np.int32), *(np.argmax(np.stack(x[a : a + ROWS]) @ made.T, axis=1).astype(np.int32) for a in range(0, len(x), ROWS))]))
 
         placed = rows.withColumn("list", nearest("v"))
         # what is sent to every executor here and in a search has a row for each list, LISTS at most; lists then aren't dealt whole
@@ -215,34 +217,39 @@ class VectorIndex:
 
         @F.pandas_udf("array<int>")
         def visited(batch: pd.Series) -> pd.Series:
-            near = np.argsort(-(np.stack(batch.to_numpy()) @ table.T), axis=1, kind="stable")[:, :width] if len(batch) else []
-            return pd.Series([x.astype(np.int32) for x in near])
+            x = batch.to_numpy()
+            near = (np.argsort(-(np.stack(x[a : a + ROWS]) @ table.T), axis=1, kind="stable")[:, :width].astype(np.int32) for a in range(0, len(x), ROWS))
+            return pd.Series([one for some in near for one in some])
 
         visits = asked.withColumn("list", F.explode(visited("q")))
-        size = self._table("packed").groupBy("list").agg(F.count("*").alias("shards")) if able is None else able.groupBy("list").agg(F.count("*").alias("shards"))
-        counts = visits.groupBy("list").agg(F.ceil(F.count("*") / TOGETHER).alias("parts"))
-        groups = visits.join(F.broadcast(counts), "list").withColumn("part", F.pmod(F.xxhash64("q_id"), F.col("parts"))).join(F.broadcast(size.select("list")), "list", "left_semi")
-        groups = groups.groupBy("list", "part").agg(F.collect_list(F.struct("q_id", "q")).alias("who"))
+        # a shard meets a part of the queries that visit it, both of bounded size, and every such pair is a group of its own: a task holds one
+        # shard at a time, whatever the number of shards and queries
+        held = (self._table("packed") if able is None else able).groupBy("list").agg(F.collect_list("shard").alias("held"))
+        counts = visits.groupBy("list").agg(F.ceil(F.count("*") / ASKED).alias("parts"))
+        part = F.pmod(F.xxhash64("q_id"), F.col("parts"))
+        groups = visits.join(F.broadcast(counts), "list").join(F.broadcast(held), "list").select("list", F.explode("held").alias("shard"), part.alias("part"), "q_id", "q")
         shards = self._table("shards")
         shards = shards.join(able, ["list", "shard"]) if able is not None else shards.withColumns({"able": F.lit(None).cast("binary")})
-        met = shards.join(groups, "list").select("n", "ids", "vectors", "links", "able", "who")
+        beside = shards.join(F.broadcast(counts), "list").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        met = [x.groupBy("list", "shard", "part") for x in (beside.select("list", "shard", "part", "n", "ids", "vectors", "links", "able"), groups)]
         kinds = dict(queries.dtypes)[query_id]
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for at in range(batch.num_rows):
-                    n, ids, raw, linked, flags = (batch.column(c)[at].as_py() for c in ("n", "ids", "vectors", "links", "able"))
-                    ids, v = np.frombuffer(ids, np.int64), unit(np.frombuffer(raw, np.float64).reshape(n, -1))
-                    mask = None if flags is None else opened(flags, n)
-                    who = batch.column("who")[at].values
-                    q = unit(who.field("q").flatten().to_numpy().reshape(len(who), -1))
+        def run(shard: pa.Table, who: pa.Table) -> pa.Table:
+            names, out = [query_id, id_col, "score", "looked"], []
+            if shard.num_rows and who.num_rows:
+                n, ids, raw, linked, flags = (shard.column(c)[0].as_py() for c in ("n", "ids", "vectors", "links", "able"))
+                ids, v, linked = np.frombuffer(ids, np.int64), unit(np.frombuffer(raw, np.float64).reshape(n, -1)), np.frombuffer(linked, np.int32).reshape(n, -1)
+                mask = None if flags is None else opened(flags, n)
+                own = np.arange(n) if mask is None else np.flatnonzero(mask)
+                for at in range(0, who.num_rows, TOGETHER):
+                    some = who.slice(at, TOGETHER).combine_chunks()
+                    q = unit(some.column("q").combine_chunks().flatten().to_numpy().reshape(some.num_rows, -1))
                     if exact or n <= 2 * breadth or (mask is not None and mask.sum() <= 2 * breadth):
-                        own = np.arange(n) if mask is None else np.flatnonzero(mask)
                         score = np.round(q @ v[own].T, RANKED)
                         order = np.argsort(-score, axis=1, kind="stable")[:, :k]
                         places, scores, looked = own[order], np.take_along_axis(score, order, axis=1), np.full(len(q), len(own))
                     else:
-                        places, scores, looked = walk(v, np.frombuffer(linked, np.int32).reshape(n, -1), q, breadth, mask)
+                        places, scores, looked = walk(v, linked, q, breadth, mask)
                         places, scores = places[:, :k], np.round(scores[:, :k], RANKED)
                     good = places >= 0
                     if least is not None:
@@ -250,10 +257,12 @@ class VectorIndex:
                     row, col = np.nonzero(good)
                     first = np.concatenate([np.ones(min(1, len(row)), bool), row[1:] != row[:-1]])
                     none = np.flatnonzero(~good.any(axis=1))
-                    out = np.concatenate([row, none])
-                    yield pa.RecordBatch.from_arrays([who.field("q_id").take(pa.array(out)), pa.array(np.concatenate([ids[places[row, col]], np.zeros(len(none), np.int64)]), mask=np.arange(len(out)) >= len(row)), pa.array(np.concatenate([scores[row, col], np.zeros(len(none))])), pa.array(np.concatenate([np.where(first, looked[row], 0), looked[none]]).astype(np.int64))], [query_id, id_col, "score", "looked"])
+                    whose = np.concatenate([row, none])
+                    found = pa.array(np.concatenate([ids[places[row, col]], np.zeros(len(none), np.int64)]), mask=np.arange(len(whose)) >= len(row))
+                    out.append(pa.table([some.column("q_id").take(pa.array(whose)), found, pa.array(np.concatenate([scores[row, col], np.zeros(len(none))])), pa.array(np.concatenate([np.where(first, looked[row], 0), looked[none]]).astype(np.int64))], names))
+            return pa.concat_tables(out) if out else pa.table([pa.nulls(0, who.schema.field("q_id").type), pa.nulls(0, pa.int64()), pa.nulls(0, pa.float64()), pa.nulls(0, pa.int64())], names)
 
-        found = met.mapInArrow(run, f"`{query_id}` {kinds}, `{id_col}` long, score double, looked long")
+        found = met[0].cogroup(met[1]).applyInArrow(run, f"`{query_id}` {kinds}, `{id_col}` long, score double, looked long")
         from pyspark.sql import Window
 
         found = found.withColumn("looked", F.sum("looked").over(Window.partitionBy(query_id)))

@@ -96,6 +96,22 @@ def test_unsound_vectors_take_no_part(spark, tmp_path):
         VectorIndex(spark, str(tmp_path / "none")).build(spark.createDataFrame([(1, None)], "vec_id long, embedding array<double>"))
 
 
+def test_a_search_holds_one_shard_and_some_queries_at_a_time(spark, embedded, tmp_path, monkeypatch):
+    """One list with many shards and more queries than a task takes: each group that workers get is one shard beside a part of the queries,
+    where whole lists of shards and groups of queries used to come as one Arrow batch."""
+    monkeypatch.setattr(vectors, "SHARD_ROWS", 100)
+    monkeypatch.setattr(vectors, "ASKED", 30)
+    ids, v, _ = embedded
+    made = VectorIndex(spark, str(tmp_path / "ix")).build(spark.read.parquet(f"{SF}/embeddings.parquet"))
+    assert made.size().first()["lists"] == 1 and made.size().first()["shards"] == 20
+    for options in ({"exact": True}, {"exact": True, "where": None, "probe": 1}):
+        found = made.search(asked(spark), 10, **options)
+        assert found_of(found.collect()) == all_pairs(ids, v, np.flatnonzero(ids % 20 == 0), 10)
+        assert {r["looked"] for r in found.collect()} == {len(ids)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "MapInArrow" not in plan.replace("FlatMapCoGroupsInArrow", "")
+
+
 def plain_bm25(docs, queries, k):
     terms = {i: (t or "").lower().split() for i, t in docs}
     n, avgdl = len(docs), sum(map(len, terms.values())) / len(docs)
