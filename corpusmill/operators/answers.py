@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import rules
-from corpusmill.functions.text import any_in, basename, let, strings, strip, words
+from corpusmill.functions.text import any_in, basename, held, holds, let, strings, strip, words, words_held
 
 #: Characters of a context: 6000 tokens of 4.
 CONTEXT_CHARS = 24_000
@@ -55,6 +55,18 @@ def grounded_score(answer: Column, context: Column) -> Column:
     return let(both, lambda x: F.size(F.filter(x["s"], lambda s: grounded(s, x["c"]))) / F.greatest(F.size(x["s"]), F.lit(1)))
 
 
+def sentence_keys(answer: Column) -> Column:
+    """array<array<string>>: the key words of the sentences that grounded_score judges."""
+    sentences = F.slice(F.filter(F.transform(F.split(answer, r"\."), strip), lambda s: F.length(s) > 20), 1, 5)
+    return F.transform(sentences, lambda s: F.array_except(F.array_distinct(words(F.lower(s))), strings(rules.GROUNDING_STOP)))
+
+
+def score_of_counts(keys: Column, found: Column) -> Column:
+    """grounded_score, of sentence_keys and how many of each sentence's words the context has."""
+    grounded = F.zip_with(keys, found, lambda k, n: F.when(F.size(k) >= 3, n / F.size(k) >= 0.4).otherwise(F.lit(False)))
+    return F.size(F.filter(grounded, lambda x: x)) / F.greatest(F.size(keys), F.lit(1))
+
+
 def is_grounded(answer: Column, context: Column, score: Column | None = None) -> Column:
     """score: the answer's grounded_score, where it is a column already."""
     return ((grounded_score(answer, context) if score is None else score) >= 0.3) | any_in(F.lower(answer), rules.UNCERTAIN)
@@ -73,6 +85,10 @@ def source_citation(path: Column, score: Column, content: Column) -> Column:
     return F.struct(basename(path).alias("source"), F.round(score, 3).alias("score"), preview.alias("preview"))
 
 
+def _share(held: str, scale: float) -> Column:
+    return F.when(F.col(f"{held}.n") > 0, F.least(F.col(f"{held}.found") / F.col(f"{held}.n") * scale, F.lit(1.0)))
+
+
 def _overlap(of: Column, stop: list[str], text: Column, scale: float) -> Column:
     both = F.struct(F.array_except(F.array_distinct(words(of)), strings(stop)).alias("k"), text.alias("t"))
     share = lambda x: F.size(F.filter(x["k"], lambda w: F.contains(x["t"], w))) / F.size(x["k"])
@@ -139,11 +155,15 @@ def evaluate(samples: DataFrame, responses: DataFrame, by: list[str]) -> DataFra
 
     a, c = F.col("answer"), F.col("context")
     rows = samples.join(responses, "sample_id").withColumn("has", F.coalesce(a, F.lit("")) != "")
+    # words are looked up in one pass of Arrow batches, which also tells which patterns can match
+    rows = rows.withColumns({"said": F.lower(a), "known": F.lower(c), "asked": F.lower("question"), "s_keys": sentence_keys(a)})
+    rows = rows.withColumns({"f": words_held(F.col("said"), rules.ANSWER_STOP, F.col("known")), "r": words_held(F.col("asked"), rules.QUESTION_STOP, F.col("said")), "s": held(F.col("s_keys"), F.col("known")), "may": holds(F.col("said"), [*rules.COMPLIANCE_NEEDS, rules.UNCERTAIN])})
+    grounded = (score_of_counts(F.col("s_keys"), F.col("s")) >= 0.3) | F.element_at("may", -1)
     # each figure is computed once a row, in a projection, and only those that need an answer where there is one
     where = lambda figure: F.when(F.col("has"), figure)
     rows = rows.select(
-        *by, "has", faithfulness(a, c).alias("f"), relevancy(F.col("question"), a).alias("r"), where(guardrails.blocks(guardrails.violations(a))).alias("blocked"),
-        where(guardrails.high_risk_count(a) > 0).alias("leaks"), where((c != "") & ~is_grounded(a, c)).alias("invents"), where(cites(a)).alias("names"), (F.size("regulatory_citations") > 0).alias("expected"),
+        *by, "has", _share("f", 1.2).alias("f"), _share("r", 1.3).alias("r"), where(guardrails.breaks(a, F.col("may"))).alias("blocked"),
+        where(guardrails.leaks(a)).alias("leaks"), where((c != "") & ~grounded).alias("invents"), where(cites(a)).alias("names"), (F.size("regulatory_citations") > 0).alias("expected"),
         where((F.size("regulatory_citations") > 0) & mentions_any(F.col("regulatory_citations"), a)).alias("meets"),
     )
     n = F.greatest(F.count_if("has"), F.lit(1))

@@ -29,6 +29,15 @@ def high_risk_count(text: Column) -> Column:
     return sum((n for kind, n in pii_counts(text).items() if risk_of[kind] == "high"), F.lit(0))
 
 
+def leaks(text: Column) -> Column:
+    """Whether a high-risk rule matches: high_risk_count(text) > 0, without counting."""
+    out = F.lit(False)
+    for kind, risk, sure, pattern, _ in rules.PII_RULES:
+        if risk == "high" and sure >= rules.MIN_CONFIDENCE:
+            out = out | text.rlike(pattern)
+    return F.when(text.rlike(rules.HIGH_PII_NEEDS), out).otherwise(F.lit(False))
+
+
 def should_block_pii(text: Column) -> Column:
     return high_risk_count(text) >= rules.BLOCK_HIGH_ENTITIES
 
@@ -109,6 +118,17 @@ def blocks(found: Column, at: str = "high") -> Column:
     return F.exists(found, lambda v: v["severity"].isin(strong))
 
 
+def breaks(text: Column, may: Column, at: str = "high") -> Column:
+    """blocks(violations(text), at), where may says of each pattern in turn whether text holds what its matches need."""
+    strong = rules.SEVERITIES[rules.SEVERITIES.index(at) :]
+    each = [(severity, pattern) for _, severity, _, patterns in rules.COMPLIANCE_RULES for pattern in patterns]
+    out = F.lit(False)
+    for k, (severity, pattern) in enumerate(each):
+        if severity in strong:
+            out = out | F.when(may[k], text.rlike(f"(?i){pattern}")).otherwise(F.lit(False))
+    return out
+
+
 def of_severity(found: Column, severity: str) -> Column:
     """The violations of one severity."""
     return F.filter(found, lambda v: v["severity"] == severity)

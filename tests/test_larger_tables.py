@@ -2,8 +2,11 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from corpusmill.operators import chunking, metrics, retrieval
+from corpusmill.functions import rules
+from corpusmill.functions.text import holds
+from corpusmill.operators import answers, chunking, guardrails, metrics, retrieval
 from corpusmill.plans import indexes, monitoring, service  # noqa: F401  these add their queries
 from corpusmill.plans.catalogue import ORACLES, QUERIES
 
@@ -60,3 +63,26 @@ def test_chunks_are_handed_on_for_a_few_texts_at_a_time(spark, monkeypatch):
     want = sorted(map(repr, chunking.recursive_chunks(docs, "id", "text").collect()))
     monkeypatch.setattr(chunking, "TOGETHER", 500)
     assert sorted(map(repr, chunking.recursive_chunks(docs, "id", "text").collect())) == want and want
+
+
+def test_evaluation_looks_words_up_and_matches_only_where_a_rule_can(spark):
+    """Figures by looked-up words, and rules behind what their matches need, are those of the plain expressions; the plan searches no text
+    for a word in a lambda and matches no pattern on a text that can't hold it."""
+    hits = [
+        "We do not lend to religion groups", "sex applicants tend to be late", "we prefer\tnot race", "YOUR Interest rate will be exactly 3.5 %", "I am able to promise you an APR", "guaranteed low rate", "you are definitely approved", "guaranteed LOAN approval",
+        "a 100% approval", "no one is ever denied", "No hidden fees whatsoever", "completely free mortgage", "no credit check needed", "instant decision guaranteed", "lowest rates in the nation", "123-45-6789", "4111111111111", "routing no. 021000021", "account # 12345678",
+        "loan # AB1234567", "12-3456789", "license # AB123456", "a@b.com", "it is not available", "plain words \u0130 \u212a of no rule 123",
+    ]
+    texts = [*hits, None, "", *(f"{x}. The rate of this loan is a matter of long papers\x1cand of rates. Short. {y.upper()} among other things of the paper" for x, y in zip(hits, hits[5:]))]
+    rows = spark.createDataFrame([(k, a, texts[(k * 7 + 3) % len(texts)], f"What is the {(a or 'x')[:9]}") for k, a in enumerate(texts)], "sample_id int, answer string, context string, question string")
+    a, c = F.col("answer"), F.col("context")
+    may = rows.withColumn("may", holds(F.lower(a), rules.COMPLIANCE_NEEDS)).select(guardrails.breaks(a, F.col("may")).alias("x"), guardrails.blocks(guardrails.violations(a)).alias("y"), guardrails.leaks(a).alias("p"), (guardrails.high_risk_count(a) > 0).alias("q"), "answer")
+    told = may.where("answer IS NOT NULL").collect()
+    assert all(r["x"] == r["y"] and r["p"] == r["q"] for r in told) and 15 <= sum(r["x"] for r in told) < len(told) and 7 <= sum(r["p"] for r in told) < len(told)
+    samples = rows.select("sample_id", "question", F.array(F.lit("RESPA")).alias("regulatory_citations"))
+    got = {r["sample_id"]: r for r in answers.evaluate(samples, rows.select("sample_id", "answer", "context"), ["sample_id"]).collect()}
+    plain = rows.select("sample_id", F.round(F.coalesce(answers.faithfulness(a, c), F.lit(0.0)), 6).alias("f"), F.round(F.coalesce(answers.relevancy(F.col("question"), a), F.lit(0.0)), 6).alias("r"), F.coalesce(((a != "") & (c != "") & ~answers.is_grounded(a, c)).cast("double"), F.lit(0.0)).alias("h"))
+    for r in plain.collect():
+        assert (r["f"], r["r"], r["h"]) == tuple(got[r["sample_id"]][x] for x in ("faithfulness", "answer_relevancy", "hallucination_rate")), r
+    plan = answers.evaluate(samples, rows.select("sample_id", "answer", "context"), ["sample_id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in plan and "lambda w: contains" not in plan and "regexp_count" not in plan
